@@ -33,12 +33,13 @@ def value_counts(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -
     Rows are unpivoted in the map task and counted there first, so a hot value
     leaves each task as one row.
     """
-    per_field = [
-        F.transform(_values(f), lambda v, name=f.name: F.struct(F.lit(name).alias("feature"), v.alias("value")))
-        for f in fields
-    ]
+
+    def pairs(f: CategoryField | TokensField) -> Column:
+        made = F.transform(_values(f), lambda v: F.struct(F.lit(f.name).alias("feature"), v.alias("value")))
+        return F.coalesce(made, F.array().cast("array<struct<feature:string,value:string>>"))
+
     return (
-        df.select(F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<feature:string,value:string>>")) for p in per_field])).alias("r"))
+        df.select(F.explode(F.concat(*[pairs(f) for f in fields])).alias("r"))
         .select("r.*")
         .where(F.col("value").isNotNull())
         .groupBy("feature", "value")

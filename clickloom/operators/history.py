@@ -17,6 +17,10 @@ from clickloom.operators.hotkeys import HOT_SHARE, add_slots
 from clickloom.operators.ranking import top_per_group
 
 
+def _values(steps: Column | str, item: str) -> Column:
+    return F.transform(steps, lambda s: s[item])
+
+
 def _last(arr: Column, k: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - k + 1, F.lit(1)), k)
 
@@ -53,7 +57,7 @@ def history(
     steps = F.when(F.col("_carry").isNull(), F.col("_own")).otherwise(_last(F.concat("_carry", "_own"), k))
     return joined.withColumn("_steps", steps).select(
         *df.columns,
-        *[F.transform("_steps", lambda s, i=i: s[i]).alias(f"hist_{i}") for i in items],
+        *[_values("_steps", i).alias(f"hist_{i}") for i in items],
         F.size("_steps").alias("seq_length"),
     )
 
@@ -141,7 +145,7 @@ def session_split(
     recent = top_per_group(sessions, [user], [F.col("session_start").desc()], max_sessions, "_rank")
     per_user = recent.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("session_start", "_steps"))).alias("_s"))
     arrays = [
-        F.transform(F.get("_s", F.lit(n))["_steps"], lambda s, i=i: s[i]).alias(f"sess_{n}_{i}")
+        _values(F.get("_s", F.lit(n))["_steps"], i).alias(f"sess_{n}_{i}")
         for n in range(max_sessions)
         for i in items
     ]

@@ -38,7 +38,9 @@ def write_dates(df: DataFrame, path: str, files_per_day: int | None = None) -> N
     not written by one task.
     """
     if files_per_day:
-        part = F.pmod(F.xxhash64(*[c for c in df.columns if c != "dt"]), F.lit(files_per_day))
+        own = [c for c in df.columns if c != "dt"]
+        # the task number spreads copies of one row as well
+        part = F.pmod(F.xxhash64(F.spark_partition_id(), *own), F.lit(files_per_day))
         df = df.repartition(F.col("dt"), part)
     df.write.mode("overwrite").partitionBy("dt").parquet(path)
 
@@ -76,12 +78,16 @@ def list_files(
     return files.orderBy(hash_order(["path"], seed)).limit(sample) if sample else files
 
 
+WHITESPACE = " \t\r\n\x0b\x0c"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("value"))
+    """Lines without the white space around them."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.btrim("value", F.lit(WHITESPACE)).alias("value"))
 
 
 def append_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("append").text(path)
+    df.write.mode("append").option("lineSep", "\n").text(path)
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -208,26 +208,44 @@ def decode_value(buf: bytes) -> list:
 
 
 def encode_batch(batch: pa.RecordBatch, schema: T.StructType) -> list[bytes]:
+    """One message per row; every distinct value of a column is encoded once per batch."""
     parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
     for f, column in zip(schema.fields, batch.columns):
         kind, many, name = _feature_kind(f.dataType), isinstance(f.dataType, T.ArrayType), _chunk(1, f.name.encode())
-        for row, v in zip(parts, column.to_pylist()):
-            if v is not None:
-                row.append(_chunk(1, name + _chunk(2, encode_value(kind, v if many else [v]))))
+
+        def entry(v):
+            return b"" if v is None else _chunk(1, name + _chunk(2, encode_value(kind, v if many else [v])))
+
+        if many:
+            for row, v in zip(parts, column.to_pylist()):
+                row.append(entry(v))
+        else:
+            coded = column.dictionary_encode()
+            entries = [entry(v) for v in coded.dictionary.to_pylist()] + [b""]
+            for row, i in zip(parts, coded.indices.fill_null(len(entries) - 1).to_pylist()):
+                row.append(entries[i])
     return [_chunk(1, b"".join(row)) for row in parts]
 
 
-def decode_record(record: bytes) -> dict[str, list]:
+def _decode_entry(entry: bytes) -> tuple[str, list]:
+    name, value = "", b""
+    for tag, _, v in _chunks(entry):
+        if tag == 1:
+            name = v.decode()
+        else:
+            value = v
+    return name, decode_value(value)
+
+
+def decode_record(record: bytes, known: dict[bytes, tuple[str, list]]) -> dict[str, list]:
+    """``known`` remembers entries seen before: columns repeat their values a lot."""
     out = {}
     for _, _, features in _chunks(record):
         for _, _, entry in _chunks(features):
-            name, value = "", b""
-            for tag, _, v in _chunks(entry):
-                if tag == 1:
-                    name = v.decode()
-                else:
-                    value = v
-            out[name] = decode_value(value)
+            pair = known.get(entry)
+            if pair is None:
+                pair = known[entry] = _decode_entry(entry)
+            out[pair[0]] = pair[1]
     return out
 
 
@@ -286,7 +304,8 @@ class _Reader(DataSourceReader):
         fs, _ = _open(self.options["path"])
         with fs.open_input_stream(partition.path, compression="gzip") as stream:
             for records in unframe(stream, verify):
-                rows = [decode_record(r) for r in records]
+                known: dict = {}
+                rows = [decode_record(r, known) for r in records]
                 columns = [_column(f, rows, defaults[f.name]) for f in self.schema.fields]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
