@@ -100,3 +100,18 @@ def pool(kind: str, seq, mask, dim: int, weight=None, query=None, eps: float = E
 def pool_concat(kinds, seq, mask, dim: int, **extra) -> Column:
     """Several combiners of the same sequence side by side, each on the raw input."""
     return F.concat(*[pool(k, seq, mask, dim, **extra) for k in kinds])
+
+
+def pool_by_group(fields, seqs, masks, dim: int, weights=None, queries=None) -> dict[str, Column]:
+    """Pool every token feature with its own combiner; one array of vectors per group.
+
+    ``fields`` carry ``name``, ``pooling`` and ``group``; the mappings give the
+    Columns of each feature by name.
+    """
+    groups: dict[str, list[Column]] = {}
+    for f in fields:
+        pooled = pool(
+            f.pooling, seqs[f.name], masks[f.name], dim, (weights or {}).get(f.name), (queries or {}).get(f.name)
+        )
+        groups.setdefault(f.group, []).append(pooled)
+    return {g: F.array(*cols) for g, cols in groups.items()}

@@ -1,8 +1,13 @@
 """All registered queries."""
 
 from clickloom.plans import (  # noqa: F401
-    q_sources,
-    q_prepare,
+    q_categorical,
+    q_dense,
+    q_fit,
+    q_interact,
     q_joins,
+    q_pool,
+    q_prepare,
+    q_sources,
 )
 from clickloom.plans.registry import ORACLES, QUERIES  # noqa: F401

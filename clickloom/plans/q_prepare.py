@@ -98,9 +98,9 @@ TYPES5 = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase'
       round(avg(ln(p_size)), 6) AS lm, round(stddev_samp(ln(p_size)), 6) AS ls FROM part WHERE p_size <> 0),
     b AS (SELECT p_brand AS value, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS idx FROM part GROUP BY 1 HAVING count(*) >= 2),
     w AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS idx
-      FROM (SELECT unnest(string_split(p_name, ' ')[1:2]) AS word FROM part) WHERE word <> '' GROUP BY 1),
+      FROM (SELECT unnest(string_split(p_name, ' ')[1:3]) AS word FROM part) WHERE word <> '' GROUP BY 1),
     n AS (SELECT p_partkey, list(coalesce(w.idx, 0) ORDER BY pos) AS l FROM
-      (SELECT p_partkey, unnest(string_split(p_name, ' ')[1:2]) AS word, generate_subscripts(string_split(p_name, ' ')[1:2], 1) AS pos FROM part)
+      (SELECT p_partkey, unnest(string_split(p_name, ' ')[1:3]) AS word, generate_subscripts(string_split(p_name, ' ')[1:3], 1) AS pos FROM part)
       LEFT JOIN w USING (word) GROUP BY 1)
     SELECT p_partkey, round((p_retailprice - m) / sd, 6) AS p_retailprice, round((ln(p_size + 1) - lm) / ls, 6) AS p_size,
       CAST(coalesce(b.idx, 0) AS INT) AS p_brand,
@@ -111,7 +111,6 @@ TYPES5 = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase'
 )
 def apply_spec(spark, sf):
     rows = table(spark, sf, "part").withColumn("pair_text", F.concat_ws(",", "p_size", F.col("p_size") + 1))
-    rows = rows.withColumn("p_name", F.concat_ws(" ", F.slice(F.split("p_name", " "), 1, 2)))
     fields = [
         DenseField("p_retailprice", op="normal", default=-1.0),
         DenseField("p_size", op="log_normal", default=0.0),
@@ -275,8 +274,3 @@ def expr_same(spark, sf):
 
 
 _expr("expr_abs_diff", "abs(item_id - CAST(user_id AS INT)) AS diff", lambda: {"diff": X.abs_diff("item_id", F.col("user_id").cast("int"))})
-_expr(
-    "dense_bucketize",
-    "CASE WHEN value < 1 THEN 0 WHEN value < 5 THEN 1 WHEN value < 20 THEN 2 ELSE 3 END AS bucket",
-    lambda: {"bucket": __import__("clickloom.functions.dense", fromlist=["x"]).bucketize("value", [1, 5, 20])},
-)
