@@ -60,8 +60,8 @@ def trailing_distinct(df: DataFrame, keys: Sequence[str], member: str, day: str,
     """
     seen = df.select(*keys, member, day).where(F.col(member).isNotNull()).distinct()
     again = F.lead(day).over(Window.partitionBy(*keys, member).orderBy(day))
-    last = F.least(F.col(day) + n, F.coalesce(again, F.col(day) + n))
-    steps = seen.select(
+    last = F.least(F.col(day) + n, F.coalesce(F.col("_again"), F.col(day) + n))
+    steps = seen.withColumn("_again", again).select(
         *keys,
         F.explode(
             F.array(
