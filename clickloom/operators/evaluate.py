@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from clickloom.operators.bands import DEFAULT_BANDS, add_bands, cut_points
 
 
-def auc_table(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), bands: int = DEFAULT_BANDS
-) -> DataFrame:
-    """``(by..., auc, n_rows, n_pos, n_neg)``."""
+def _levels(df: DataFrame, label: str, score: str, by: Sequence[str], bands: int) -> DataFrame:
+    """Positives and negatives per (by..., band, distinct score)."""
     rows = df.select(
         *by, F.col(label).cast("double").cast("long").alias("_y"), F.col(score).cast("double").alias("_s")
     ).where(F.col("_y").isNotNull() & F.col("_s").isNotNull())
-    banded = add_bands(rows, cut_points(rows, ["_s"], bands))
-    levels = banded.groupBy(*by, "_s_band", "_s").agg(
-        F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")
+    return (
+        add_bands(rows, cut_points(rows, ["_s"], bands))
+        .groupBy(*by, "_s_band", "_s")
+        .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
     )
+
+
+def _auc(levels: DataFrame, by: Sequence[str]) -> DataFrame:
     lower = Window.partitionBy(*by, "_s_band").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     area = F.col("pos") * (F.coalesce(F.sum("neg").over(lower), F.lit(0)) + F.col("neg") / 2)
     per_band = (
@@ -49,6 +51,21 @@ def auc_table(
     )
 
 
+def _mean_of_groups(per_group: DataFrame, by: Sequence[str], digits: int) -> DataFrame:
+    weight = F.when(F.col("auc").isNotNull(), F.col("n_rows"))
+    return per_group.groupBy(*by).agg(
+        F.round(F.try_divide(F.sum(F.col("auc") * weight), F.sum(weight)), digits).alias("gauc"),
+        F.count("auc").alias("n_groups"),
+    )
+
+
+def auc_table(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), bands: int = DEFAULT_BANDS
+) -> DataFrame:
+    """``(by..., auc, n_rows, n_pos, n_neg)``."""
+    return _auc(_levels(df, label, score, by, bands), by)
+
+
 def auc_global(df: DataFrame, label: str, score: str, digits: int = 5, bands: int = DEFAULT_BANDS) -> DataFrame:
     return auc_table(df, label, score, (), bands).select(F.round("auc", digits).alias("auc"), "n_rows")
 
@@ -63,12 +80,21 @@ def gauc(
     bands: int = DEFAULT_BANDS,
 ) -> DataFrame:
     """Row-weighted mean of per-group AUC over groups that have both classes."""
-    per_group = auc_table(df, label, score, [*by, group], bands)
-    weight = F.when(F.col("auc").isNotNull(), F.col("n_rows"))
-    return per_group.groupBy(*by).agg(
-        F.round(F.try_divide(F.sum(F.col("auc") * weight), F.sum(weight)), digits).alias("gauc"),
-        F.count("auc").alias("n_groups"),
-    )
+    return _mean_of_groups(auc_table(df, label, score, [*by, group], bands), by, digits)
+
+
+def ranking_report(
+    df: DataFrame, label: str, score: str, group: str, by: Sequence[str], digits: int = 5, bands: int = DEFAULT_BANDS
+) -> DataFrame:
+    """``(by..., auc, n_rows, gauc, n_groups)`` from one count of the scores.
+
+    The counts per (by, group, score) serve the grouped metric directly and,
+    summed over the groups, the whole one.
+    """
+    levels = _levels(df, label, score, [*by, group], bands)
+    merged = levels.groupBy(*by, "_s_band", "_s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    whole = _auc(merged, by).select(*by, F.round("auc", digits).alias("auc"), "n_rows")
+    return whole.join(_mean_of_groups(_auc(levels, [*by, group]), by, digits), list(by))
 
 
 def unpivot_labels(df: DataFrame, labels: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
@@ -93,8 +119,7 @@ def unpivot_labels(df: DataFrame, labels: Mapping[str, str], keep: Sequence[str]
 def auc_by_label(df: DataFrame, labels: Mapping[str, str], group: str, digits: int = 5) -> DataFrame:
     """AUC and grouped AUC of every task."""
     long = unpivot_labels(df, labels, [group])
-    whole = auc_table(long, "label", "score", ["task"]).select("task", F.round("auc", digits).alias("auc"))
-    return whole.join(gauc(long, "label", "score", group, digits, by=["task"]).drop("n_groups"), "task")
+    return ranking_report(long, "label", "score", group, ["task"], digits).select("task", "auc", "gauc")
 
 
 def auc_binned(df: DataFrame, label: str, score: str, thresholds: int = 200, digits: int = 6) -> DataFrame:
@@ -159,9 +184,8 @@ def aligned_predictions(scored: DataFrame, labels: Sequence[str], pred: str, use
 
 def compare_models(scored: DataFrame, label: str, score: str, version: str, group: str) -> DataFrame:
     """The metrics of every model version on the same rows."""
-    whole = auc_table(scored, label, score, [version]).select(version, F.round("auc", 5).alias("auc"))
-    grouped = gauc(scored, label, score, group, 5, by=[version]).drop("n_groups")
-    return whole.join(grouped, version).join(losses(scored, label, score, [version]).select(version, "logloss", "n_rows"), version)
+    ranking = ranking_report(scored, label, score, group, [version]).select(version, "auc", "gauc")
+    return ranking.join(losses(scored, label, score, [version]).select(version, "logloss", "n_rows"), version)
 
 
 def calibration(df: DataFrame, label: str, pred: str, deciles: int = 10) -> DataFrame:

@@ -11,11 +11,12 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import vectors as V
+from clickloom.functions.arrow import lists, matrix
 from clickloom.session import ship_package
 
 Kernel = Callable[[np.ndarray, Mapping[str, np.ndarray]], np.ndarray]
@@ -124,12 +125,11 @@ def interact(
     k = len(fields)
     shared = df.sparkSession.sparkContext.broadcast(dict(weights))
 
-    def evaluate(flat: pd.Series) -> pd.Series:
-        if not len(flat):
-            return pd.Series([], dtype=object)
-        x = np.stack(flat.to_numpy()).astype(np.float64)
-        y = kernel(x.reshape(len(x), k, -1), shared.value)
-        return pd.Series(y[:, 0] if scalar else list(y))
+    def evaluate(flat: pa.Array) -> pa.Array:
+        width = len(flat.flatten()) // max(len(flat), 1)
+        x = matrix(flat, width)
+        y = kernel(x.reshape(len(x), k, -1), shared.value) if len(x) else np.zeros((0, 1))
+        return pa.array(y[:, 0]) if scalar else lists(y)
 
-    udf = F.pandas_udf(evaluate, "double" if scalar else "array<double>")
+    udf = F.arrow_udf(evaluate, "double" if scalar else "array<double>")
     return df.withColumn(out, udf(V.concat(*fields)))

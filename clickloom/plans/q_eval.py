@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickloom.functions import categorical as C
 from clickloom.functions import dense as D
 from clickloom.operators import evaluate as E
 from clickloom.operators import fit, lookups, sampling
@@ -14,6 +13,7 @@ from clickloom.plans.q_split import BY_ORDER, DAY, ORDER
 from clickloom.plans.registry import query
 from clickloom.plans.views import IMPRESSIONS, impressions, table
 from clickloom.spec import CategoryField
+from clickloom.storage import materialize
 
 
 def auc_sql(source: str, label: str, score: str, by: str = "") -> str:
@@ -189,7 +189,7 @@ def score_linear_sql(spark, sf):
 def flagship(spark, sf):
     """Split by date, fit on train, index and normalize, score, AUC and grouped AUC per split."""
     rows = impressions(spark, sf).select("dt", *ORDER, "user_id", "source", "duration", "label_enter")
-    split = sampling.split_timeline(rows, DAY, 1430, [F.col(c).asc() for c in ORDER])
+    split = materialize(sampling.split_timeline(rows, DAY, 1430, [F.col(c).asc() for c in ORDER]), "split")
     train = split.where(F.col("split") == "train")
     stats = {r["feature"]: r for r in fit.fit_dense_stats(train, {"amount": -1.0, "duration": -1.0}).collect()}
     vocab = fit.fit_vocab(train, [CategoryField("source")])
@@ -202,5 +202,4 @@ def flagship(spark, sf):
     scored = lookups.index_by_vocab(split, "source", vocab, "source_idx").select(
         "split", "user_id", "label_enter", F.round(raw, 4).alias("s")
     )
-    whole = E.auc_table(scored, "label_enter", "s", ["split"]).select("split", F.round("auc", 5).alias("auc"), "n_rows")
-    return whole.join(E.gauc(scored, "label_enter", "s", "user_id", 5, by=["split"]), "split")
+    return E.ranking_report(scored, "label_enter", "s", "user_id", ["split"])
