@@ -32,12 +32,15 @@ def history(
     items: Sequence[str],
     k: int,
     epoch: Column,
-    slot_seconds: int = 3600,
+    slot: int = 3600,
     share: float = HOT_SHARE,
     floor: int = 100_000,
 ) -> DataFrame:
-    """Add ``hist_<item>`` = up to ``k`` earlier values (oldest first) and ``seq_length``."""
-    rows = add_slots(df, user, epoch, slot_seconds, share, floor)
+    """Add ``hist_<item>`` = up to ``k`` earlier values (oldest first) and ``seq_length``.
+
+    ``epoch`` and the width ``slot`` of a hot user's time slots share one unit.
+    """
+    rows = add_slots(df, user, epoch, slot, share, floor)
     step = F.struct(*order, *[i for i in items if i not in order])
     inside = Window.partitionBy(user, "_slot").orderBy(*order).rowsBetween(-k, -1)
     own = rows.withColumn("_own", F.collect_list(step).over(inside))
@@ -45,7 +48,7 @@ def history(
     # hot users only: the last k items of each slot, then of all slots before it
     newest = [F.col(o).desc() for o in order]
     tails = (
-        top_per_group(rows.where(F.col("_slot") != 0), [user, "_slot"], newest, k, "_rn")
+        top_per_group(rows.where(F.col("_slot").isNotNull()), [user, "_slot"], newest, k, "_rn")
         .groupBy(user, "_slot")
         .agg(F.array_sort(F.collect_list(step)).alias("_tail"))
     )
@@ -72,15 +75,18 @@ def session_starts(
     user: str,
     epoch: str,
     order: Sequence[str],
-    gap_seconds: float,
-    slot_seconds: int = 3600,
+    gap: float,
+    slot: int = 3600,
     share: float = HOT_SHARE,
     floor: int = 100_000,
 ) -> DataFrame:
-    """Add ``session_start``: time of the event that opened the row's session."""
-    rows = add_slots(df, user, F.col(epoch), slot_seconds, share, floor)
+    """Add ``session_start``: time of the event that opened the row's session.
+
+    ``gap`` and ``slot`` are in the unit of the ``epoch`` column.
+    """
+    rows = add_slots(df, user, F.col(epoch), slot, share, floor)
     slots = (
-        rows.where(F.col("_slot") != 0)
+        rows.where(F.col("_slot").isNotNull())
         .groupBy(user, "_slot")
         .agg(F.max(epoch).alias("_end"))
         .select(
@@ -97,13 +103,13 @@ def session_starts(
         .withColumn("_prev", previous)
         .withColumn(
             "_opens",
-            F.when(F.col("_prev").isNull() | (F.col(epoch) - F.col("_prev") > gap_seconds), F.col(epoch)),
+            F.when(F.col("_prev").isNull() | (F.col(epoch) - F.col("_prev") > gap), F.col(epoch)),
         )
     )
     own = F.last("_opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     # a hot slot may begin in the middle of a session opened in an earlier slot
     earlier = (
-        opened.where(F.col("_slot") != 0)
+        opened.where(F.col("_slot").isNotNull())
         .groupBy(user, "_slot")
         .agg(F.max("_opens").alias("_opened"))
         .select(
@@ -127,7 +133,7 @@ def session_split(
     epoch: str,
     order: Sequence[str],
     items: Sequence[str],
-    gap_seconds: float = 1800,
+    gap: float = 1800,
     max_sessions: int = 5,
     max_len: int = 10,
     **slots,
@@ -137,7 +143,7 @@ def session_split(
     Keeps the last ``max_sessions`` sessions and the last ``max_len`` items of
     each (both are properties of the feature); the limits apply in the map tasks.
     """
-    rows = session_starts(df, user, epoch, order, gap_seconds, **slots)
+    rows = session_starts(df, user, epoch, order, gap, **slots)
     newest = [F.col(o).desc() for o in order]
     kept = top_per_group(rows, [user, "session_start"], newest, max_len, "_rn")
     step = F.struct(*order, *[i for i in items if i not in order])
@@ -163,7 +169,7 @@ def negatives(
     next unknown place is computed once per run of known items, so every row is
     settled by one equi-join; NULL only when a user knows the whole catalog.
     """
-    n = catalog.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    n = catalog.agg(F.count(F.lit(1))).scalar()
     known = positives.select(user, "idx").distinct()
     run = known.withColumn(
         "_run", F.col("idx") - F.row_number().over(Window.partitionBy(user).orderBy("idx"))
@@ -172,7 +178,7 @@ def negatives(
     first = F.min(F.struct("_lo", "_hi")).over(Window.partitionBy(user))
     after = (
         ends.withColumn("_first", first)
-        .crossJoin(F.broadcast(n))
+        .withColumn("_n", n)
         .withColumn(
             "_next",
             F.when(F.col("_hi") < F.col("_n") - 1, F.col("_hi") + 1)
@@ -184,7 +190,7 @@ def negatives(
     skip = run.join(after, [user, "_run"]).select(
         F.col(user).alias("_u"), F.col("idx").alias("_i"), "_next"
     )
-    placed = steps.crossJoin(F.broadcast(n)).withColumn("_pick", F.pmod(pick, F.col("_n")).cast("long"))
+    placed = steps.withColumn("_pick", F.pmod(pick, n).cast("long"))
     chosen = placed.join(skip, (F.col(user) == F.col("_u")) & (F.col("_pick") == F.col("_i")), "left").withColumn(
         "_place", F.when(F.col("_i").isNull(), F.col("_pick")).otherwise(F.col("_next"))
     )

@@ -15,27 +15,23 @@ HOT_SHARE = 1e-3
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
     """Keys with more than ``share`` of the rows, and more than ``floor`` rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.join(F.broadcast(total))  # one row
-        .where((F.col("_n") > F.col("_total") * share) & (F.col("_n") > floor) & F.col(key).isNotNull())
-        .select(key)
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where((F.col("_n") > total * share) & (F.col("_n") > floor) & F.col(key).isNotNull()).select(key)
 
 
 def add_slots(
     df: DataFrame,
     key: str,
     epoch: Column,
-    slot_seconds: int = 3600,
+    slot: int = 3600,
     share: float = HOT_SHARE,
     floor: int = 100_000,
     out: str = "_slot",
 ) -> DataFrame:
-    """Add a slot number: 0 for ordinary keys, the time slot for hot ones."""
+    """Add a slot: NULL for ordinary keys, the number of the time slot for hot ones."""
     hot = hot_keys(df, key, share, floor).withColumn("_hot", F.lit(True))
     return (
         df.join(F.broadcast(hot), key, "left")  # at most 1/share rows
-        .withColumn(out, F.when(F.col("_hot"), F.floor(epoch / slot_seconds)).otherwise(F.lit(0)).cast("long"))
+        .withColumn(out, F.when(F.col("_hot"), F.floor(epoch / slot)).cast("long"))
         .drop("_hot")
     )

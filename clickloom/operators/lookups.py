@@ -127,7 +127,7 @@ def pretrained_matrix(vocab: DataFrame, table: DataFrame) -> DataFrame:
     vectors (row 0 included), and words that are not in the table get row 0.
     Row 0 of the result is that default.
     """
-    default = F.broadcast(mean_vector(table))  # one row
+    default = mean_vector(table)
     side = table.select(F.col("word").alias("_w"), F.when(F.col("row") != 0, F.col("vec")).alias("_vec"))
     words = vocab.select(F.col("value"), F.col("idx").cast("long").alias("idx")).join(
         side, F.col("value") == F.col("_w"), "left"
@@ -135,22 +135,19 @@ def pretrained_matrix(vocab: DataFrame, table: DataFrame) -> DataFrame:
     first = default.select(
         F.lit(0).cast("long").alias("idx"), F.lit(None).cast("string").alias("value"), F.col("mean").alias("vec")
     )
-    rest = words.crossJoin(default).select(
-        "idx", "value", F.coalesce(F.col("_vec").cast("array<double>"), F.col("mean")).alias("vec")
+    rest = words.select(
+        "idx", "value", F.coalesce(F.col("_vec").cast("array<double>"), default.scalar()).alias("vec")
     )
     return first.unionByName(rest)
 
 
 def emb_value_lookup(df: DataFrame, col: str, table: DataFrame, out: str, default_key: str = "-1") -> DataFrame:
     """id -> stored vector; unknown ids take the vector stored under ``default_key``."""
-    default = F.broadcast(
-        table.where(F.col("key") == default_key).agg(F.first("vec").alias("_default"))  # one row
-    )
+    default = table.where(F.col("key") == default_key).agg(F.first("vec")).scalar()
     side = table.select(F.col("key").alias("_k"), F.col("vec").alias("_vec"))
     return (
         df.join(side, F.col(col).cast("string") == F.col("_k"), "left")
-        .crossJoin(default)
-        .withColumn(out, F.coalesce("_vec", "_default"))
-        .drop("_k", "_vec", "_default")
+        .withColumn(out, F.coalesce("_vec", default))
+        .drop("_k", "_vec")
     )
 

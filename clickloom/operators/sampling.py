@@ -71,7 +71,7 @@ def split_prefix(df: DataFrame, ratio: float, order: Sequence[Column], by: Seque
             on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
         joined = ranked.join(sizes, on)
     else:
-        joined = ranked.crossJoin(F.broadcast(sizes))  # one row
+        joined = ranked.withColumn("_n", sizes.scalar())
     left = F.col("_rn") <= F.floor(F.col("_n") * F.lit(float(ratio)))
     return joined.select(*df.columns, F.when(left, "left").otherwise("right").alias(out))
 

@@ -47,7 +47,8 @@ def neg_sequence(spark, sf):
     return H.negatives(b, "user_id", positives, catalog, pick).select("event_id", "neg_item")
 
 
-GAP = 12 * 3600 * 1_000_000
+HOUR = 3600 * 1_000_000
+GAP = 12 * HOUR
 
 
 @query(
@@ -63,7 +64,7 @@ GAP = 12 * 3600 * 1_000_000
     CAST(count(*) AS INT) AS sess_length FROM k GROUP BY user_id""",
 )
 def session_split(spark, sf):
-    out = H.session_split(behaviour(spark, sf), "user_id", "us", ORDER, ["item_id"], gap_seconds=GAP, max_len=10)
+    out = H.session_split(behaviour(spark, sf), "user_id", "us", ORDER, ["item_id"], GAP, max_len=10, slot=HOUR)
     names = [f"sess_{i}_item_id" for i in range(5)]
     return out.select("user_id", *[ids(c).alias(c) for c in names], "sess_length")
 

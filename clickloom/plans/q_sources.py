@@ -128,7 +128,7 @@ def repartition_write(spark, sf):
         rows.where(cond).repartition(n).write.parquet(path)
         files = tables.list_files(spark, path).agg(F.count(F.lit(1)).alias("n_files"))
         counted = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
-        parts.append(files.crossJoin(counted).select(F.lit(side).alias("side"), "n_files", "n_rows"))
+        parts.append(counted.select(F.lit(side).alias("side"), files.scalar().alias("n_files"), "n_rows"))
     return parts[0].unionByName(parts[1])
 
 
@@ -199,8 +199,7 @@ FREQUENT = "kept AS (SELECT * FROM vocab WHERE count >= (SELECT avg(count) FROM
 
 def _frequent(spark, sf):
     vocab = _brand_vocab(spark, sf)
-    floor = vocab.agg(F.avg("count").alias("floor"))  # one row
-    return vocab.join(F.broadcast(floor)).where(F.col("count") >= F.col("floor"))
+    return vocab.where(F.col("count") >= vocab.agg(F.avg("count")).scalar())
 
 
 @query(
