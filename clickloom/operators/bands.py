@@ -15,22 +15,32 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BANDS = 512
+ROWS_PER_BAND = 1_000_000
+MAX_BANDS = 4096
 
 
-def cut_points(df: DataFrame, cols: Sequence[str], bands: int = DEFAULT_BANDS) -> dict[str, list[float]]:
-    """Strictly increasing band edges per column, from one quantile sketch job."""
-    probs = [i / bands for i in range(1, bands)]
-    sketches = df.approxQuantile(list(cols), probs, 0.5 / bands)
-    return {
-        c: [float("-inf"), *sorted({q for q in qs if q == q}), float("inf")]
-        for c, qs in zip(cols, sketches)
-    }
+def cut_points(df: DataFrame, cols: Sequence[str], bands: int | None = None) -> dict[str, list[float]]:
+    """Strictly increasing band edges per column.
+
+    The number of bands follows from the number of rows unless it is given; a
+    table that fits one band is not sketched at all.
+    """
+    wanted = bands or min(MAX_BANDS, -(-df.count() // ROWS_PER_BAND))
+    cuts: dict[str, list[float]] = {c: [] for c in cols}
+    if wanted > 1:
+        probs = F.expr("array(" + ", ".join(f"{i / wanted!r}D" for i in range(1, wanted)) + ")")
+        sketch = df.agg(*[F.percentile_approx(c, probs, max(100, 2 * wanted)).alias(c) for c in cols]).first()
+        cuts = {c: sorted({q for q in sketch[c] or [] if q == q}) for c in cols}
+    return {c: [float("-inf"), *inner, float("inf")] for c, inner in cuts.items()}
 
 
 def add_bands(df: DataFrame, edges: Mapping[str, Sequence[float]], suffix: str = "_band") -> DataFrame:
     """Add the band number of every column in ``edges`` (binary search in the JVM)."""
-    cols = list(edges)
+    single = [c for c in edges if len(edges[c]) < 3]  # everything in one band
+    df = df.withColumns({c + suffix: F.lit(0.0) for c in single})
+    cols = [c for c in edges if c not in single]
+    if not cols:
+        return df
     return Bucketizer(
         splitsArray=[list(edges[c]) for c in cols],
         inputCols=cols,
@@ -39,7 +49,7 @@ def add_bands(df: DataFrame, edges: Mapping[str, Sequence[float]], suffix: str =
     ).transform(df)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int = DEFAULT_BANDS) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int | None = None) -> DataFrame:
     """``(feature, quantile)``: linear-interpolated exact quantile of each column.
 
     Values are counted per (feature, band, value) first; only the one or two
@@ -63,7 +73,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int = D
         .groupBy("feature", "band", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # at most `bands` rows per feature from here on
+    # at most MAX_BANDS rows per feature from here on
     per_band = counts.groupBy("feature", "band").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy("feature").orderBy("band")
     rank = F.lit(q) * (F.col("total") - 1)

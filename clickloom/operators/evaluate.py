@@ -13,10 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.operators.bands import DEFAULT_BANDS, add_bands, cut_points
+from clickloom.operators.bands import add_bands, cut_points
 
 
-def _levels(df: DataFrame, label: str, score: str, by: Sequence[str], bands: int) -> DataFrame:
+def _levels(df: DataFrame, label: str, score: str, by: Sequence[str], bands: int | None) -> DataFrame:
     """Positives and negatives per (by..., band, distinct score)."""
     rows = df.select(
         *by, F.col(label).cast("double").cast("long").alias("_y"), F.col(score).cast("double").alias("_s")
@@ -36,7 +36,7 @@ def _auc(levels: DataFrame, by: Sequence[str]) -> DataFrame:
         .groupBy(*by, "_s_band")
         .agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    # at most `bands` rows per group here
+    # at most MAX_BANDS rows per group here
     below = Window.partitionBy(*by).orderBy("_s_band").rowsBetween(Window.unboundedPreceding, -1)
     total = per_band.withColumn(
         "area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0))
@@ -60,13 +60,13 @@ def _mean_of_groups(per_group: DataFrame, by: Sequence[str], digits: int) -> Dat
 
 
 def auc_table(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), bands: int = DEFAULT_BANDS
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), bands: int | None = None
 ) -> DataFrame:
     """``(by..., auc, n_rows, n_pos, n_neg)``."""
     return _auc(_levels(df, label, score, by, bands), by)
 
 
-def auc_global(df: DataFrame, label: str, score: str, digits: int = 5, bands: int = DEFAULT_BANDS) -> DataFrame:
+def auc_global(df: DataFrame, label: str, score: str, digits: int = 5, bands: int | None = None) -> DataFrame:
     return auc_table(df, label, score, (), bands).select(F.round("auc", digits).alias("auc"), "n_rows")
 
 
@@ -77,14 +77,14 @@ def gauc(
     group: str,
     digits: int = 5,
     by: Sequence[str] = (),
-    bands: int = DEFAULT_BANDS,
+    bands: int | None = None,
 ) -> DataFrame:
     """Row-weighted mean of per-group AUC over groups that have both classes."""
     return _mean_of_groups(auc_table(df, label, score, [*by, group], bands), by, digits)
 
 
 def ranking_report(
-    df: DataFrame, label: str, score: str, group: str, by: Sequence[str], digits: int = 5, bands: int = DEFAULT_BANDS
+    df: DataFrame, label: str, score: str, group: str, by: Sequence[str], digits: int = 5, bands: int | None = None
 ) -> DataFrame:
     """``(by..., auc, n_rows, gauc, n_groups)`` from one count of the scores.
 

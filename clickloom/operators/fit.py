@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import categorical as C
 from clickloom.operators.ranking import global_rank, top_per_group
 from clickloom.spec import CategoryField, DenseField, Field, TokensField
+from clickloom.storage import materialize
 
 
 def _values(f: CategoryField | TokensField) -> Column:
@@ -61,7 +62,8 @@ def kept_values(counts: DataFrame, fields: Sequence[CategoryField | TokensField]
 def fit_vocab(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -> DataFrame:
     """``(feature, value, count, idx)``; 1..n by count descending, then value."""
     kept = kept_values(value_counts(df, fields), fields)
-    return global_rank(kept, [F.col("count").desc(), F.col("value").asc()], by=["feature"], out="idx")
+    ranked = global_rank(kept, [F.col("count").desc(), F.col("value").asc()], by=["feature"], out="idx")
+    return materialize(ranked, "vocab")  # lookups then see a plain table of known size
 
 
 def topk_vocab(df: DataFrame, fields: Sequence[CategoryField | TokensField], k: int) -> DataFrame:
