@@ -62,7 +62,7 @@ def kept_values(counts: DataFrame, fields: Sequence[CategoryField | TokensField]
 def fit_vocab(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -> DataFrame:
     """``(feature, value, count, idx)``; 1..n by count descending, then value."""
     kept = kept_values(value_counts(df, fields), fields)
-    ranked = global_rank(kept, [F.col("count").desc(), F.col("value").asc()], by=["feature"], out="idx")
+    ranked = global_rank(kept, [F.col("count").desc(), F.col("value").asc()], by=["feature"], out="idx", unique=True)
     return materialize(ranked, "vocab")  # lookups then see a plain table of known size
 
 

@@ -16,19 +16,28 @@ def global_rank(
     by: Sequence[str] = (),
     out: str = "rn",
     partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``out`` = 1-based position inside each ``by`` group along ``order``.
 
     The table is range-partitioned by ``(by, order)``, so a group of any size
     is cut into sorted, equally filled runs.  One number per (group, run) is
     then enough to turn positions inside a run into positions in the group.
-    ``order`` has to be total for the numbers to be repeatable.
+
+    Rows that tie in ``order`` (copies of one row, say) could not be cut apart
+    by range.  They first get a stored number each, as the last sort key; pass
+    ``unique=True`` where ``order`` has no ties inside a group to save that step.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(c).asc() for c in by] + list(order)
+    numbered = df
+    if not unique:
+        # stored, so that a lost task cannot number its rows differently
+        numbered = materialize(df.withColumn("_tie", F.monotonically_increasing_id()), "numbered")
+        sort_cols.append(F.col("_tie").asc())
     runs = materialize(
-        df.repartitionByRange(partitions, *sort_cols)
+        numbered.repartitionByRange(partitions, *sort_cols)
         .sortWithinPartitions(*sort_cols)
         .withColumn("_row", F.monotonically_increasing_id()),
         "ranked",

@@ -40,7 +40,7 @@ def hist_sequence(spark, sf):
 )
 def neg_sequence(spark, sf):
     b = behaviour(spark, sf).select("event_id", "user_id", "item_id")
-    catalog = global_rank(b.select(F.col("item_id").alias("item")).distinct(), [F.col("item").asc()], out="idx")
+    catalog = global_rank(b.select(F.col("item_id").alias("item")).distinct(), [F.col("item").asc()], out="idx", unique=True)
     catalog = catalog.withColumn("idx", F.col("idx") - 1)
     positives = b.join(catalog, b.item_id == catalog.item).select("user_id", "idx")
     pick = F.col("user_id") * 104729 + F.col("event_id") * 7919

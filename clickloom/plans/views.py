@@ -10,6 +10,8 @@ DAY_MICROS = 86_400 * MICROS
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # the times in the tables carry no zone: UTC has no gaps, so they stay as written
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 

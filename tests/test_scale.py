@@ -40,6 +40,14 @@ def test_global_rank_whole_table(spark, events):
     assert got.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()[:] == (1, 1200, 1200)
 
 
+def test_copies_are_cut_apart(spark):
+    """A third of the rows are copies of one row: numbers stay distinct, runs stay even."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("x"))
+    got = ranking.global_rank(df, [F.col("x").asc()], partitions=8)
+    assert got.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()[:] == (1, 9000, 9000)
+    assert got.where("x = -1").agg(F.max("rn")).first()[0] == 3000
+
+
 def test_hot_keys(events):
     assert [r["u"] for r in hotkeys.hot_keys(events, "u", 0.2, 0).collect()] == [1]
 
