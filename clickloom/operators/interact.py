@@ -126,10 +126,16 @@ def interact(
     shared = df.sparkSession.sparkContext.broadcast(dict(weights))
 
     def evaluate(flat: pa.Array) -> pa.Array:
-        width = len(flat.flatten()) // max(len(flat), 1)
-        x = matrix(flat, width)
-        y = kernel(x.reshape(len(x), k, -1), shared.value) if len(x) else np.zeros((0, 1))
-        return pa.array(y[:, 0]) if scalar else lists(y)
+        known = flat.drop_null()
+        if not len(known):
+            return pa.nulls(len(flat), pa.float64() if scalar else pa.list_(pa.float64()))
+        x = matrix(known, len(known.flatten()) // len(known))
+        y = kernel(x.reshape(len(x), k, -1), shared.value)
+        made = pa.array(y[:, 0]) if scalar else lists(y)
+        if not flat.null_count:
+            return made
+        valid = flat.is_valid().to_numpy(zero_copy_only=False)  # a missing field vector gives a missing cross
+        return made.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
 
     udf = F.arrow_udf(evaluate, "double" if scalar else "array<double>")
     return df.withColumn(out, udf(V.concat(*fields)))

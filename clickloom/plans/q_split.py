@@ -16,7 +16,7 @@ def _order():
     return [F.col(c).asc() for c in ORDER]
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", "SELECT event_id, user_id, value FROM events")
 def shuffle_rows(spark, sf):
     return S.shuffle_rows(behaviour(spark, sf).select("event_id", "user_id", "value"), ["event_id"], seed=42)
 

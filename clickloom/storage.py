@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; call it when results are stored."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

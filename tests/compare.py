@@ -87,6 +87,7 @@ def check(spark, con, sf, name, queries, oracles):
 
 def main():
     from __spark_entry__ import oracle_sql, queries
+    from clickloom.storage import release
 
     sf, names = sys.argv[1], sys.argv[2:]
     spark, con, q, o = session(), duck(sf), queries(), oracle_sql()
@@ -99,6 +100,7 @@ def main():
             problem = "".join(traceback.format_exception_only(e))[:700]
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name:26s} {time.time() - t:6.2f}s {'sql' if name in o else 'rows'} {problem or ''}", flush=True)
+    release(spark)
     print("failed:", failed)
 
 

@@ -8,9 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    from clickloom.storage import release
     from tests.compare import session
 
-    return session("4")
+    s = session("4")
+    yield s
+    release(s)
 
 
 def rows(df, *order):

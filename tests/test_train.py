@@ -88,6 +88,9 @@ def test_interact_custom_kernel_and_errors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>")
     got = I.interact(df, ["a", "b"], lambda x, w: x.sum(1) * w["k"], {"k": 2.0}).first()["cross"]
     assert got == [8.0, 12.0]
+    holes = spark.createDataFrame([(1, None), (2, [1.0]), (3, None), (4, [5.0])], "k int, a array<double>")
+    out = I.interact(holes.coalesce(1), ["a", "a"], lambda x, w: x.sum(1), {})
+    assert {r["k"]: r["cross"] for r in out.collect()} == {1: None, 2: [2.0], 3: None, 4: [10.0]}
     with pytest.raises(KeyError):
         I.interact(df, ["a", "b"], "unknown", {})
 
