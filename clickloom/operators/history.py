@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.operators.hotkeys import HOT_SHARE, add_slots
+from clickloom.operators.hotkeys import HOT_SHARE, ROWS_PER_SLOT, add_slots
 from clickloom.operators.ranking import top_per_group
 
 
@@ -32,15 +32,14 @@ def history(
     items: Sequence[str],
     k: int,
     epoch: Column,
-    slot: int = 3600,
+    rows_per_slot: int = ROWS_PER_SLOT,
     share: float = HOT_SHARE,
-    floor: int = 100_000,
 ) -> DataFrame:
     """Add ``hist_<item>`` = up to ``k`` earlier values (oldest first) and ``seq_length``.
 
-    ``epoch`` and the width ``slot`` of a hot user's time slots share one unit.
+    ``epoch`` is the leading part of ``order``: it cuts a hot user's rows into slots.
     """
-    rows = add_slots(df, user, epoch, slot, share, floor)
+    rows = add_slots(df, user, epoch, rows_per_slot, share)
     step = F.struct(*order, *[i for i in items if i not in order])
     inside = Window.partitionBy(user, "_slot").orderBy(*order).rowsBetween(-k, -1)
     own = rows.withColumn("_own", F.collect_list(step).over(inside))
@@ -76,15 +75,14 @@ def session_starts(
     epoch: str,
     order: Sequence[str],
     gap: float,
-    slot: int = 3600,
+    rows_per_slot: int = ROWS_PER_SLOT,
     share: float = HOT_SHARE,
-    floor: int = 100_000,
 ) -> DataFrame:
     """Add ``session_start``: time of the event that opened the row's session.
 
-    ``gap`` and ``slot`` are in the unit of the ``epoch`` column.
+    ``gap`` is in the unit of the ``epoch`` column.
     """
-    rows = add_slots(df, user, F.col(epoch), slot, share, floor)
+    rows = add_slots(df, user, F.col(epoch), rows_per_slot, share)
     slots = (
         rows.where(F.col("_slot").isNotNull())
         .groupBy(user, "_slot")

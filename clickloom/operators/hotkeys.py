@@ -1,7 +1,8 @@
 """Hot keys and the time slots that cut them up.
 
-A key is hot when it holds more than ``share`` of all rows, so there are at
-most ``1 / share`` hot keys: small enough to broadcast at any data size.
+A key is hot when it holds more than ``share`` of all rows (and more rows than
+fit one slot), so there are at most ``1 / share`` hot keys: small enough to
+broadcast at any data size.
 """
 
 from __future__ import annotations
@@ -9,29 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-3
+HOT_SHARE = 1e-5
+ROWS_PER_SLOT = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
-    """Keys with more than ``share`` of the rows, and more than ``floor`` rows."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def hot_keys(
+    df: DataFrame, key: str, epoch: Column, rows_per_slot: int = ROWS_PER_SLOT, share: float = HOT_SHARE
+) -> DataFrame:
+    """``(key, _from, _width)``: first time and slot width of every hot key.
+
+    The time span of a key is divided into as many equal slots as its rows need.
+    """
+    counts = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(epoch).alias("_from"), F.max(epoch).alias("_to")
+    )
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where((F.col("_n") > total * share) & (F.col("_n") > floor) & F.col(key).isNotNull()).select(key)
+    return counts.where(
+        (F.col("_n") > total * share) & (F.col("_n") > rows_per_slot) & F.col(key).isNotNull()
+    ).select(key, "_from", ((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / rows_per_slot)).alias("_width"))
 
 
 def add_slots(
     df: DataFrame,
     key: str,
     epoch: Column,
-    slot: int = 3600,
+    rows_per_slot: int = ROWS_PER_SLOT,
     share: float = HOT_SHARE,
-    floor: int = 100_000,
     out: str = "_slot",
 ) -> DataFrame:
     """Add a slot: NULL for ordinary keys, the number of the time slot for hot ones."""
-    hot = hot_keys(df, key, share, floor).withColumn("_hot", F.lit(True))
+    hot = hot_keys(df, key, epoch, rows_per_slot, share)
     return (
         df.join(F.broadcast(hot), key, "left")  # at most 1/share rows
-        .withColumn(out, F.when(F.col("_hot"), F.floor(epoch / slot)).cast("long"))
-        .drop("_hot")
+        .withColumn(out, F.floor((epoch - F.col("_from")) / F.col("_width")).cast("long"))
+        .drop("_from", "_width")
     )

@@ -23,7 +23,7 @@ ORDER = ["us", "event_id"]
     FROM behaviour WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
 )
 def hist_sequence(spark, sf):
-    out = H.history(behaviour(spark, sf), "user_id", ORDER, ["item_id", "event_type"], 20, F.col("sec"))
+    out = H.history(behaviour(spark, sf), "user_id", ORDER, ["item_id", "event_type"], 20, F.col("us"))
     return out.select(
         "event_id", ids("hist_item_id").alias("hist_item_id"), ids("hist_event_type").alias("hist_event_type"), "seq_length"
     )
@@ -47,8 +47,7 @@ def neg_sequence(spark, sf):
     return H.negatives(b, "user_id", positives, catalog, pick).select("event_id", "neg_item")
 
 
-HOUR = 3600 * 1_000_000
-GAP = 12 * HOUR
+GAP = 12 * 3600 * 1_000_000
 
 
 @query(
@@ -64,7 +63,7 @@ GAP = 12 * HOUR
     CAST(count(*) AS INT) AS sess_length FROM k GROUP BY user_id""",
 )
 def session_split(spark, sf):
-    out = H.session_split(behaviour(spark, sf), "user_id", "us", ORDER, ["item_id"], GAP, max_len=10, slot=HOUR)
+    out = H.session_split(behaviour(spark, sf), "user_id", "us", ORDER, ["item_id"], GAP, max_len=10)
     names = [f"sess_{i}_item_id" for i in range(5)]
     return out.select("user_id", *[ids(c).alias(c) for c in names], "sess_length")
 

@@ -49,12 +49,12 @@ def test_copies_are_cut_apart(spark):
 
 
 def test_hot_keys(events):
-    assert [r["u"] for r in hotkeys.hot_keys(events, "u", 0.2, 0).collect()] == [1]
+    assert [r["u"] for r in hotkeys.hot_keys(events, "u", F.col("sec"), 20, 0.2).collect()] == [1]
 
 
-@pytest.mark.parametrize("floor", [0, 10**9])
-def test_history_with_and_without_slots(events, floor):
-    got = H.history(events, "u", ["sec", "id"], ["item"], 5, F.col("sec"), slot=3000, share=0.2, floor=floor)
+@pytest.mark.parametrize("rows_per_slot", [20, 10**9])
+def test_history_with_and_without_slots(events, rows_per_slot):
+    got = H.history(events, "u", ["sec", "id"], ["item"], 5, F.col("sec"), rows_per_slot=rows_per_slot, share=0.2)
     want = {}
     for rows in brute(events).values():
         for n, r in enumerate(rows):
@@ -64,11 +64,11 @@ def test_history_with_and_without_slots(events, floor):
     assert all(r["seq_length"] == len(r["hist_item"]) for r in rows)
 
 
-@pytest.mark.parametrize("floor", [0, 10**9])
+@pytest.mark.parametrize("rows_per_slot", [20, 10**9])
 @pytest.mark.parametrize("gap", [1800, 300, 90_000])
-def test_sessions_with_and_without_slots(events, floor, gap):
+def test_sessions_with_and_without_slots(events, rows_per_slot, gap):
     got = H.session_split(
-        events, "u", "sec", ["sec", "id"], ["item"], gap, 5, 4, slot=3000, share=0.2, floor=floor
+        events, "u", "sec", ["sec", "id"], ["item"], gap, 5, 4, rows_per_slot=rows_per_slot, share=0.2
     )
     want = {}
     for u, rows in brute(events).items():
