@@ -11,18 +11,18 @@ from clickloom.operators import fit
 from clickloom.operators import prepare as P
 from clickloom.plans.registry import query
 from clickloom.plans.views import BEHAVIOUR, IMPRESSIONS, behaviour, fixed, ids, impressions, table
-from clickloom.spec import CategoryField, Column_, DatasetSpec, DenseField, TokensField, VectorField
+from clickloom.spec import CategoryField, DeclaredColumn, DatasetSpec, DenseField, TokensField, VectorField
 
 SPEC = DatasetSpec(
-    labels=(Column_("label_enter", "int32"), Column_("label_convert", "int32")),
+    labels=(DeclaredColumn("label_enter", "int32"), DeclaredColumn("label_convert", "int32")),
     features=(
-        Column_("amount", "float32"),
-        Column_("duration", "int32"),
-        Column_("item_id", "int64"),
-        Column_("tag", "string"),
-        Column_("source", "string"),
+        DeclaredColumn("amount", "float32"),
+        DeclaredColumn("duration", "int32"),
+        DeclaredColumn("item_id", "int64"),
+        DeclaredColumn("tag", "string"),
+        DeclaredColumn("source", "string"),
     ),
-    passthrough=(Column_("dt", "string"),),
+    passthrough=(DeclaredColumn("dt", "string"),),
     versions={"v1": ("tag", "duration", "item_id")},
 )
 

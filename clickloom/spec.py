@@ -196,7 +196,7 @@ def check_names(names: Sequence[str], what: str) -> None:
 
 
 @dataclass(frozen=True)
-class Column_:
+class DeclaredColumn:
     """One declared output column with its storage type."""
 
     out: str
@@ -218,9 +218,9 @@ STORAGE_TYPES = {
 class DatasetSpec:
     """Labels, features and pass-through columns of one dataset."""
 
-    labels: tuple[Column_, ...]
-    features: tuple[Column_, ...]
-    passthrough: tuple[Column_, ...] = ()
+    labels: tuple[DeclaredColumn, ...]
+    features: tuple[DeclaredColumn, ...]
+    passthrough: tuple[DeclaredColumn, ...] = ()
     versions: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -230,7 +230,7 @@ class DatasetSpec:
             if c.dtype not in STORAGE_TYPES:
                 raise ValueError(f"{c.out}: unknown storage type {c.dtype!r}")
 
-    def columns(self) -> tuple[Column_, ...]:
+    def columns(self) -> tuple[DeclaredColumn, ...]:
         return self.labels + self.features + self.passthrough
 
     def choose(
@@ -251,7 +251,7 @@ class DatasetSpec:
 
         rest = self.passthrough
         if with_user and "user_id" not in [c.out for c in rest] and "user_id" not in features:
-            rest = rest + (Column_("user_id", "string", "str(user_id)"),)
+            rest = rest + (DeclaredColumn("user_id", "string", "str(user_id)"),)
         return replace(
             self,
             labels=pick(labels, self.labels, "labels"),
@@ -279,7 +279,7 @@ class DatasetSpec:
         doc = json.loads(text)
 
         def cols(key):
-            return tuple(Column_(d["out"], d["feature_column"]["dtype"], d.get("expr")) for d in doc.get(key, []))
+            return tuple(DeclaredColumn(d["out"], d["feature_column"]["dtype"], d.get("expr")) for d in doc.get(key, []))
 
         return DatasetSpec(cols("label"), cols("features"), cols("field"))
 
@@ -314,6 +314,40 @@ def online_document(fields: Sequence[ProfileField], version: int = 1) -> dict:
     return {"version": 2, **doc} if version == 2 else doc
 
 
+def fields_from_document(doc: Mapping, exprs: Mapping[str, Callable[[], Column]] | None = None) -> list[ProfileField]:
+    """Profile fields of a serving document, either version.
+
+    Features whose expression is their own name pass through.  Every other
+    feature takes its Column function from ``exprs`` by output name.
+    """
+    exprs = exprs or {}
+    left = dict(doc["schema"])
+    out: list[ProfileField] = []
+
+    def source_of(name: str) -> dict[str, Any]:
+        entry = left.pop(name)
+        s = entry["source"]
+        pid, _, column = s["field"].rpartition(":") if "pid" not in s else (s["pid"], "", s["field"])
+        where = Source(s["key_type"], int(pid or 0), column, s.get("no_cache"))
+        return {"default": entry["default"], "datatype": entry["type"], "source": where}
+
+    check_names([f["out"] for f in doc["features"]], "features")
+    for f in doc["features"]:
+        name = f["out"]
+        known = source_of(name) if name in left else {"default": "", "datatype": "String"}
+        if f["expr"] == name:
+            out.append(ProfileField(name, **known))
+            continue
+        if name not in exprs:
+            raise KeyError(f"{name}: no Column function for expression {f['expr']!r}")
+        consts = {k: c["value"] for k, c in f["consts"].items()} if f.get("consts") else None
+        out.append(ProfileField(name, expr=exprs[name], expr_text=f["expr"], consts=consts, **known))
+    for name in list(left):  # fetched for other features' expressions only
+        known = source_of(name)
+        out.append(ProfileField(name, expr=lambda name=name: F.col(name), expr_text=name, **known))
+    return out
+
+
 def expand_names(templates: Sequence[str]) -> list[str]:
     """``a_{14/7}d`` -> ``a_14d, a_7d``; blank lines and ``#`` lines are skipped."""
     out: list[str] = []

@@ -1,3 +1,4 @@
+import json
 from types import SimpleNamespace
 
 import pytest
@@ -10,8 +11,8 @@ from clickloom.operators import lookups as L
 from clickloom.operators import prepare as P
 
 DATASET = S.DatasetSpec(
-    labels=(S.Column_("y", "int32"), S.Column_("z", "int32")),
-    features=(S.Column_("a", "float32"), S.Column_("b", "string")),
+    labels=(S.DeclaredColumn("y", "int32"), S.DeclaredColumn("z", "int32")),
+    features=(S.DeclaredColumn("a", "float32"), S.DeclaredColumn("b", "string")),
 )
 
 
@@ -73,6 +74,28 @@ def test_online_document_versions():
     assert one["features"][2]["consts"] == {"KEYS": {"value": [1, 2], "type": "IntVec"}}
 
 
+def test_document_round_trip(spark, tmp_path):
+    fields = [
+        S.ProfileField("u_gender", 0, "Int", S.Source("user_id", 10001, "sex")),
+        S.ProfileField("e_app", "", "String", S.Source("ctx", 0, "e_app")),
+        S.ProfileField(
+            "u_cnt", {}, "MapIntFloat32", S.Source("user_id", 5, "cnt"),
+            expr=lambda: F.lit(1), expr_text="get_map_values(u_cnt, KEYS)", consts={"KEYS": [1, 2]},
+        ),
+    ]
+    for version in (1, 2):
+        doc = S.online_document(fields, version)
+        path = str(tmp_path / f"doc{version}")
+        fit.save_document(spark, path, doc)
+        stored = json.loads(spark.read.text(path).first()["value"])
+        assert stored == doc
+        back = S.fields_from_document(stored, {"u_cnt": lambda: F.lit(1)})
+        assert S.online_document(back, version) == doc
+        assert back[0].source == S.Source("user_id", 10001, "sex")
+    with pytest.raises(KeyError, match="u_cnt"):
+        S.fields_from_document(doc)
+
+
 def test_expand_names():
     got = S.expand_names(["u_{click/comment}_ratio_{3/1}d", "", "# no", "u_view_post_cnt_{14/7}d"])
     assert got == [
@@ -117,6 +140,14 @@ def test_vocabulary_rules(spark):
     assert [r["value"] for r in tokens.orderBy("idx").collect()] == ["", "a", "b"], "a token default is kept above 1"
 
 
+def test_vocabulary_numbering_is_the_same_on_both_ways(spark):
+    df = spark.range(3000).select(
+        F.pmod(F.xxhash64("id"), F.lit(90)).cast("string").alias("a"), F.pmod(F.col("id"), F.lit(7)).cast("string").alias("b")
+    )
+    fields = [S.CategoryField("a"), S.CategoryField("b")]
+    assert fit.fit_vocab(df, fields).exceptAll(fit.fit_vocab(df, fields, one_task=0)).count() == 0
+
+
 def test_cleanup_before_vocab(spark):
     df = spark.createDataFrame([("a.b.z",), ("z",), ("q.y",)], "c string")
     field = S.CategoryField("c", before_vocab="split_dot_get_last")
