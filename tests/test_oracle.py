@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from clickloom.plans.catalog import ORACLES, QUERIES
 from tests.compare import check, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,10 +13,10 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert check(spark, con, SF, name, queries(), oracle_sql()) is None
+    assert check(spark, con, SF, name, QUERIES, ORACLES) is None
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
