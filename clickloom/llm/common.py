@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.session import ship_package
 from clickloom.storage import materialize
 
-__all__ = ["binary", "exchange", "materialize", "partitions", "prepared", "ship_package", "table", "uint64", "whole_text"]
+__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "prepared", "ship_package", "table", "uint64", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +48,36 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def uint64(raw: Iterator[bytes] | list[bytes], dtype: str = "<u8") -> np.ndarray:
     """Packed numbers of many blocks as one array."""
     return np.frombuffer(b"".join(raw), dtype)
+
+
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``prepared`` with ``row``, a key of the rows: doc_id where that is one, else a written number."""
+    base = prepared(docs, *keep)
+    twice = base.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if twice.isEmpty():
+        return base.withColumn("row", F.col("doc_id"))
+    return materialize(base.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over edges (a, b), for every node that has one.
+
+    Each round hooks every component to its least neighbour and shortens the
+    paths, so the rounds grow with the logarithm of the longest chain; labels
+    are written once a round.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
+    links = materialize(both, "links")
+    labels = materialize(links.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
+    while True:
+        name = labels.select(F.col("node").alias("b"), F.col("component").alias("seen"))
+        lower = links.join(name, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("lower"))
+        step = labels.join(lower, "node").select("node", "component", F.least("component", "lower").alias("hooked"))
+        # the component a node is hooked to may itself have moved: the lowest label any of its nodes has seen
+        best = step.groupBy("component").agg(F.min("hooked").alias("best"))
+        moved = step.join(best, "component").select("node", F.col("component").alias("before"), F.least("hooked", "best").alias("component"))
+        moved = materialize(moved, "labels")
+        jump = moved.select(F.col("node").alias("component"), F.col("component").alias("next")).distinct()
+        labels = materialize(moved.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+        if moved.where("component <> before").isEmpty():
+            return labels
