@@ -1,7 +1,7 @@
 """All queries of this subpackage, with their SQL where SQL can express them."""
 
-from clickloom.llm import decontaminate, exact_dedup, ngram_join, packing, secrets, toxicity, wavelet
+from clickloom.llm import decontaminate, exact_dedup, ngram_join, packing, secrets, substrings, toxicity, wavelet
 
-_modules = [packing, decontaminate, exact_dedup, toxicity, ngram_join, wavelet, secrets]
+_modules = [packing, decontaminate, exact_dedup, toxicity, substrings, ngram_join, wavelet, secrets]
 QUERIES = {name: q for m in _modules for name, (q, _) in m.QUERIES.items()}
 ORACLES = {name: sql for m in _modules for name, (_, sql) in m.QUERIES.items() if sql}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.session import ship_package
 from clickloom.storage import materialize
 
-__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "prepared", "ship_package", "table", "uint64", "whole_text"]
+__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "planes", "prepared", "ship_package", "table", "uint64", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +81,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = materialize(moved.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
         if moved.where("component <> before").isEmpty():
             return labels
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all lowest bytes first: sorted or small numbers then compress well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(raw: np.ndarray) -> np.ndarray:
+    """The numbers behind ``planes``."""
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
+
+
+#: Bytes of a table that is sent to every executor, at most; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked_broadcast(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows as they lie in memory are small."""
+    width = 16 * len(rows.columns)
+    sizes = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in rows.schema.fields if f.dataType.typeName() in ("binary", "string")]
+    found = rows.agg(F.count("*").alias("n"), sum(sizes, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(rows) if found.n * (width + 32) + found.bytes <= BROADCAST_BYTES else rows

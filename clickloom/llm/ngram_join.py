@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import binary, components, exchange, keyed, materialize, partitions, table
+from clickloom.llm.common import binary, components, exchange, from_planes, keyed, materialize, partitions, planes, table
 from clickloom.llm.shingles import mix, shingle_set
 from clickloom.plans.registry import Query
 
@@ -106,11 +106,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["row", "doc_id", "n", "identity", "units", "prefix"])
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first: sorted numbers then compress well."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
 def _packed(buckets: int):
     """Signatures of large bands as blocks: (space, bucket) with low 40 bits and rows, packed."""
 
@@ -127,7 +122,7 @@ def _packed(buckets: int):
             payload = []
             for a, b in zip(first, np.append(first[1:], len(sig))):
                 low = sig[a:b]
-                payload.append(low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + _planes(row[a:b]))
+                payload.append(low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + planes(row[a:b]))
             arrays = [pa.array(bucket[first].astype(np.int32)), pa.array(k[first].astype(np.int32)), pa.array(payload, pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "space", "payload"])
 
@@ -163,7 +158,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = np.frombuffer(payload, np.uint8)
             sig = raw[: 4 * n].view("<u4").astype(np.uint64) | (raw[4 * n : 5 * n].astype(np.uint64) << np.uint64(32))
             sigs.append(sig | (np.uint64(bucket) << np.uint64(40)))
-            rows.append(np.ascontiguousarray(raw[5 * n :].reshape(8, n).T).view("<i8").ravel())
+            rows.append(from_planes(raw[5 * n :]))
             keys.append(np.full(n, space, np.int8))
     if not sigs:
         return
