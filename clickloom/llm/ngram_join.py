@@ -14,9 +14,11 @@ reach the bound (chance crowds their few shingles into few segments) are joined
 among themselves by prefixes.
 
 Segments of large bands travel as packed numbers, five bytes each, in one
-shuffle.  Equal sets are one node.  Candidates are verified on the sets: first
-one partner per node, then all pairs that still lie in different components,
-so a large group of copies costs links in proportion to its size, not pairs.
+shuffle.  Equal sets are one node.  Candidates are verified on the sets: some
+rounds of one partner per node, the hub of those it shares segments with, then
+all pairs that still lie in different components, so a large group of copies
+costs links in proportion to its size, not pairs.  Parity sketches turn away
+most of these pairs where they meet, before their sets are moved.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import binary, components, exchange, from_planes, keyed, materialize, partitions, planes, table
+from clickloom.llm.common import binary, checked_broadcast, components, exchange, from_planes, keyed, materialize, partitions, planes, table
 from clickloom.llm.shingles import mix, shingle_set
 from clickloom.plans.registry import Query
 
@@ -43,9 +45,11 @@ SMALL = 32
 #: Segments per shingle of the largest set that a space serves.
 DENSITY = 0.42
 #: Packed segments a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
 #: Buckets of a partition.
 SPREAD = 8
+#: Rounds of one partner each before all pairs still apart are compared.
+ROUNDS = 3
 
 _low = np.uint64((1 << 40) - 1)
 
@@ -54,6 +58,10 @@ def largest_partner(n: int) -> int:
     return 4 * n // 3
 
 
+#: Larger sets have no place in a small band.
+LARGEST_SMALL = largest_partner(next(b for b in BANDS if b >= SMALL) - 1)
+
+
 def need(n: int) -> int:
     """Segments a set must rely on: one more than it can differ from any partner."""
     return (n + largest_partner(n)) // 7 + 1
@@ -73,11 +81,13 @@ def _signature(sums: np.ndarray, segment: np.ndarray, k: int) -> np.ndarray:
     return mix(mix(sums) + segment.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
 
 
+def _places(shingles: np.ndarray, k: int) -> np.ndarray:
+    return ((mix(shingles + np.uint64(1)) >> np.uint64(32)) * np.uint64(segments(k))) >> np.uint64(32)
+
+
 def cut(shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of a set in space k: (number, signature, size) each, and the sums behind them by shingle."""
-    m = np.uint64(segments(k))
-    place = mix(shingles + np.uint64(1))
-    at = ((place >> np.uint64(32)) * m) >> np.uint64(32)
+    at = _places(shingles, k)
     order = np.argsort(at, kind="stable")
     at, weight = at[order], mix(shingles[order])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -96,8 +106,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, raw = len(s), s.tobytes()
             units, prefix = [], None
             for k in spaces(n) if n else []:
-                _, _, size, _ = cut(s, k)
-                units.append(len(size) + (int((size > 1).sum()) if BANDS[k] < SMALL else 0))
+                size = np.bincount(_places(s, k).astype(np.int64), minlength=1)
+                units.append(int((size > 0).sum()) + (int((size > 1).sum()) if BANDS[k] < SMALL else 0))
                 if units[-1] < need(n):
                     prefix = s[: n - -(-3 * n // 4) + 1].view(np.int64).tolist()
             out.append((row, doc_id, n, xxhash.xxh3_128_digest(raw), units, prefix))
@@ -200,10 +210,9 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["row", "space", "unit", "form", "wide", "sig"])
 
 
-def _small_units(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _small_units(docs: DataFrame) -> DataFrame:
     """Units of small bands that meet others: kind 0 an equal segment, kind 1 one that differs in one shingle."""
-    few = docs.join(nodes.where((F.col("n") > 0) & (F.col("n") <= largest_partner(max(b for b in BANDS if b < 2 * SMALL))) & (F.col("row") == F.col("node"))).select("row"), "row", "left_semi")
-    sigs = materialize(few.select("row", "text").mapInArrow(_small, "row long, space int, unit long, form int, wide int, sig long"), "small-segments")
+    sigs = materialize(docs.select("row", "text").mapInArrow(_small, "row long, space int, unit long, form int, wide int, sig long"), "small-segments")
     met = sigs.groupBy("space", "sig").agg(F.sum(F.when(F.col("form") == 0, 1).otherwise(0)).alias("own"), F.sum("form").alias("less"))
     met = met.where("own > 0 AND own + less > 1")
     found = sigs.join(met, ["space", "sig"])
@@ -214,21 +223,41 @@ def _small_units(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _allocate(units: DataFrame, nodes: DataFrame) -> DataFrame:
     """Units of the sets that cannot rely on free ones, each with ``probe``: whether the set relies on it."""
-    need_of = F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7) + 1
-    known = nodes.select("row", "n", "node", F.col("units"), need_of.alias("need"))
-    one = Window.partitionBy("row", "space", "unit")
-    both = Window.partitionBy("row", "space")
     # a neighbourhood is no cheaper than its own segment, so that it is never relied on without it
     wider = units.where("kind = 0 AND wide = 1").withColumn("kind", F.lit(1)).withColumn("cost", F.lit(0).cast("long"))
-    units = units.union(wider).groupBy("row", "space", "unit", "kind", "form", "sig").agg(F.max("cost").alias("cost"))
-    priced = units.withColumn("price", F.sum("cost").over(Window.partitionBy("row", "space", "unit", "kind")))
+    units = units.drop("wide").union(wider.drop("wide"))
+    large = F.col("space") >= sum(b < SMALL for b in BANDS)
+    # a large band has one row a unit
+    met = units.groupBy("row", "space").agg(F.sum(F.when(large, 1).otherwise(0)).alias("large"), F.count_distinct(F.when(~large, F.struct("unit", "kind"))).alias("small"))
+    need_of = F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7) + 1
+    own = F.when(F.col("space") == _band("n"), F.get("units", F.lit(0))).otherwise(F.get("units", F.lit(1)))
+    still = met.join(nodes.select("row", "n", "units"), "row").select("row", "n", "space", (need_of - own + F.col("large") + F.col("small")).alias("still"))
+    still = checked_broadcast(materialize(still.where("still > 0"), "still"))
+    left = units.join(still, ["row", "space"]).groupBy("row", "n", "space", "still", "unit", "kind", "form", "sig").agg(F.max("cost").alias("cost"))
+    one, both = Window.partitionBy("row", "space", "unit"), Window.partitionBy("row", "space")
+    priced = left.withColumn("price", F.sum("cost").over(Window.partitionBy("row", "space", "unit", "kind")))
     priced = priced.withColumn("price", F.when(F.col("kind") == 1, F.max("price").over(one)).otherwise(F.col("price")))
     turn = F.dense_rank().over(both.orderBy("price", "kind", "unit"))
-    ranked = priced.withColumn("turn", turn).withColumn("met", F.max("turn").over(both))
-    joined = ranked.join(known, "row")
-    own = F.when(F.col("space") == _band("n"), F.get("units", F.lit(0))).otherwise(F.get("units", F.lit(1)))
-    free = joined.withColumn("still", F.col("need") - (own - F.col("met")))
-    return free.where("still > 0").select("row", "node", "n", "space", "kind", "form", "sig", (F.col("turn") <= F.col("still")).alias("probe"))
+    return priced.select(F.col("row").alias("node"), "n", "space", "kind", "form", "sig", "cost", (turn <= F.col("still")).alias("probe"))
+
+
+def _partners(equal: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(a, b): for each set b the one it shares most relied-on signatures with, of one hub per signature.
+
+    ``equal``: space, sig, node, n, probe, weight, component.  The hub is the
+    set that meets most others: of a group of copies, the one edited least.
+    """
+    hubs = equal.groupBy("space", "sig").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("node"), "n", "component")).alias("hub"), F.max("probe").alias("any"),
+        F.min("component").alias("least"), F.max("component").alias("most"),
+    )
+    hubs = hubs.where("any AND least < most").select("space", "sig", (-F.col("hub.node")).alias("a"), F.col("hub.n").alias("m"), F.col("hub.component").alias("hub_component"))
+    stars = equal.join(hubs, ["space", "sig"]).where((F.col("component") != F.col("hub_component")) & _fits("m", "n"))
+    shared = stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    if tried is not None:
+        shared = shared.join(tried, ["a", "b"], "left_anti")
+    best = shared.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
+    return materialize(best.select((-F.col("best.a")).alias("a"), "b"), "partners")
 
 
 def _band(n: str):
@@ -249,10 +278,21 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """512 parity bits: two sets differ in at least as many shingles as their sketches differ in bits."""
+    at = (mix(shingles + np.uint64(2)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=512).astype(np.uint8) & 1).view(np.int64)
+
+
+SKETCH = [f"bits_{i}" for i in range(8)]
+SETS = "node long, set binary, " + ", ".join(f"{c} long" for c in SKETCH)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in binary(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["row"], pa.array(sets, pa.binary())], ["node", "set"])
+        sets = [shingle_set(t) for t in binary(batch["text"])]
+        bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 8)
+        yield pa.RecordBatch.from_arrays([batch["row"], pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(bits[:, i]) for i in range(8))], ["node", "set", *SKETCH])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -280,43 +320,54 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     nodes = materialize(sets.join(same.drop("rows"), "identity", "left").withColumn("node", F.coalesce("node", "row")).drop("identity"), "nodes")
 
     buckets = SPREAD * partitions(spark)
-    blocks = docs.select("row", "text").mapInArrow(_packed(buckets), "bucket int, space int, payload binary")
-    met = exchange(blocks).mapInArrow(_met, UNITS)
-    units = materialize(met.union(_small_units(docs, nodes)), "units")
-    # copies of one set are one node: what they meet among themselves costs nothing
-    units = units.join(nodes.select("row", "node"), "row").withColumn("row", F.col("node")).drop("node", "cost").distinct()
-    alone = units.groupBy("space", "sig", "kind").agg(F.count("*").alias("rows"))
-    units = materialize(units.join(alone.where("rows > 1"), ["space", "sig", "kind"]).withColumn("cost", F.col("rows") - 1).select(*[c.split()[0] for c in UNITS.split(", ")]), "units")
+    copies = checked_broadcast(materialize(nodes.where("row <> node").select("row"), "copies"))
+    single = docs.select("row", "text").join(copies, "row", "left_anti")
+    small = nodes.where((F.col("n") > 0) & (F.col("n") <= LARGEST_SMALL) & (F.col("row") == F.col("node"))).select("row")
+    few = docs.select("row", "text").join(checked_broadcast(materialize(small, "small")), "row", "left_semi")
+    blocks = single.mapInArrow(_packed(buckets), "bucket int, space int, payload binary")
+    units = materialize(exchange(blocks).mapInArrow(_met, UNITS).union(_small_units(few)), "units")
     relied = materialize(_allocate(units, nodes), "relied")
+    equal = relied.where("kind = 0").select("space", "sig", "node", "n", "probe", "cost")
+    weight = relied.where("kind = 0").groupBy("node").agg(F.sum("cost").alias("weight"))
+    equal = materialize(equal.drop("cost").join(weight, "node"), "equal")
 
-    # one partner each: of all that share relied-on segments with it, the first that shares most
-    equal = relied.where("kind = 0").select("space", "sig", "node", "n", "probe").distinct()
-    pivots = equal.groupBy("space", "sig").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("rows"), F.max("probe").alias("any"))
-    pivots = pivots.where("rows > 1 AND any").select("space", "sig", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("m"))
-    stars = equal.join(pivots, ["space", "sig"]).where((F.col("a") < F.col("node")) & _fits("m", "n"))
-    weight = stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    best = materialize(weight.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b"), "stars")
     prefixes = nodes.where("prefix IS NOT NULL AND row = node").select("node", "n", F.explode("prefix").alias("token"))
     other = prefixes.select(F.col("node").alias("b"), F.col("n").alias("m"), "token")
     crowded = prefixes.join(other, "token").where((F.col("node") < F.col("b")) & _fits("n", "m")).select(F.col("node").alias("a"), "b").distinct()
     needed = relied.select(F.col("node").alias("row")).union(prefixes.select(F.col("node").alias("row"))).distinct()
-    tokens = materialize(docs.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_set_rows, "node long, set binary"), "token-sets")
-    links = _verify(best.union(crowded), tokens)
+    needed = checked_broadcast(materialize(needed, "needed"))
+    tokens = materialize(docs.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_set_rows, SETS), "token-sets")
+
+    # one partner each, again while that links most of those still apart
+    best = _partners(equal.withColumn("component", F.col("node")), None)
+    links, tried = _verify(best.union(crowded), tokens), best
     label = components(links)
+    for _ in range(ROUNDS - 1):
+        apart = equal.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        best = _partners(apart, tried)
+        more = _verify(best, tokens)
+        tried = tried.union(best)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        label = components(links)
 
     # every pair that relies on a common segment and is still apart
-    named = materialize(relied.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("row").distinct(), "named")
+    named = materialize(relied.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).join(tokens.drop("set"), "node"), "named")
     apart = named.groupBy("space", "sig", "kind").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("space", "sig", "kind")
-    left = named.join(apart, ["space", "sig", "kind"])
-    right = left.select("space", "sig", "kind", *(F.col(c).alias(f"right_{c}") for c in ("node", "n", "form", "probe", "component")))
+    left = named.join(apart, ["space", "sig", "kind"]).select("space", "sig", "kind", "node", "n", "form", "probe", "component", *SKETCH)
+    right = left.select("space", "sig", "kind", *(F.col(c).alias(f"right_{c}") for c in ("node", "n", "form", "probe", "component", *SKETCH)))
+    apart_bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"right_{c}"))) for c in SKETCH), F.lit(0))
     pairs = left.join(right, ["space", "sig", "kind"]).where(
         (F.col("component") != F.col("right_component"))
         & (F.col("probe") | F.col("right_probe"))
         & ((F.col("kind") == 0) & (F.col("node") < F.col("right_node")) | (F.col("kind") == 1) & (F.col("form") < F.col("right_form")))
         & _fits("n", "right_n")
+        & (7 * apart_bits <= F.col("n") + F.col("right_n"))  # more differing bits: too many differing shingles
     )
     pairs = pairs.select(F.least("node", "right_node").alias("a"), F.greatest("node", "right_node").alias("b")).distinct()
-    more = _verify(pairs.join(best, ["a", "b"], "left_anti"), tokens)
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _verify(pairs.join(done, ["a", "b"], "left_anti"), tokens)
     label = label if more.isEmpty() else components(links.union(more))
 
     found = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))

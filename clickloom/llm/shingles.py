@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 #: Words kept in a worker's memory.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _cache: dict[bytes, int] = {}
 
