@@ -51,12 +51,12 @@ def uint64(raw: Iterator[bytes] | list[bytes], dtype: str = "<u8") -> np.ndarray
 
 
 def keyed(docs: DataFrame, *keep: str) -> DataFrame:
-    """``prepared`` with ``row``, a key of the rows: doc_id where that is one, else a written number."""
+    """``prepared`` with ``row``, a key of the rows: doc_id where that is one, else a written number in its order."""
     base = prepared(docs, *keep)
     twice = base.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if twice.isEmpty():
         return base.withColumn("row", F.col("doc_id"))
-    return materialize(base.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return materialize(base.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def components(edges: DataFrame) -> DataFrame:

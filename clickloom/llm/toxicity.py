@@ -46,6 +46,7 @@ _token = re.compile(r"\S+")
 _edges = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
 _runs_of_signs = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 _odd = re.compile(r"[^\W\d_].*(?:[\W\d_].*[^\W\d_]|[@$!|+(€£\d])|[@$!|+(€£\d].*[^\W\d_]|([^\W\d_])\1\1", re.S)
+_thrice = re.compile(r"(.)\1\1")
 _single = re.compile(r"(?:(?<=\s)|^)[^\W_](?:\s+[^\W_](?!\S)){2,}")
 
 
@@ -131,7 +132,7 @@ class Decoder:
         for run in _single.findall(text):
             words.update(self.best("".join(run.split()), spaced=True).split())
         for token in set(_token.findall(text)):
-            if token.isalpha():
+            if token.isalpha() and not _thrice.search(token):
                 words.add(token)
             else:
                 words.update(_words.findall(token))

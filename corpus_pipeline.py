@@ -21,12 +21,12 @@ KEY = "stage_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a key: doc_id, or a written number where rows share or lack one."""
+    """The documents with a key: doc_id, or a written number in its order where rows share or lack one."""
     docs = docs.select(*COLUMNS)
     twice = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if twice.isEmpty():
         return docs.withColumn(KEY, F.col("doc_id"))
-    return materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "stage")
+    return materialize(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn(KEY, F.monotonically_increasing_id()), "stage")
 
 
 def _by_key(docs: DataFrame) -> DataFrame:
