@@ -45,8 +45,8 @@ def apply_spec(
 
     Short given vocabularies become literals; fitted ones are joined from the
     ``(feature, value, idx)`` table, per feature.  A shared vocabulary is looked
-    up under the name in ``share``.  ``key`` identifies a row and is needed only
-    for token features with a fitted vocabulary.
+    up under the name in ``share``.  ``key`` identifies a row where there is one;
+    without it, token features of a joined vocabulary write a row number first.
     """
     spark = df.sparkSession
     columns = {f.name: feature_column(f) for f in fields}
@@ -64,9 +64,10 @@ def apply_spec(
         if isinstance(f, CategoryField):
             out = index_by_vocab(out, f.name, side, made, f.before_vocab)
         else:
-            if not key:
-                raise ValueError(f"{f.name}: token features with a fitted vocabulary need a row key")
-            out = index_tokens_by_vocab(out, key, C.tokens(F.col(f.name), f.sep), side, made, f.max_len)
+            steps = C.tokens(F.col(f.name), f.sep, f.max_len)
+            if f.pad_first:  # the empty text is looked up too, as in a short vocabulary
+                steps = C.pad(steps, f.max_len, F.lit(""))
+            out = index_tokens_by_vocab(out, key, steps, side, made, f.max_len)
         columns[f.name] = F.col(made)
     weights = {
         f.weight: C.split_pad_number(F.col(f.weight), f.max_len, f.sep)

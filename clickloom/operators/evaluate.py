@@ -94,7 +94,16 @@ def ranking_report(
     levels = _levels(df, label, score, [*by, group], bands)
     merged = levels.groupBy(*by, "_s_band", "_s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     whole = _auc(merged, by).select(*by, F.round("auc", digits).alias("auc"), "n_rows")
-    return whole.join(_mean_of_groups(_auc(levels, [*by, group]), by, digits), list(by))
+    return _join_same(whole, _mean_of_groups(_auc(levels, [*by, group]), by, digits), by)
+
+
+def _join_same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with equal ``by`` side by side; a null equals a null."""
+    named = right.select(*(F.col(c).alias(f"_same_{c}") for c in by), *(c for c in right.columns if c not in by))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_same_{c}"))
+    return left.join(named, same).drop(*(f"_same_{c}" for c in by))
 
 
 def unpivot_labels(df: DataFrame, labels: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
@@ -185,7 +194,7 @@ def aligned_predictions(scored: DataFrame, labels: Sequence[str], pred: str, use
 def compare_models(scored: DataFrame, label: str, score: str, version: str, group: str) -> DataFrame:
     """The metrics of every model version on the same rows."""
     ranking = ranking_report(scored, label, score, group, [version]).select(version, "auc", "gauc")
-    return ranking.join(losses(scored, label, score, [version]).select(version, "logloss", "n_rows"), version)
+    return _join_same(ranking, losses(scored, label, score, [version]).select(version, "logloss", "n_rows"), [version])
 
 
 def calibration(df: DataFrame, label: str, pred: str, deciles: int = 10) -> DataFrame:

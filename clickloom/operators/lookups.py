@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import categorical as C
 from clickloom.operators.prepare import cast_spec, fill_default
 from clickloom.spec import ProfileField
+from clickloom.storage import materialize
 
 
 def join_profiles(
@@ -56,13 +57,22 @@ def index_by_vocab(
     return joined.withColumn(out, F.coalesce(F.col("_idx"), F.lit(missing))).drop("_v", "_idx")
 
 
+def identified(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The table with columns that identify a row: ``key`` where it does, else a written number."""
+    missing = " OR ".join(f"`{c}` IS NULL" for c in key)
+    if key and df.groupBy(*key).count().where(f"count > 1 OR {missing}").isEmpty():
+        return df, list(key)
+    return materialize(df.withColumn("_number", F.monotonically_increasing_id()), "numbered"), ["_number"]
+
+
 def index_tokens_by_vocab(
     df: DataFrame, key: Sequence[str], tokens: Column, vocab: DataFrame, out: str, max_len: int, pad: bool = True
 ) -> DataFrame:
     """Index every token of a cut token array through a vocabulary table.
 
-    ``key`` identifies a row.  Tokens travel alone, at most ``max_len`` per row.
+    ``key`` names the row; rows that share it are kept apart.  Tokens travel alone, at most ``max_len`` per row.
     """
+    df, key = identified(df, key)
     side = vocab.select(F.col("value").alias("_v"), F.col("idx").cast("int").alias("_idx"))
     steps = (
         df.select(*key, F.posexplode(F.slice(tokens, 1, max_len)).alias("_pos", "_tok"))
@@ -77,7 +87,7 @@ def index_tokens_by_vocab(
     )
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
     padded = C.pad(ids, max_len, F.lit(0)) if pad else ids
-    return df.join(steps, list(key), "left").withColumn(out, padded).drop("_ids")
+    return df.join(steps, key, "left").withColumn(out, padded).drop("_ids", "_number")
 
 
 def embedding_lookup(
@@ -91,22 +101,27 @@ def embedding_lookup(
 
 
 def varlen_embedding_lookup(df: DataFrame, key: Sequence[str], ids: str, table: DataFrame, out: str) -> DataFrame:
-    """array of indices -> array of vectors in the same order.
+    """array of indices -> array of vectors, position by position.
 
-    Steps without a vector drop out.  The arrays are bounded by the maximum
-    sequence length of the feature, so a re-collected group is bounded too.
+    A step without a vector gets zeros, so that vectors and mask stay aligned.
+    The arrays are bounded by the maximum sequence length of the feature, so a
+    re-collected group is bounded too.
     """
+    df, key = identified(df, key)
     side = table.select(F.col("idx").alias("_i"), F.col("vec").alias("_vec"))
+    width = side.agg(F.max(F.size("_vec"))).first()[0] or 0
+    kind = side.schema["_vec"].dataType
+    zeros = F.array_repeat(F.lit(0.0), width).cast(kind)
     steps = (
         df.select(*key, F.posexplode(ids).alias("_pos", "_id"))
-        .join(side, F.col("_id") == F.col("_i"))
+        .join(side, F.col("_id") == F.col("_i"), "left")
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_vec"))).alias("_steps"))
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_vec", zeros).alias("_vec")))).alias("_steps"))
     )
     return (
-        df.join(steps, list(key), "left")
+        df.join(steps, key, "left")
         .withColumn(out, F.transform("_steps", lambda s: s["_vec"]))
-        .drop("_steps")
+        .drop("_steps", "_number")
     )
 
 

@@ -155,11 +155,11 @@ def softmax_vec(spark, sf):
 
 @query(
     "concat_vec",
-    f"""SELECT event_id, {fixed_sql('CAST(embedding[1:4] AS DOUBLE[]) || [value, 1.0]')} AS x
+    f"""SELECT event_id, {fixed_sql('CAST(embedding AS DOUBLE[]) || [value, 1.0]')} AS x
     FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) JOIN embeddings ON vec_id = k""",
 )
 def concat_vec(spark, sf):
     rows = behaviour(spark, sf).select("event_id", "item_id", "value")
-    shared = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.slice("embedding", 1, 4).alias("vec"))
+    shared = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
     out = lookups.embedding_lookup(rows, "item_id", shared, "v").where(F.col("v").isNotNull())
     return out.select("event_id", fixed(V.concat("v", F.array("value", F.lit(1.0)))).alias("x"))

@@ -30,13 +30,13 @@ def fit_vocab(spark, sf):
     "fit_vocab_varlen",
     vocab_sql(
         "text",
-        "SELECT value, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')[1:100000]) AS value FROM documents) GROUP BY 1",
+        "SELECT value, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS value FROM documents) GROUP BY 1",
         "count >= 3",
     ),
 )
 def fit_vocab_varlen(spark, sf):
     """Words of whole documents."""
-    return fit.fit_vocab(table(spark, sf, "documents").select("text"), [TokensField("text", sep=" ", max_len=100_000, min_cnt=3)])
+    return fit.fit_vocab(table(spark, sf, "documents").select("text"), [TokensField("text", sep=" ", max_len=2**31 - 1, min_cnt=3)])
 
 
 def stats_sql(feature: str, col: str, default: str, source: str) -> str:

@@ -72,4 +72,4 @@ def session_split(spark, sf):
 def target_query(spark, sf):
     """Query vector of a multi-valued candidate: mean of its word vectors."""
     rows = word_rows(spark, sf).withColumn("mask", C.seq_mask("word_ids"))
-    return rows.select("p_partkey", fixed(P.pool_mean("word_vecs", "mask", 4)).alias("query"))
+    return rows.select("p_partkey", fixed(P.pool_mean("word_vecs", "mask", 64)).alias("query"))

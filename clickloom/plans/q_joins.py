@@ -78,13 +78,13 @@ VECS = "vecs AS (SELECT vec_id AS idx, embedding AS vec FROM embeddings)"
 
 @query(
     "embedding_lookup",
-    f"""WITH {BEHAVIOUR}, {VECS} SELECT event_id, {fixed_sql('a.vec[1:4]')} AS item_vec, {fixed_sql('b.vec[1:4]')} AS user_vec
+    f"""WITH {BEHAVIOUR}, {VECS} SELECT event_id, {fixed_sql('a.vec')} AS item_vec, {fixed_sql('b.vec')} AS user_vec
     FROM behaviour LEFT JOIN vecs a ON item_id = a.idx LEFT JOIN vecs b ON user_id = b.idx""",
 )
 def embedding_lookup(spark, sf):
     """Item and user ids share one embedding table."""
     rows = behaviour(spark, sf).select("event_id", "item_id", "user_id")
-    shared = _vectors(spark, sf).select("idx", F.slice("vec", 1, 4).alias("vec"))
+    shared = _vectors(spark, sf).select("idx", "vec")
     out = lookups.embedding_lookup(rows, "item_id", shared, "item_vec")
     out = lookups.embedding_lookup(out, "user_id", shared, "user_vec")
     return out.select("event_id", fixed("item_vec").alias("item_vec"), fixed("user_vec").alias("user_vec"))
@@ -96,21 +96,21 @@ WORD_VOCAB = """words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS
   steps AS (SELECT p_partkey, pos, idx, embedding AS vec FROM words JOIN wv USING (w) JOIN embeddings ON vec_id = idx)"""
 
 
-def word_rows(spark, sf, dim=4, max_len=4):
+def word_rows(spark, sf, max_len=1_000):
     """Parts with indexed name words and their vectors."""
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     vocab = fit.fit_vocab(parts, [TokensField("p_name", sep=" ", max_len=max_len)])
     rows = lookups.index_tokens_by_vocab(
         parts, ["p_partkey"], C.tokens("p_name", " "), vocab, "word_ids", max_len, pad=False
     )
-    shared = _vectors(spark, sf).select("idx", F.slice("vec", 1, dim).cast("array<double>").alias("vec"))
+    shared = _vectors(spark, sf).select("idx", F.col("vec").cast("array<double>").alias("vec"))
     return lookups.varlen_embedding_lookup(rows, ["p_partkey"], "word_ids", shared, "word_vecs")
 
 
 @query(
     "varlen_embedding_lookup",
     f"""WITH {WORD_VOCAB} SELECT p_partkey, array_to_string(list(idx ORDER BY pos), ',') AS word_ids,
-    array_to_string(list({fixed_sql('vec[1:4]')} ORDER BY pos), ';') AS word_vecs FROM steps GROUP BY 1""",
+    array_to_string(list({fixed_sql('vec')} ORDER BY pos), ';') AS word_vecs FROM steps GROUP BY 1""",
 )
 def varlen_embedding_lookup(spark, sf):
     rows = word_rows(spark, sf)
@@ -144,22 +144,22 @@ def pretrained_embedding(spark, sf):
 @query(
     "emb_value_lookup",
     f"""WITH {IMPRESSIONS}, d AS (SELECT embedding AS dv FROM embeddings WHERE vec_id = 7)
-    SELECT order_id, line_no, item_id, {fixed_sql('coalesce(e.embedding, dv)[1:3]')} AS vec FROM impressions
+    SELECT order_id, line_no, item_id, {fixed_sql('coalesce(e.embedding, dv)')} AS vec FROM impressions
     CROSS JOIN d LEFT JOIN embeddings e ON vec_id = item_id AND vec_id <> 7""",
 )
 def emb_value_lookup(spark, sf):
     """Vector 7 plays the entry stored under the default key '-1'."""
     key = F.when(F.col("vec_id") == 7, "-1").otherwise(F.col("vec_id").cast("string"))
-    stored = table(spark, sf, "embeddings").select(key.alias("key"), F.slice("embedding", 1, 3).alias("vec"))
+    stored = table(spark, sf, "embeddings").select(key.alias("key"), F.col("embedding").alias("vec"))
     rows = impressions(spark, sf).select("order_id", "line_no", "item_id")
     return lookups.emb_value_lookup(rows, "item_id", stored, "vec").withColumn("vec", fixed("vec"))
 
 
-@query("str_to_vec", f"SELECT vec_id, {fixed_sql('embedding[1:5]')} AS vec FROM embeddings")
+@query("str_to_vec", f"SELECT vec_id, {fixed_sql('embedding')} AS vec FROM embeddings")
 def str_to_vec(spark, sf):
-    text = F.array_join(F.slice("embedding", 1, 5).cast("array<string>"), ",")
+    text = F.array_join(F.col("embedding").cast("array<string>"), ",")
     rows = table(spark, sf, "embeddings").select("vec_id", text.alias("text"))
-    return rows.select("vec_id", fixed(V.str_to_vec("text", 5)).alias("vec"))
+    return rows.select("vec_id", fixed(V.str_to_vec("text", 64)).alias("vec"))
 
 
 @query(

@@ -83,7 +83,7 @@ def pool_group_concat(spark, sf):
     return _rows(spark, sf).select("vec_id", fixed(P.pool_concat(["sum", "mean", "max"], "seq", "mask", 8)).alias("pooled"))
 
 
-WORD_CELLS = f"{WORD_VOCAB}, wc AS (SELECT p_partkey, pos, unnest(CAST(vec[1:4] AS DOUBLE[])) AS x, generate_subscripts(vec[1:4], 1) AS i FROM steps)"
+WORD_CELLS = f"{WORD_VOCAB}, wc AS (SELECT p_partkey, pos, unnest(CAST(vec AS DOUBLE[])) AS x, generate_subscripts(vec, 1) AS i FROM steps)"
 
 
 def word_pool(value: str) -> str:
@@ -105,5 +105,5 @@ def pool_spec(spark, sf):
         TokensField("x", pooling="max", group="best_group"),
     ]
     names = [f.name for f in fields]
-    groups = P.pool_by_group(fields, dict.fromkeys(names, "word_vecs"), dict.fromkeys(names, "mask"), 4)
+    groups = P.pool_by_group(fields, dict.fromkeys(names, "word_vecs"), dict.fromkeys(names, "mask"), 64)
     return rows.select("p_partkey", *[F.array_join(F.transform(c, fixed), ";").alias(g) for g, c in groups.items()])

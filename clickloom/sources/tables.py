@@ -65,6 +65,8 @@ def list_files(
 
     Only names are read, never contents.  ``sample`` draws that many files.
     """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -74,7 +76,7 @@ def list_files(
     )
     # fixed values: name parts of files that are not data
     for token in ["crc", "_SUCCESS", "ipynb", *skip]:
-        files = files.where(~F.contains(F.substring(F.col("path"), F.length(F.lit(path)) + 1, 10_000), F.lit(token)))
+        files = files.where(~F.contains(F.substr("path", F.lit(len(root) + 1)), F.lit(token)))  # names below the root
     return files.orderBy(hash_order(["path"], seed)).limit(sample) if sample else files
 
 

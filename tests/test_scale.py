@@ -175,3 +175,52 @@ def test_shuffle_is_repeatable(spark):
 def test_batches(spark):
     got = S.batch_rows(spark.range(10), 4, [F.col("id").asc()])
     assert [r["batch"] for r in got.orderBy("id").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+def test_rows_that_share_a_key_keep_their_own_tokens(spark):
+    from clickloom.operators import lookups
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (None, ["z"])], "k int, t array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "value string, idx int")
+    out = lookups.index_tokens_by_vocab(rows, ["k"], F.col("t"), vocab, "ids", 3)
+    assert sorted(r.ids for r in out.collect()) == [[0, 0, 0], [1, 2, 0], [2, 3, 0]]
+
+
+def test_steps_without_a_vector_stay_in_place(spark):
+    from clickloom.operators import lookups
+
+    rows = spark.createDataFrame([(1, [1, 9, 2]), (1, [2])], "k int, ids array<int>")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "idx int, vec array<double>")
+    out = lookups.varlen_embedding_lookup(rows, ["k"], "ids", vectors, "v")
+    assert sorted(r.v for r in out.collect()) == [[[1.0, 2.0], [0.0, 0.0], [3.0, 4.0]], [[3.0, 4.0]]]
+
+
+def test_reports_keep_groups_without_a_name(spark):
+    from clickloom.operators import evaluate
+
+    rows = spark.createDataFrame([(s, u, y, p) for s in ("a", None) for u in (1, 2) for y, p in ((1, 0.9), (0, 0.2))], "split string, user int, y int, p double")
+    assert {r.split for r in evaluate.ranking_report(rows, "y", "p", "user", ["split"]).collect()} == {"a", None}
+    assert evaluate.compare_models(rows, "y", "p", "split", "user").count() == 2
+
+
+def test_folder_names_are_not_searched(spark, tmp_path):
+    from clickloom.sources import tables
+
+    path = str(tmp_path / "mycrc")
+    spark.range(4).repartition(2).write.parquet(path)
+    assert tables.list_files(spark, path, suffix="*.parquet").count() == 2
+
+
+def test_padding_does_not_depend_on_the_size_of_the_vocabulary(spark):
+    from clickloom.operators.apply import apply_spec
+    from clickloom.spec import TokensField
+
+    rows = spark.createDataFrame([(1, "red"), (1, "red blue no")], "k int, t string")
+    got = []
+    for size in (12, 82):
+        words = ["", "red", "blue", *(f"w{i}" for i in range(size - 3))]
+        for pad_first in (True, False):
+            field = TokensField("t", sep=" ", max_len=3, vocab=words, pad_first=pad_first)
+            got.append(sorted(r.t for r in apply_spec(rows, [field]).collect()))
+    assert got[0] == got[2] == [[2, 1, 1], [2, 3, 0]]
+    assert got[1] == got[3] == [[2, 0, 0], [2, 3, 0]]

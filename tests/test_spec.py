@@ -165,8 +165,8 @@ def test_stats_edge_cases(spark):
 
 def test_apply_spec_errors(spark):
     df = spark.createDataFrame([(1, "a b")], "k int, t string")
-    with pytest.raises(ValueError, match="row key"):
-        A.apply_spec(df, [S.TokensField("t")], spark.createDataFrame([("t", "a", 1)], "feature string, value string, idx int"))
+    vocab = spark.createDataFrame([("t", "a", 1)], "feature string, value string, idx int")  # no row key: rows are numbered
+    assert A.apply_spec(df, [S.TokensField("t", sep=" ", max_len=3)], vocab).first()["t"] == [1, 0, 0]
     with pytest.raises(ValueError, match="no vocabulary"):
         A.apply_spec(df, [S.CategoryField("t")])
     with pytest.raises(ValueError, match="unknown feature kind"):
