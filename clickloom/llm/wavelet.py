@@ -50,15 +50,23 @@ class WaveletMatrix:
 
     @staticmethod
     def build(ids: np.ndarray) -> "WaveletMatrix":
-        alphabet, codes = np.unique(ids, return_inverse=True)
-        codes, zeros, planes, ranks = codes.astype(np.uint32), [], [], []
+        if len(ids) and int(ids.max()) < 1 << 20:  # number the ids by a table, without sorting them
+            alphabet = np.flatnonzero(np.bincount(ids))
+            number = np.zeros(int(alphabet[-1]) + 1, np.uint32)
+            number[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+            codes = number[ids]
+        else:
+            alphabet, codes = np.unique(ids, return_inverse=True)
+        codes = codes.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+        zeros, planes, ranks = [], [], []
         for level in reversed(range(max(1, int(len(alphabet) - 1).bit_length()))):
-            ones = (codes >> np.uint32(level)) & np.uint32(1) == 1
+            ones = ((codes >> level) & 1).view(np.uint8)[:: codes.itemsize].view(bool)  # the lowest byte of each
             packed = np.packbits(ones, bitorder="little")
-            blocks = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.uint32) if len(ones) else np.zeros(0, np.uint32)
+            filled = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
+            blocks = np.bitwise_count(filled.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.int64)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes())
-            zeros.append(int(len(ones) - ones.sum()))
+            zeros.append(len(ones) - int(blocks.sum()))
             codes = np.concatenate([codes[~ones], codes[ones]])
         return WaveletMatrix(len(ids), alphabet.astype("<u4"), zeros, planes, ranks)
 
@@ -112,13 +120,12 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order."""
-        codes = np.zeros(self.n, np.uint32)
-        for level, plane in zip(range(len(self.planes)), reversed(self.planes)):
+        codes = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for level, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(codes)
-            order = np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])
-            above[order] = codes
-            codes = above | (ones.astype(np.uint32) << np.uint32(level))
+            zeros, above = self.zeros[len(self.planes) - 1 - level], np.empty_like(codes)
+            above[~ones], above[ones] = codes[:zeros], codes[zeros:] | codes.dtype.type(1 << level)
+            codes = above
         return self.alphabet[codes]
 
 
