@@ -6,10 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-#: Words kept in a worker's memory.
-CACHED_WORDS = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_cache: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,12 +18,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of the words of a text, A-Z lower-cased, split at ASCII white space."""
-    words, cache = text.lower().split(), _cache  # of bytes, both touch ASCII alone
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    for word in set(words).difference(cache):
-        cache[word] = xxhash.xxh3_64_intdigest(word)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    words = text.lower().split()  # of bytes, both touch ASCII alone
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(text: bytes) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,7 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHED_CHUNKS = 700_000
 CACHED_LENGTH = 64
 
-_odd_space = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+# White space other than the space and the line end, in full
+_odd_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _with_space = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _without_space = re.compile(r"[^ \n]+")
 # The two vocabularies' own patterns, written out for texts of Latin-1 characters
@@ -30,8 +32,15 @@ _not_latin = re.compile("[^\x00-\xff]")
 _open: dict[str, "Encoder"] = {}
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself where it prints, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Encoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes; as a dict, those of the chunks met so far."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -43,48 +52,45 @@ class Encoder:
             path = public_tokenizers.path(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         # byte-level vocabularies keep the white space, word vocabularies drop it
-        self.chunks = _with_space if self.tokenizer.encode(" ", add_special_tokens=False).ids else _without_space
-        self.cache: dict[str, bytes] = {}
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Chunks of ASCII letters are one piece each: straight to the merges of the model."""
-        tokenize = self.tokenizer.model.tokenize
-        if self.chunks is _with_space:
-            words = ["\u0120" + x[1:] if x[0] == " " else x for x in words]  # how byte-level vocabularies write a space
+        self.byte_level = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
+        self.pattern = _latin_with_space if self.byte_level else _latin_without_space
+        self.letters = _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, chunk: str) -> bytes:
+        """A chunk that the vocabulary's pattern leaves whole goes straight to the merges of the model."""
+        if _not_latin.search(chunk):
+            return self._whole(chunk)
+        if not self.byte_level:
+            chunk = chunk.lower()
+        if not self.pattern.fullmatch(chunk):
+            return self._whole(chunk)
+        if chunk.isascii() and chunk.isprintable():
+            chunk = chunk.replace(" ", self.letters[0x20])
         else:
-            words = [x.lower() for x in words]
-        return [np.array([t.id for t in tokenize(x)], "<u4").tobytes() for x in words]
+            chunk = chunk.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(chunk)]).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._piece(chunk)
+        if len(chunk) <= CACHED_LENGTH:
+            if len(self) >= CACHED_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if _odd_space.search(text):
-            return self._encode([text])[0]
-        cache = self.cache
+            return self._whole(text)
         if _not_latin.search(text):
-            chunks = self.chunks.findall(text)
-        elif self.chunks is _with_space:
-            chunks = _latin_with_space.findall(text)
+            chunks = (_with_space if self.byte_level else _without_space).findall(text)
         else:
-            chunks = _latin_without_space.findall(text.lower())
-        if new := set(chunks).difference(cache):
-            new = list(new)
-            if len(cache) + len(new) > CACHED_CHUNKS:
-                cache.clear()
-                new = list(set(chunks))
-            words = [x for x in new if x.isascii() and x.lstrip(" ").isalpha() and x.count(" ") < 2]
-            cache.update(zip(words, self._words(words)))
-            rest = [x for x in new if x not in cache]
-            cache.update(zip(rest, self._encode(rest)))
-            out = b"".join(map(cache.__getitem__, chunks))
-            for chunk in new:
-                if len(chunk) > CACHED_LENGTH:
-                    del cache[chunk]
-            return out
-        return b"".join(map(cache.__getitem__, chunks))
+            chunks = self.pattern.findall(text if self.byte_level else text.lower())
+        return b"".join(map(self.__getitem__, chunks))
 
 
 def encoder(file: str) -> Encoder:
