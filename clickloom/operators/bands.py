@@ -9,28 +9,26 @@ only, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BAND = 1_000_000
-MAX_BANDS = 4096
-
 
 def cut_points(df: DataFrame, cols: Sequence[str], bands: int | None = None) -> dict[str, list[float]]:
     """Strictly increasing band edges per column.
 
-    The number of bands follows from the number of rows unless it is given; a
-    table that fits one band is not sketched at all.
+    There are as many bands as the session has shuffle partitions, unless their
+    number is given: the one setting that is made for the size of the data.
     """
-    wanted = bands or min(MAX_BANDS, -(-df.count() // ROWS_PER_BAND))
+    wanted = bands or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts: dict[str, list[float]] = {c: [] for c in cols}
     if wanted > 1:
         probs = F.expr("array(" + ", ".join(f"{i / wanted!r}D" for i in range(1, wanted)) + ")")
         sketch = df.agg(*[F.percentile_approx(c, probs, max(100, 2 * wanted)).alias(c) for c in cols]).first()
-        cuts = {c: sorted({q for q in sketch[c] or [] if q == q}) for c in cols}
+        cuts = {c: sorted({q for q in sketch[c] or [] if math.isfinite(q)}) for c in cols}
     return {c: [float("-inf"), *inner, float("inf")] for c, inner in cuts.items()}
 
 
@@ -73,7 +71,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int | N
         .groupBy("feature", "band", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # at most MAX_BANDS rows per feature from here on
+    # one row per feature and band from here on
     per_band = counts.groupBy("feature", "band").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy("feature").orderBy("band")
     rank = F.lit(q) * (F.col("total") - 1)

@@ -36,7 +36,7 @@ def _auc(levels: DataFrame, by: Sequence[str]) -> DataFrame:
         .groupBy(*by, "_s_band")
         .agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    # at most MAX_BANDS rows per group here
+    # one row per group and band here
     below = Window.partitionBy(*by).orderBy("_s_band").rowsBetween(Window.unboundedPreceding, -1)
     total = per_band.withColumn(
         "area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0))

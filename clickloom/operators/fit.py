@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import categorical as C
@@ -59,22 +59,14 @@ def kept_values(counts: DataFrame, fields: Sequence[CategoryField | TokensField]
     return counts.where(keep)
 
 
-ONE_TASK_VALUES = 1_000_000
-
-
-def fit_vocab(
-    df: DataFrame, fields: Sequence[CategoryField | TokensField], one_task: int = ONE_TASK_VALUES
-) -> DataFrame:
+def fit_vocab(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -> DataFrame:
     """``(feature, value, count, idx)``; 1..n by count descending, then value.
 
-    The counted values are stored, so the table is passed once.  Up to
-    ``one_task`` of them are numbered by a window, more by range partitioning.
+    The counted values are stored, so the table is passed once, and numbered by
+    range partitioning: a vocabulary of any size is spread over all tasks.
     """
     kept = materialize(kept_values(value_counts(df, fields), fields), "counts")
     order = [F.col("count").desc(), F.col("value").asc()]
-    if kept.count() <= one_task:
-        w = Window.partitionBy("feature").orderBy(*order)
-        return kept.withColumn("idx", F.row_number().over(w).cast("long"))
     ranked = global_rank(kept, order, by=["feature"], out="idx", unique=True)
     return materialize(ranked, "vocab")  # lookups then see a plain table of known size
 

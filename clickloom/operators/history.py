@@ -1,7 +1,7 @@
 """Behaviour sequences, sessions and negative samples.
 
 Order matters inside one user, and one user may own a third of all rows.  Hot
-users are therefore cut into time slots that are worked on apart; what a slot
+users are therefore cut into slots that are worked on apart; what a slot
 needs from earlier slots (the last k items, the last event time) is carried over
 from one short summary row per slot.  Ordinary users stay whole.
 """
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.operators.hotkeys import HOT_SHARE, ROWS_PER_SLOT, add_slots
+from clickloom.operators.hotkeys import ROWS_PER_SLOT, add_slots
 from clickloom.operators.ranking import top_per_group
 
 
@@ -31,15 +31,10 @@ def history(
     order: Sequence[str],
     items: Sequence[str],
     k: int,
-    epoch: Column,
     rows_per_slot: int = ROWS_PER_SLOT,
-    share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Add ``hist_<item>`` = up to ``k`` earlier values (oldest first) and ``seq_length``.
-
-    ``epoch`` is the leading part of ``order``: it cuts a hot user's rows into slots.
-    """
-    rows = add_slots(df, user, epoch, rows_per_slot, share)
+    """Add ``hist_<item>`` = up to ``k`` earlier values (oldest first) and ``seq_length``."""
+    rows = add_slots(df, user, order, rows_per_slot)
     step = F.struct(*order, *[i for i in items if i not in order])
     inside = Window.partitionBy(user, "_slot").orderBy(*order).rowsBetween(-k, -1)
     own = rows.withColumn("_own", F.collect_list(step).over(inside))
@@ -76,13 +71,12 @@ def session_starts(
     order: Sequence[str],
     gap: float,
     rows_per_slot: int = ROWS_PER_SLOT,
-    share: float = HOT_SHARE,
 ) -> DataFrame:
     """Add ``session_start``: time of the event that opened the row's session.
 
-    ``gap`` is in the unit of the ``epoch`` column.
+    ``gap`` is in the unit of the ``epoch`` column, which leads ``order``.
     """
-    rows = add_slots(df, user, F.col(epoch), rows_per_slot, share)
+    rows = add_slots(df, user, order, rows_per_slot)
     slots = (
         rows.where(F.col("_slot").isNotNull())
         .groupBy(user, "_slot")

@@ -23,7 +23,7 @@ ORDER = ["us", "event_id"]
     FROM behaviour WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
 )
 def hist_sequence(spark, sf):
-    out = H.history(behaviour(spark, sf), "user_id", ORDER, ["item_id", "event_type"], 20, F.col("us"))
+    out = H.history(behaviour(spark, sf), "user_id", ORDER, ["item_id", "event_type"], 20)
     return out.select(
         "event_id", ids("hist_item_id").alias("hist_item_id"), ids("hist_event_type").alias("hist_event_type"), "seq_length"
     )

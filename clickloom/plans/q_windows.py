@@ -138,7 +138,7 @@ def win_hours(spark, sf):
     ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), ','), '') AS last_items FROM behaviour""",
 )
 def win_last_k(spark, sf):
-    out = history(behaviour(spark, sf), "user_id", ["us", "event_id"], ["item_id"], 6, F.col("us"))
+    out = history(behaviour(spark, sf), "user_id", ["us", "event_id"], ["item_id"], 6)
     return out.select("event_id", last_k_text("hist_item_id").alias("last_items"))
 
 

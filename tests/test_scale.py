@@ -49,12 +49,21 @@ def test_copies_are_cut_apart(spark):
 
 
 def test_hot_keys(events):
-    assert [r["u"] for r in hotkeys.hot_keys(events, "u", F.col("sec"), 20, 0.2).collect()] == [1]
+    assert [r["u"] for r in hotkeys.hot_keys(events, "u", 100).collect()] == [1]
+
+
+def test_bursts_are_cut_into_even_slots(spark):
+    """2,999 of 3,000 rows within five seconds, then all of them within one: no slot exceeds its rows."""
+    for seconds in (5, 1):
+        rows = spark.range(3000).select(F.lit(1).alias("u"), "id", F.when(F.col("id") == 0, 0).otherwise(10_000 + F.col("id") % seconds).alias("sec"))
+        for order in (["sec", "id"], ["sec"]):
+            sizes = hotkeys.add_slots(rows, "u", order, 100).groupBy("_slot").count().collect()
+            assert sorted(r["_slot"] for r in sizes) == list(range(30)) and {r["count"] for r in sizes} == {100}
 
 
 @pytest.mark.parametrize("rows_per_slot", [20, 10**9])
 def test_history_with_and_without_slots(events, rows_per_slot):
-    got = H.history(events, "u", ["sec", "id"], ["item"], 5, F.col("sec"), rows_per_slot=rows_per_slot, share=0.2)
+    got = H.history(events, "u", ["sec", "id"], ["item"], 5, rows_per_slot=rows_per_slot)
     want = {}
     for rows in brute(events).values():
         for n, r in enumerate(rows):
@@ -68,7 +77,7 @@ def test_history_with_and_without_slots(events, rows_per_slot):
 @pytest.mark.parametrize("gap", [1800, 300, 90_000])
 def test_sessions_with_and_without_slots(events, rows_per_slot, gap):
     got = H.session_split(
-        events, "u", "sec", ["sec", "id"], ["item"], gap, 5, 4, rows_per_slot=rows_per_slot, share=0.2
+        events, "u", "sec", ["sec", "id"], ["item"], gap, 5, 4, rows_per_slot=rows_per_slot
     )
     want = {}
     for u, rows in brute(events).items():
