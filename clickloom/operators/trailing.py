@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of one slice of a key's time.
+SLICE_SECONDS = 7 * 86_400
+
+
 def day_number(ts) -> Column:
     """Days since 1970-01-01."""
     return F.unix_date(F.to_date(F.col(ts) if isinstance(ts, str) else ts))
@@ -107,18 +111,22 @@ def trailing_best_ratio(
 
 
 def trailing_hours(
-    df: DataFrame, keys: Sequence[str], second: str, hours: int, measures: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], second: str, hours: int, measures: Mapping[str, Column], slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
     """Sums over the ``hours`` before each second the key is active in.
 
-    Rows are per (key, second): a hot key has no more rows than the period has
-    seconds.
+    Rows are per (key, second) and a key is cut into slices of time; the last
+    ``hours`` of a slice are handed to the next one as well.  No window holds
+    more rows than a slice and its overlap have seconds, however hot the key.
     """
-    per_second = daily(df, keys, second, measures)
-    w = Window.partitionBy(*keys).orderBy(second).rangeBetween(-hours * 3600, -1)
-    return per_second.select(
-        *keys, second, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"{m}_{hours}h") for m in measures]
-    )
+    span = hours * 3600
+    width = max(span, slice_seconds)
+    own = F.floor(F.col(second) / width)
+    parts = F.when(F.col(second) + span >= (own + 1) * width, F.array(own, own + 1)).otherwise(F.array(own))
+    sliced = daily(df, keys, second, measures).select("*", own.alias("_own"), F.explode(parts).alias("_slice"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(second).rangeBetween(-span, -1)
+    sums = {f"{m}_{hours}h": F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures}
+    return sliced.withColumns(sums).where("_own = _slice").select(*keys, second, *sums)
 
 
 def declared_counts(key_col: str, keys: Sequence) -> dict[str, Column]:

@@ -128,6 +128,15 @@ def test_trailing_distinct_against_brute_force(events):
         assert r["n"] == len(want)
 
 
+@pytest.mark.parametrize("slice_seconds", [1, 50_000, 10**9])
+def test_trailing_hours_in_slices(events, slice_seconds):
+    got = trailing.trailing_hours(events, ["u"], "sec", 12, {"n": F.count(F.lit(1))}, slice_seconds=slice_seconds)
+    rows = [(r["u"], r["sec"]) for r in events.collect()]
+    want = {(u, s): sum(v == u and s - 43_200 <= t < s for v, t in rows) for u, s in rows}
+    found = got.collect()
+    assert len(found) == len(want) and {(r["u"], r["sec"]): r["n_12h"] for r in found} == want
+
+
 def test_exact_quantile(spark):
     values = [float(v) for v in [5, 5, 5, 5, 1, 2, 9, 100, 7, 3, 5]]
     df = spark.createDataFrame([(v, -v) for v in values], "a double, b double")
