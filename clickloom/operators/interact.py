@@ -7,6 +7,7 @@ variable; Spark streams the field vectors through Arrow, with no shuffle.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
@@ -100,6 +101,9 @@ def field_bi_interaction(x, w):
     return mf + fm
 
 
+#: Weights are sent to every executor, up to this size.
+WEIGHT_BYTES_LIMIT = 256 * 1024 * 1024
+
 KINDS: dict[str, Kernel] = {
     "fefm": fefm,
     "outer_product": outer_product,
@@ -119,10 +123,16 @@ def interact(
     out: str = "cross",
     scalar: bool = False,
 ) -> DataFrame:
-    """Add ``out`` = the cross of the field vectors as ``array<double>``, or one number."""
+    """Add ``out`` = the cross of the field vectors as ``array<double>``, or one number.
+
+    Weights above ``WEIGHT_BYTES_LIMIT`` are refused.
+    """
     ship_package(df.sparkSession)
     kernel = KINDS[kind] if isinstance(kind, str) else kind
     k = len(fields)
+    size = len(pickle.dumps(dict(weights)))
+    if size > WEIGHT_BYTES_LIMIT:
+        raise ValueError(f"the weights of {k} fields take {size} bytes; at most {WEIGHT_BYTES_LIMIT} are sent to every executor")
     shared = df.sparkSession.sparkContext.broadcast(dict(weights))
 
     def evaluate(flat: pa.Array) -> pa.Array:
