@@ -42,7 +42,7 @@ def select_spec(spark, sf):
     WHERE dt >= '19950101' AND dt <= '19961231' AND tag = 'R' AND source IN ('1-URGENT', '2-HIGH', '5-LOW')""",
 )
 def filter_scope(spark, sf):
-    rows = impressions(spark, sf).select("dt", "user_id", "item_id", "tag", "source")
+    rows = impressions(spark, sf, "19950101", "19961231").select("dt", "user_id", "item_id", "tag", "source")
     return P.filter_scope(
         rows, "19950101", "19961231", {"tag": "R"}, {"source": ["1-URGENT", "2-HIGH", "5-LOW"]}
     )

@@ -44,7 +44,7 @@ TIMELINE = f"""t AS (SELECT dt, {BY_ORDER}, CASE WHEN dt < '19970603' THEN 'trai
 
 @query("split_timeline", f"WITH {IMPRESSIONS}, {TIMELINE} SELECT * FROM t")
 def split_timeline(spark, sf):
-    return S.split_timeline(impressions(spark, sf).select("dt", *ORDER), DAY, 14, _order())
+    return S.split_timeline(impressions(spark, sf, S.get_date(-14, DAY), DAY).select("dt", *ORDER), DAY, 14, _order())
 
 
 @query(
@@ -53,7 +53,7 @@ def split_timeline(spark, sf):
     UNION ALL SELECT dt, {BY_ORDER}, s FROM impressions, (VALUES ('dev'), ('test')) v(s) WHERE dt = '19970604'""",
 )
 def split_simple(spark, sf):
-    return S.split_simple(impressions(spark, sf).select("dt", *ORDER), DAY, 14)
+    return S.split_simple(impressions(spark, sf, S.get_date(-14, DAY), DAY).select("dt", *ORDER), DAY, 14)
 
 
 @query(

@@ -21,9 +21,18 @@ def micros(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", start, F.col(ts).cast("timestamp_ntz"))
 
 
-def impressions(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per shown item: line items joined to their order (user and day)."""
+def impressions(spark: SparkSession, sf: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """One row per shown item: line items joined to their order (user and day).
+
+    The days ``first`` to ``last`` (yyyyMMdd) are compared with the stored time,
+    so that they reach the scan, which a condition on the made ``dt`` does not.
+    """
     o = table(spark, sf, "orders")
+    kind = o.schema["o_orderdate"].dataType  # literals of the stored type leave the column bare
+    if first:
+        o = o.where(F.col("o_orderdate") >= F.to_date(F.lit(first), "yyyyMMdd").cast(kind))
+    if last:
+        o = o.where(F.col("o_orderdate") < F.date_add(F.to_date(F.lit(last), "yyyyMMdd"), 1).cast(kind))
     li = table(spark, sf, "lineitem")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.date_format("o_orderdate", "yyyyMMdd").alias("dt"),
