@@ -65,14 +65,18 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts (row, start, kind, end) that have all their complements within the scope.
 
-    An interval join: a part stands in its own cell of ``scope`` characters and
-    in both neighbours, so two parts within the scope share a cell.
+    Parts that touch or overlap are 0 characters apart, so a complement inside
+    a weak part, or around it, counts.  An interval join: a weak part stands in
+    every cell of ``scope`` characters that it reaches into, a near part in
+    those and one more at either end, so two parts within the scope share a
+    cell; they meet in the first one they share only.
     """
-    cell = F.floor(F.col("start") / scope)
-    weak = parts.where(F.col("kind") >= 3).withColumn("cell", cell)
-    near = parts.select("row", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"), F.col("start").alias("near_start"), F.col("end").alias("near_end"), F.col("kind").alias("near_kind"))
+    width = max(scope, 1)
+    first, last = F.floor(F.col("start") / width), F.floor(F.col("end") / width)
+    weak = parts.where(F.col("kind") >= 3).select("row", "start", "kind", "end", first.alias("first"), F.explode(F.sequence(first, last)).alias("cell"))
+    near = parts.select("row", (first - 1).alias("near_first"), F.explode(F.sequence(first - 1, last + 1)).alias("cell"), F.col("start").alias("near_start"), F.col("end").alias("near_end"), F.col("kind").alias("near_kind"))
     gap = F.greatest(F.col("start") - F.col("near_end"), F.col("near_start") - F.col("end"))
-    pairs = weak.join(near, ["row", "cell"]).where(gap.between(0, scope))
+    pairs = weak.join(near, ["row", "cell"]).where((F.col("cell") == F.greatest("first", "near_first")) & (gap <= scope))
     has = lambda kinds: F.max(F.col("near_kind").isin([KINDS.index(k) for k in kinds]))
     enough = F.lit(False)
     for kind, groups in NEEDS.items():

@@ -208,6 +208,34 @@ def test_weak_parts_alone_are_not_reported(spark):
     assert got[1] == ("",) and got[2][0].startswith("assign:") and "," not in got[2][0]
 
 
+def test_links_of_long_parts_equal_a_brute_force_join(spark):
+    rng = np.random.default_rng(11)
+    parts = [(-1, 199, 3, 349), (-1, 0, 0, 99), (-1, 449, 2, 500), (-2, 0, 0, 150), (-2, 350, 3, 360), (-3, 0, 0, 150), (-3, 351, 3, 361), (-4, 0, 5, 900), (-4, 400, 3, 410), (-4, 420, 0, 440)]
+    for row in range(400):
+        at = 0
+        for _ in range(int(rng.integers(2, 6))):
+            start = max(0, at + int(rng.integers(-150, 450)))  # overlaps too
+            at = start + int(rng.integers(150, 1001) if rng.random() < 0.6 else rng.integers(5, 60))
+            parts.append((row, start, int(rng.integers(0, 6)), at))
+    parts = sorted(set(parts))
+    expected = set()
+    for row, start, kind, end in parts:
+        near = {secrets.KINDS[k] for r, a, k, b in parts if r == row and max(start - b, a - end) <= secrets.SCOPE}
+        if kind >= 3 and all(near & set(group) for group in secrets.NEEDS[secrets.KINDS[kind]]):
+            expected.add((row, start, kind, end))
+    got = [tuple(r) for r in secrets.link_parts(spark.createDataFrame(parts, "row long, start int, kind int, end int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert {(-1, 199, 3, 349), (-2, 350, 3, 360), (-4, 0, 5, 900)} <= expected and (-3, 351, 3, 361) not in expected
+
+
+def test_weak_parts_beside_long_or_overlapping_parts(spark):
+    run = "0af9" * 100
+    texts = [run + " " * 150 + "user = alice", "https://h.example.com/?user=alice&password=s3cr3ts3cr3t", run + " " * 201 + "user = alice"]
+    got = by_id(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), EMPTY)).withColumn("all", secrets.listing("spans")), "all")
+    assert got[0] == ("hex:0:400,identifier:550:562",) and got[2] == ("hex:0:400",)
+    assert "endpoint:0:55" in got[1][0] and "identifier:23:" in got[1][0]
+
+
 # scores
 
 def test_backoff_scores(spark, odd_docs):
