@@ -2,7 +2,8 @@
 
 A text is cut only where the tokenizer cuts too: between a character that is
 no white space and a following space or line end.  Texts with any other white
-space are encoded in one piece, so ids always equal those of the whole text.
+space, or with the string of an added token, are encoded in one piece, so ids
+always equal those of the whole text.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ class Encoder(dict):
 
             path = public_tokenizers.path(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the tokenizer takes out of a text before its pattern; in any case, as a normalizer may change it
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.I)
         self.model = self.tokenizer.model
         # byte-level vocabularies keep the white space, word vocabularies drop it
         self.byte_level = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
@@ -84,7 +87,7 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if _odd_space.search(text):
+        if _odd_space.search(text) or self.added.search(text):
             return self._whole(text)
         if _not_latin.search(text):
             chunks = (_with_space if self.byte_level else _without_space).findall(text)

@@ -129,6 +129,17 @@ def test_chunked_encoding_equals_the_tokenizer(spark, odd_docs, file):
         assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file, ids", [(packing.VOCABULARY, None), (wavelet.VOCABULARY, None), ("byte_bpe_50k.json", [64, 50256, 65]), ("word_bpe_49k.json", [320, 49407, 321])])
+def test_added_tokens_in_a_text_are_encoded_as_by_the_file(file, ids):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    e, fresh = tokens.Encoder(file), Tokenizer.from_file(public_tokenizers.path(file))
+    for text in ("a<|endoftext|>b", "<|startoftext|> a b <|endoftext|>", "one<|ENDOFTEXT|> two", "<|endoftext|><|endoftext|>", "a <|endoftext|>\n\n b's", "日本<|endoftext|>語 é", "<|endof text|> x"):
+        assert np.frombuffer(e(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert ids is None or np.frombuffer(e("a<|endoftext|>b"), "<u4").tolist() == ids
+
+
 def test_token_files(spark, odd_docs, tmp_path):
     path = str(tmp_path / "shards")
     wavelet.write_shards(odd_docs, path, size=500)
