@@ -5,7 +5,9 @@ linked.  Their paths, as tags with the letters of their classes and ids, are
 votes; Spark sums them by host, and each page is read again at the winning
 paths of its host.  A page that has none of them is read at its own best
 container.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts
-and comments are left out by tag, role, class or id wherever they stand.
+and comments are left out by tag, role, class or id wherever they stand.  In an
+article or main, and for ids made from a heading, a name that only may mean one
+of these leaves an element out only if it is mostly links (or, by its class, short).
 """
 
 from __future__ import annotations
@@ -27,13 +29,18 @@ SHARE = 0.1
 
 # Tags of HTML by their part in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml object canvas audio video select".split())
 LEFT_OUT = frozenset("nav footer aside form button menu dialog head label fieldset".split()) | RAW
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that pages are laid out with; the id of another need not name its place in the page.
+LAYOUT = frozenset("div ul ol dl table tr td".split())
+#: An element of so many characters is short.
+SHORT = 100
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|side|sidebar\w*|widget\w*|"
@@ -47,6 +54,29 @@ _tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _attribute = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?=[\s=/>]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _raw_end = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
 _space = re.compile(r"\s+")
+_own_heading = re.compile(r"\s*(?:<(?:div|header|a|span)\b[^>]*>\s*)*<h([1-6])\b[^>]*>(.{0,500}?)</h\1\s*>", re.I | re.S)
+_no_word = re.compile(r"(?:<[^>]*>|[\W_])+")
+
+
+def heading_id(name: str, page: str, at: int) -> bool:
+    """Whether an id was made from the heading that the element at this place begins with."""
+    found = _own_heading.match(page, at)
+    plain = _no_word.sub("-", html.unescape(found[2])).strip("-").lower() if found else ""
+    own = _no_word.sub("-", name).strip("-").lower()
+    return bool(plain) and plain in (own, re.sub(r"-\d+$", "", own))
+
+
+def named_noise(tag: str, classes: list[str], name: str, in_article: bool, page: str, at: int) -> str:
+    """What the class and id of an element say: it is noise, it may be noise (by its "class" or "id"), or nothing ("")."""
+    if tag in ("body", "html", "article", "main"):
+        return ""
+    by_class = any(NOISE.search(c) for c in classes)
+    by_id = tag not in HEADINGS and NOISE.search(name) is not None
+    if by_class and (not in_article or any(NOISE.fullmatch(c) for c in classes)):
+        return "noise"
+    if by_id and not in_article and (NOISE.fullmatch(name.strip()) or tag in LAYOUT and not heading_id(name, page, at)):
+        return "noise"
+    return "class" if by_class else "id" if by_id else ""
 
 
 class Node:
@@ -59,33 +89,55 @@ class Node:
         self.good, self.linked, self.last = 0, 0, None
 
 
-def read(page: str) -> tuple[list[str], list[Node]]:
-    """(blocks of text that are no noise, containers with the blocks they span), in page order."""
+def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int, bool]]]:
+    """(blocks of text that are no noise, containers with the blocks they span, (container, linked, heading) of every block), in page order."""
     blocks: list[str] = []
+    facts: list[tuple[Node | None, int, bool]] = []
     nodes: list[Node] = []
-    stack: list[tuple[str, bool, Node | None]] = []  # (tag, left out, nearest container)
+    stack: list[tuple[str, bool, Node | None, tuple | None]] = []  # (tag, left out, nearest container, what stood before if it may be noise)
     text: list[str] = []
     linked, links = 0, 0
+    heading, headings = False, 0
     inside: Node | None = None
     out = False
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, heading
         if text:
             block = _space.sub(" ", "".join(text)).strip()
             text.clear()
             if block:
                 blocks.append(block)
+                facts.append((inside, linked, heading))
                 if inside:
                     inside.good += len(block)
                     inside.linked += linked
-        linked = 0
+        linked, heading = 0, False
+
+    def settle(by: str, first: int, begun: int, linked_before: int, node: int) -> None:
+        """Take back all of an element that may be noise, if it is mostly links or, by its class, short."""
+        nonlocal linked
+        if len(blocks) > first:
+            begun, linked_before = 0, 0
+        size = sum(map(len, blocks[first:])) + len("".join(text[begun:]).strip())
+        in_links = sum(k for _, k, _ in facts[first:]) + linked - linked_before
+        if 2 * in_links > size or by == "class" and size <= SHORT:
+            for block, (at, k, _) in zip(blocks[first:], facts[first:]):
+                if at:
+                    at.good -= len(block)
+                    at.linked -= k
+            del blocks[first:], facts[first:], text[begun:], nodes[node:]
+            linked = linked_before
 
     def pop() -> None:
-        nonlocal inside, out, links
-        tag, _, node = stack.pop()
+        nonlocal inside, out, links, headings
+        tag, _, node, doubt = stack.pop()
         if tag in BLOCKS:
             close_block()
+        if doubt:
+            settle(*doubt)
+        if tag in HEADINGS:
+            headings -= 1
         if tag == "a":
             links = max(0, links - 1)
         if node is not None and (not stack or stack[-1][2] is not node):
@@ -94,10 +146,11 @@ def read(page: str) -> tuple[list[str], list[Node]]:
         out = stack[-1][1] if stack else False
 
     def words(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, heading
         if raw and not out:
             piece = html.unescape(raw)
             text.append(piece)
+            heading = heading or headings > 0
             if links:
                 linked += len(piece)
 
@@ -115,7 +168,7 @@ def read(page: str) -> tuple[list[str], list[Node]]:
             continue
         tag = found[2].lower()
         if found[1]:
-            if any(t == tag for t, _, _ in reversed(stack)):
+            if any(s[0] == tag for s in reversed(stack)):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -128,7 +181,7 @@ def read(page: str) -> tuple[list[str], list[Node]]:
             continue
         if tag in BLOCKS:
             close_block()
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font", "a") and any(t == "p" for t, _, _ in stack[-8:]):
+            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u", "font", "a") and any(s[0] == "p" for s in stack[-8:]):
                 pop()  # a block ends a paragraph left open, with what stands open in it
         if tag in CLOSED_BY:
             for depth in range(len(stack) - 1, -1, -1):
@@ -142,11 +195,12 @@ def read(page: str) -> tuple[list[str], list[Node]]:
             continue
         names = {k.lower(): next((v for v in vs if v), "") for k, *vs in _attribute.findall(m[0][found.end() :])}
         marks = f"{names.get('class', '')} {names.get('id', '')}"
-        in_article = any(t in ("article", "main") for t, _, _ in stack)
+        in_article = any(s[0] in ("article", "main") for s in stack)
+        named = named_noise(tag, names.get("class", "").split(), names.get("id", ""), in_article, page, at)
         noise = (
             tag in LEFT_OUT
             or tag == "header" and not in_article
-            or tag not in ("body", "html", "article", "main") and NOISE.search(marks) is not None
+            or named == "noise"
             or names.get("role", "").lower() in ROLES
             or "hidden" in names
             or names.get("aria-hidden", "").lower() == "true"
@@ -155,20 +209,23 @@ def read(page: str) -> tuple[list[str], list[Node]]:
             at = _raw_end[tag].search(page, at).end()
             continue
         node = inside
+        doubt = (named, len(blocks), len(text), linked, len(nodes)) if named and not out and not noise else None
         if tag in CONTAINERS and not out and not noise:
             label = tag + "".join(sorted({"." + re.sub(r"\d+", "#", x).lower() for x in marks.split()}))
             node = Node(f"{inside.path}>{label}" if inside else label, inside, len(blocks))
             nodes.append(node)
-        stack.append((tag, out or noise, node))
+        stack.append((tag, out or noise, node, doubt))
         inside, out = node, out or noise
         if tag == "a":
             links += 1
+        if tag in HEADINGS:
+            headings += 1
     while stack:
         pop()
     close_block()
     for node in nodes:
         node.last = len(blocks) if node.last is None else node.last
-    return blocks, nodes
+    return blocks, nodes, facts
 
 
 def score(nodes: list[Node]) -> list[tuple[float, Node]]:
@@ -192,7 +249,7 @@ def best_path(page: str) -> tuple[str, float] | None:
 
 def extract(page: str, paths: list[str]) -> tuple[str, str]:
     """(text, path): at the first path that the page has text at, else at its own best container, else all of it."""
-    blocks, nodes = read(page)
+    blocks, nodes, facts = read(page)
     for path in paths:
         spans = [(n.first, n.last) for n in nodes if n.path == path and n.last > n.first]
         if spans:

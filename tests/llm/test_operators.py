@@ -338,6 +338,20 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_sections_with_ids_made_from_headings_are_kept(spark):
+    ids = ["side-effects", "recommendations", "related-work", "legal-basis", "search-methods", "comments", "social-policy", "promotion"]
+    sections = "".join(f"<section id='{x}'><h2 id='{x}-1'>{x.replace('-', ' ').title()}</h2><p>What is said in {x}.</p></section>" for x in ids)
+    links = "<a href=x>Other story of the day</a> <a href=y>One more story</a>"
+    noise = f"<div class='related'>All of this is related to it, as one can see. {'More of it. ' * 20}</div><div id='share-box'>{links}</div><div class='ad-slot'>Buy</div><p>Read <span class='social-links'>{links}</span>on.</p>"
+    page = f"<body><article><h1>T</h1><p>One <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> two.</p>{sections}{noise}</article></body>"
+    wanted = ["T", "One x=2 two.", *(y for x in ids for y in (x.replace("-", " ").title(), f"What is said in {x}.")), "Read on."]
+    rest = f"<div class='post'><p>{'The text itself. ' * 20}</p><div id='side-effects'><h2>Side effects</h2><p>None.</p></div><h2 id='legal-basis'>Legal basis</h2><p>Some.</p><div id='site-search'>Go</div></div>"
+    pages = [(1, "http://a.example.com/", page), (2, "http://b.example.com/", rest)]
+    got = {r.page_id: r.text.split("\n") for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == wanted
+    assert got[2][1:] == ["Side effects", "None.", "Legal basis", "Some."]
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = [(i, "http://a.example.com/", f"<body><div class='post p{i}'><p>{'long text of the article itself ' * 20}</p></div><div class='teasers'><p>{'other story ' * 5}</p></div>") for i in range(9)]
     odd = [(9, "http://a.example.com/", f"<body><div class='post p9'><p>short text.</p></div><div class='teasers'><p>{'other story ' * 90}</p></div>")]
