@@ -238,27 +238,75 @@ def score(nodes: list[Node]) -> list[tuple[float, Node]]:
     return [(total[id(n)] * bonus.get(n.path.rpartition(">")[2].split(".")[0], 1.0), n) for n in nodes if total[id(n)] > 0]
 
 
-def best_path(page: str) -> tuple[str, float] | None:
-    """The path of the best container, and its score; the outer one of equals."""
-    scored = score(read(page)[1])
+def _tag_of(node: Node) -> str:
+    return _label(node).split(".")[0]
+
+
+def _label(node: Node) -> str:
+    return node.path.rpartition(">")[2]
+
+
+def _belongs(inner: Node, outer: Node, blocks: list[str], facts: list[tuple[Node | None, int, bool]]) -> bool:
+    """Whether all that the outer container adds to the inner one is part of its text: titles, leads, sibling sections.
+
+    Mostly linked blocks are not.  Before the inner one, the page's body itself may only add from a heading
+    on; after it, only blocks of the outer container's own, headings, sections and containers of the same name are.
+    """
+    page = _tag_of(outer) in ("body", "td")
+    before, after = range(outer.first, inner.first), range(inner.last, outer.last)
+    if any(2 * facts[i][1] > len(blocks[i]) for i in (*before, *after)):
+        return False
+    if page and before and not facts[before[0]][2]:
+        return False
+    for i in after:
+        at, _, heading = facts[i]
+        while at is not None and at is not outer and at.parent is not outer:
+            at = at.parent
+        if heading or at is None or at is outer or _tag_of(at) == "section":
+            continue
+        if _label(at) != _label(inner) or page and "." not in _label(at):
+            return False
+    return True
+
+
+def climb(node: Node, blocks: list[str], facts: list[tuple[Node | None, int, bool]]) -> Node:
+    """The outermost container that adds only what belongs to this one's text, at most its article or main."""
+    most, inner = node, node
+    while inner.parent is not None and _tag_of(inner) not in ("article", "main") and _belongs(inner, inner.parent, blocks, facts):
+        inner = inner.parent
+        if (inner.first, inner.last) != (most.first, most.last):
+            most = inner
+    return most
+
+
+def best(blocks: list[str], nodes: list[Node], facts: list[tuple[Node | None, int, bool]]) -> tuple[Node, float] | None:
+    """The best container with what belongs to its text, and its score; the outer one of equals."""
+    scored = score(nodes)
     if not scored:
         return None
     most = max(s for s, _ in scored)
-    return next((n.path, s) for s, n in scored if s == most)
+    return climb(next(n for s, n in scored if s == most), blocks, facts), most
+
+
+def best_path(page: str) -> tuple[str, float] | None:
+    """The path of the best container, and its score."""
+    found = best(*read(page))
+    return found and (found[0].path, found[1])
 
 
 def extract(page: str, paths: list[str]) -> tuple[str, str]:
-    """(text, path): at the first path that the page has text at, else at its own best container, else all of it."""
+    """(text, path): at the first path that the page has text at, with what belongs to it, else at its own best container, else all of it."""
     blocks, nodes, facts = read(page)
     for path in paths:
-        spans = [(n.first, n.last) for n in nodes if n.path == path and n.last > n.first]
-        if spans:
-            return _joined(blocks, spans), path
-    scored = score(nodes)
-    if scored:
-        most = max(s for s, _ in scored)
-        n = next(n for s, n in scored if s == most)
-        return _joined(blocks, [(n.first, n.last)]), n.path
+        found: list[Node] = []
+        for n in nodes:
+            if n.path == path and n.last > n.first and not (found and found[-1].first <= n.first and n.last <= found[-1].last):
+                found.append(climb(n, blocks, facts))
+        if found:
+            return _joined(blocks, sorted((n.first, n.last) for n in found)), found[0].path
+    own = best(blocks, nodes, facts)
+    if own:
+        return _joined(blocks, [(own[0].first, own[0].last)]), own[0].path
     return "\n".join(blocks), ""
 
 

@@ -352,6 +352,21 @@ def test_sections_with_ids_made_from_headings_are_kept(spark):
     assert got[2][1:] == ["Side effects", "None.", "Legal basis", "Some."]
 
 
+def test_titles_and_leads_outside_the_inner_container_are_kept(spark):
+    body, links = "<p>" + "The long text of the body itself. " * 20 + "</p>", "<a href=x>Other story</a>"
+    long = ("The long text of the body itself. " * 20).strip()
+    layouts = [
+        (f"<div class=post><h1>Title</h1><div class=lead>A lead.</div><div class=body>{body}</div></div>", ["Title", "A lead.", long]),
+        (f"<h1>Title</h1><div class=lead>A lead.</div><div class=body>{body}</div>", ["Title", "A lead.", long]),
+        (f"<div class=page><div class=post><h1>Title</h1><section id=a><h2>One</h2>{body}</section><section id=b><h2>Two</h2><p>Short.</p></section></div><div class=more>{links}</div></div>", ["Title", "One", long, "Two", "Short."]),
+        (f"<div class=top>The site</div><div class=body>{body}</div><div class=more>{'Another story. ' * 5}</div>", [long]),
+        (f"<div class=wrap><div class=list>{links}</div><div class=body>{body}</div></div>", [long]),
+    ]
+    pages = [(10 * k + i, f"http://h{k}.example.com/{i}", f"<body>{layout}</body>") for k, (layout, _) in enumerate(layouts) for i in range(2)]
+    got = {r.page_id: r.text.split("\n") for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + i: wanted for k, (_, wanted) in enumerate(layouts) for i in range(2)}
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = [(i, "http://a.example.com/", f"<body><div class='post p{i}'><p>{'long text of the article itself ' * 20}</p></div><div class='teasers'><p>{'other story ' * 5}</p></div>") for i in range(9)]
     odd = [(9, "http://a.example.com/", f"<body><div class='post p9'><p>short text.</p></div><div class='teasers'><p>{'other story ' * 90}</p></div>")]
