@@ -4,7 +4,7 @@ A character model (trigrams of letters, counted over the words of all
 documents) decodes disguised words by Viterbi: each character of a word is a
 lattice column of what may have been meant (itself, the letter a digit or sign
 stands for, nothing for a separator or one more repeat), and runs of single
-letters are one word or several.  The restored words and their beginnings are
+characters that hold a letter are one word or several.  The restored words and their beginnings are
 the features of a logistic regression, fitted on a bounded sample of labelled
 rows (``SAMPLE``); nothing but the text enters a score.
 """
@@ -47,7 +47,7 @@ _edges = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
 _runs_of_signs = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 _odd = re.compile(r"[^\W\d_].*(?:[\W\d_].*[^\W\d_]|[@$!|+(€£\d])|[@$!|+(€£\d].*[^\W\d_]|([^\W\d_])\1\1", re.S)
 _thrice = re.compile(r"(.)\1\1")
-_single = re.compile(r"(?:(?<=\s)|^)[^\W_](?:\s+[^\W_](?!\S)){2,}")
+_single = re.compile(r"(?:(?<=\s)|^)\S(?:\s+\S(?!\S)){2,}")  # letters, what is meant as one, and separators
 
 
 def _gram(a: int, b: int, c: int) -> int:
@@ -130,7 +130,9 @@ class Decoder:
         """Distinct words of a text, disguised ones as decoded."""
         text, words = text.lower(), set()
         for run in _single.findall(text):
-            words.update(self.best("".join(run.split()), spaced=True).split())
+            chars = _edges.sub("", "".join(run.split()))
+            if sum(c in MEANT or c.isalnum() for c in chars) > 2 and any(map(str.isalpha, chars)):
+                words.update(self.best(chars, spaced=True).split())
         for token in set(_token.findall(text)):
             if token.isalpha() and not _thrice.search(token):
                 words.add(token)

@@ -304,6 +304,19 @@ def test_decoder_restores_disguised_words():
     assert d.restore("") == set()
 
 
+def test_decoder_reads_spaced_words_with_signs():
+    n = np.full(toxicity._size**3, 0.05)
+    for word in "the idiot is a stupid clown and this person is here with that other thing".split() * 50:
+        codes = [0, 0, *(toxicity._code[c] for c in word), 0]
+        for x in zip(codes, codes[1:], codes[2:]):
+            n[toxicity._gram(*x)] += 1
+    n = n.reshape((toxicity._size,) * 3)
+    d = toxicity.Decoder(np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32))
+    for text, word in [("s t u p ! d", "stupid"), ("$ t u p 1 d", "stupid"), ("i d ! o t", "idiot"), ("i - d - i - o - t", "idiot"), ("he is - c . l . 0 . w . n !", "clown"), ("i _ d _ i _ o _ t", "idiot")]:
+        assert word in d.restore(text), text
+    assert d.restore("1 2 3 4 - -") <= {"1", "2", "3", "4"} and d.restore("- - | - -") == set()
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
