@@ -47,7 +47,7 @@ _edges = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
 _runs_of_signs = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 _odd = re.compile(r"[^\W\d_].*(?:[\W\d_].*[^\W\d_]|[@$!|+(€£\d])|[@$!|+(€£\d].*[^\W\d_]|([^\W\d_])\1\1", re.S)
 _thrice = re.compile(r"(.)\1\1")
-_single = re.compile(r"(?:(?<=\s)|^)\S(?:\s+\S(?!\S)){2,}")  # letters, what is meant as one, and separators
+_single = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")  # letters, what is meant as one, and separators
 
 
 def _gram(a: int, b: int, c: int) -> int:
@@ -219,7 +219,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kee
 
     The classifier sees at most ``sample`` labelled rows outside the held-out
     fold, those first by a hash of their doc_id.  Labels without a doc_id or
-    value are ignored, several of one doc_id count as their greatest.  Without
+    value are ignored, several of one doc_id count as their greatest; of
+    several rows of one doc_id the least text is seen.  Without
     any label every score is 0.5.  Null texts are scored as empty; repeated
     rows get equal scores.
     """
@@ -228,7 +229,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kee
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = materialize(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # at most ``sample`` on that side
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = materialize(one.select("text", "toxic"), "labelled")  # at most ``sample``
     counts = rows.mapInArrow(_sample_counts(model), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counts.toPandas().sort_values("feature")  # at most FEATURES rows
     picked, w = np.zeros(0, np.int64), np.zeros(1)

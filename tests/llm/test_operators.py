@@ -330,6 +330,18 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def test_repeated_rows_of_a_label_are_fitted_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: kept.append(df) or df)
+    docs = spark.createDataFrame([(1, "b b"), (1, "a a")] * 40 + [(i, f"text {i}") for i in range(2, 20)], EMPTY)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, toxic int")
+    toxicity.score_toxicity(docs, labels, sample=10)
+    toxicity.score_toxicity(docs, labels)
+    assert kept[0].count() <= 10
+    texts = [r.text for r in kept[1].collect()]
+    assert texts.count("a a") == 1 and "b b" not in texts
+
+
 # pages
 
 def test_main_text(spark):
