@@ -60,7 +60,7 @@ def closest(item: str, text: str) -> tuple[int, int]:
 class Searcher:
     """All occurrences of a block of items in a text."""
 
-    def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
+    def __init__(self, items: list[tuple[int | None, str]], errors: float = ERRORS):
         import ahocorasick
 
         self.items, self.errors, self.found = items, errors, ahocorasick.Automaton()
@@ -72,7 +72,7 @@ class Searcher:
             self.found.add_word(piece, (len(piece), places))
         self.found.make_automaton()
 
-    def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
+    def __call__(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item_id, start, end, distance) in the plain text, the closest of each place where hits lie together."""
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (n, places) in self.found.iter(text):
@@ -94,10 +94,10 @@ class Searcher:
                 if distance <= k:
                     out.append((item_id, lo + max(0, end - m), lo + end, distance))
                 group = [s]
-        return sorted(out)
+        return sorted(out, key=lambda hit: (hit[0] is not None, hit[0] or 0, hit[1:]))
 
 
-def _search(items: list[tuple[int, str]], errors: float):
+def _search(items: list[tuple[int | None, str]], errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Searcher(items, errors)
         for batch in batches:
@@ -108,12 +108,12 @@ def _search(items: list[tuple[int, str]], errors: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items, some at a time, so that the driver and the tasks hold one bounded block."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates().orderBy("item_id", "text").toLocalIterator():
         text = plain(row.text)
-        if text and row.item_id is not None:
+        if text:
             block.append((row.item_id, text))
             n += len(text)
         if n >= chars:
@@ -126,7 +126,8 @@ def _blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]
 def find_passages(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, chars: int = BLOCK_CHARS) -> DataFrame:
     """(row, item_id, start, end, distance) of every item in every ``keyed`` document, ends in its plain text.
 
-    Null and blank items or documents have no hits; items that repeat are searched once.
+    Null and blank items or documents have no hits; items that repeat are searched once,
+    those without an id like all others.
     """
     found = docs.sparkSession.createDataFrame([], FOUND)
     for block in _blocks(benchmark, chars):
@@ -135,7 +136,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """One row per input row: row, doc_id, n_hits, item_ids (ascending), least_distance (null without a hit), contaminated."""
+    """One row per input row: row, doc_id, n_hits, item_ids (ascending), least_distance (null without a hit), contaminated.
+
+    Items without an id mark a document and count as hits, but have no place in ``item_ids``.
+    """
     docs = keyed(docs)
     hits = find_passages(docs, benchmark, errors).groupBy("row").agg(
         F.count("*").alias("n_hits"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.min("distance").alias("least_distance")

@@ -288,6 +288,14 @@ def test_contamination(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(df, bench.limit(0)).collect())
 
 
+def test_items_without_an_id_are_searched(spark):
+    one, two = "the quick brown fox jumps over the lazy dog", "seven wizards boil a pot of very strong tea"
+    docs = spark.createDataFrame([(0, f"x {one} y"), (1, f"{two} and {one}"), (2, "clean " * 20), (3, two)], EMPTY)
+    bench = spark.createDataFrame([(None, one), (None, one), (7, two), (None, None), (None, " ")], "item_id long, text string")
+    got = by_id(decontaminate.contamination(docs, bench), "n_hits", "item_ids", "least_distance", "contaminated")
+    assert got == {0: (1, [], 0, True), 1: (2, [7], 0, True), 2: (0, [], None, False), 3: (1, [7], 0, True)}
+
+
 # toxicity
 
 def test_decoder_restores_disguised_words():
