@@ -96,7 +96,7 @@ WORD_VOCAB = """words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS
   steps AS (SELECT p_partkey, pos, idx, embedding AS vec FROM words JOIN wv USING (w) JOIN embeddings ON vec_id = idx)"""
 
 
-def word_rows(spark, sf, max_len=1_000):
+def word_rows(spark, sf, max_len=2**31 - 1):
     """Parts with indexed name words and their vectors."""
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     vocab = fit.fit_vocab(parts, [TokensField("p_name", sep=" ", max_len=max_len)])

@@ -107,3 +107,24 @@ def test_kernels_against_loops():
     w, b = rng.normal(size=6), rng.normal(size=6)
     x0 = x.reshape(4, 6)
     assert np.allclose(I.cross_net(x, {"kernels": [w], "bias": [b]}), x0 * (x0 @ w)[:, None] + b + x0)
+
+
+def test_sizes_and_words_beyond_the_given_tables(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from clickloom.plans import q_joins, q_train
+
+    given, sf = "/root/testdata/sf0.001", str(tmp_path)
+    for name in os.listdir(given):
+        if name != "part.parquet":
+            os.symlink(f"{given}/{name}", f"{sf}/{name}")
+    part = spark.read.parquet(f"{given}/part.parquet")
+    more = part.withColumn("p_brand", F.concat(F.lit("B"), F.col("p_partkey") % 40)).withColumn("p_type", F.concat(F.lit("T"), F.col("p_partkey") % 11))
+    more.withColumn("p_name", F.when(F.col("p_partkey") == 1, F.repeat(F.lit("word "), 1500)).otherwise(F.col("p_name"))).write.parquet(f"{sf}/part.parquet")
+    ready, sizes = q_train.features(spark, sf)
+    assert sizes[1:] == (41, 12)
+    assert tuple(ready.agg(*[F.max(c) + 1 for c in q_train.SPARSE]).first()) == sizes
+    assert q_train.score_batch(spark, sf).where("pred IS NULL").count() == 0
+    assert q_joins.word_rows(spark, sf).where("p_partkey = 1").select(F.size("word_ids")).first()[0] == 1501
