@@ -191,8 +191,8 @@ def leading_pairs(multiply: Callable[[np.ndarray], np.ndarray], d: int, wanted:
         elif slow:
             lower = 0.0  # a bound that surely holds
         before = worst
-        upper = min(theta[-1], theta[left - 1] - 0.05 * (theta[left - 1] - lower))  # lower where the whole block is level
-        middle, half = (upper + lower) / 2, max((upper - lower) / 2, 1e-6 * largest)
+        upper = min(theta[-1], theta[left - 1] - 0.005 * (theta[left - 1] - lower))  # lower where the whole block is level
+        middle, half = (upper + lower) / 2, max((upper - lower) / 2, 1e-6 * theta[0], RANK * largest)
         growth = np.arccosh(np.maximum((theta[[0, left - 1]] - middle) / half, 1 + 1e-9))
         enough = math.log(4 * max(worst / TOLERANCE, 1)) / growth[1]
         apart = math.log(SPREAD) / growth[0]
