@@ -6,7 +6,9 @@ One edit cannot touch both pivots, so of two near words the one whose prefix
 ends earlier in the order by rarity has an untouched pivot in the prefix of
 the other.  The position limits are used to the full: the edit lies on one side
 of that pivot, so up to it (or from it on) the words are alike letter by
-letter, and that whole part is the key of the join.
+letter, and that whole part is the key of the join.  Keys of many words, short
+ones mostly, are cut further: of what remains of two words with one edit
+between them, either the first or the last half is alike too.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import materialize, prepared, table
+from clickloom.llm.common import checked_broadcast, materialize, prepared, table
 from clickloom.plans.registry import Query
 
 #: Letters of a word, as a pattern class.
@@ -31,6 +33,8 @@ DAMAGE = 31
 RATIO = 10
 #: Edits between near words and letters of a gram.
 EDITS, GRAM = 1, 2
+#: A key is cut further if it would bring more pairs than this to verify.
+HOT_PAIRS = 10_000
 
 _SIDES = "key string, word string, n long, last int, pivot boolean"
 _SIDES_ARROW = pa.schema([("key", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("last", pa.int32()), ("pivot", pa.bool_())])
@@ -118,13 +122,47 @@ def _keyed(counts: dict[str, int]):
     return run
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def halves(rest: str, pivot: bool) -> list[str]:
+    """Keys of what a join key leaves of a word, alike in one place at least for rests one edit apart.
+
+    The length m of the prefix word's rest sets where its halves meet; the pivot
+    word does not know it and takes all three lengths that one edit allows.
+    """
+    n, out = len(rest), []
+    for m in range(max(n - 1, 0), n + 2) if pivot else (n,):
+        if m // 2 <= n:
+            out.append(f"{m}<{rest[: m // 2]}")
+        if m - m // 2 <= n:
+            out.append(f"{m}>{rest[n - (m - m // 2) :]}")
+    return out
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for key, word, n, last, pivot in zip(*(batch[c].to_pylist() for c in _SIDES_ARROW.names)):
+            known = len(key) - 1
+            rest = word[known:] if key[0] == "<" else word[: len(word) - known]
+            out += [(key + half, word, n, last, pivot) for half in halves(rest, pivot)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SIDES_ARROW.types)], schema=_SIDES_ARROW)
+
+
+def _spread(sides: DataFrame, most: int) -> DataFrame:
+    """The sides, those of keys with more than ``most`` pairs under longer keys."""
+    pairs = F.count_if("pivot") * F.count_if(~F.col("pivot"))
+    hot = materialize(sides.groupBy("key").agg(pairs.alias("pairs")).where(F.col("pairs") > most).select("key"), "hot-keys")
+    hot = checked_broadcast(hot)
+    return sides.join(hot, "key", "left_anti").union(sides.join(hot, "key", "left_semi").select(*sides.columns).mapInArrow(_halved, _SIDES))
+
+
+def near_words(words: DataFrame, most: int = HOT_PAIRS) -> DataFrame:
     """(word, n, other, other_n), both ways, of all words of (word, n) that one edit turns into another.
 
     The words are distinct and have at least four letters, so that the prefix
     holds two disjoint bigrams.
     """
-    sides = materialize(words.mapInArrow(_keyed(gram_counts(words)), _SIDES), "gram-keys")
+    sides = _spread(materialize(words.mapInArrow(_keyed(gram_counts(words)), _SIDES), "gram-keys"), most)
     left = sides.where("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
     right = sides.where("NOT pivot").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
     alike = left.join(right, "key").where("a_last <= b_last AND a <> b AND abs(length(a) - length(b)) <= 1")
@@ -146,7 +184,7 @@ def last_forms(links: DataFrame) -> DataFrame:
         ends = step.select("word", "root")
 
 
-def spelling_groups(docs: DataFrame, length: int = LENGTH, least: int = OCCURRENCES, ratio: int = RATIO) -> DataFrame:
+def spelling_groups(docs: DataFrame, length: int = LENGTH, least: int = OCCURRENCES, ratio: int = RATIO, most: int = HOT_PAIRS) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of the documents.
 
     ``form`` is the near word with the most occurrences, of equals the smallest
@@ -156,7 +194,7 @@ def spelling_groups(docs: DataFrame, length: int = LENGTH, least: int = OCCURREN
     empty table gives no rows.
     """
     words = vocabulary(docs, length, least)
-    found = near_words(words).groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
+    found = near_words(words, most).groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     enough = -F.col("best.less") >= ratio * F.col("n")
     found = found.select("word", "n_near", F.when(enough, F.col("best.other")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n"))
     found = materialize(found, "near-words")

@@ -65,15 +65,16 @@ def test_spelling_of_the_table(spark):
     assert any(w[0] for w in want.values())
 
 
+@pytest.mark.parametrize("most", [0, 20, 10_000])  # 0: every key is cut further
 @pytest.mark.parametrize("alphabet,length,least", [("ab", 5, 1), ("abcdefgh", 4, 1), ("aeä×Éé", 7, 1), ("rstl", 7, 2)])
-def test_dense_words(spark, alphabet, length, least):
+def test_dense_words(spark, alphabet, length, least, most):
     rng = random.Random(len(alphabet))
     words = ["".join(rng.choices(alphabet, k=rng.randint(length, length + 3))) for _ in range(250)]
     for w in list(words):
         i = rng.randrange(len(w))
         words += [w[:i] + rng.choice(alphabet) + w[i + rng.randint(0, 1) :]] * rng.randint(0, 2) + [w] * rng.choice([0, 0, 1, 30])
     docs = [(i % 40, " ".join(rng.choices(words, k=60))) for i in range(80)]
-    got = found(spelling.spelling_groups(spark.createDataFrame(docs, "doc_id long, text string"), length, least, 3))
+    got = found(spelling.spelling_groups(spark.createDataFrame(docs, "doc_id long, text string"), length, least, 3, most))
     assert got == expected(docs, length, least, 3)
 
 
