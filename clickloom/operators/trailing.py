@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.storage import materialize
 
 #: Seconds of one slice of a key's time.
 SLICE_SECONDS = 7 * 86_400
@@ -94,20 +95,86 @@ def trailing_active_days(df: DataFrame, keys, day: str, n: int, out: str) -> Dat
     return days.select(*keys, day, trailing_sum(keys, day, "_one", n).alias(out))
 
 
+def ratio_intervals(table: DataFrame, owner: str, item: str, day: str, part: str, whole: str, n: int) -> DataFrame:
+    """(owner, lo, hi, ratio): the serving days lo to hi on which an item's trailing ratio stays the same.
+
+    A daily row enters the window the day after and leaves it n days later, so
+    running sums over these two steps change on their days only.  Days without
+    any row in the window are in no interval; ratio is NULL where whole is 0.
+    """
+    steps = table.select(
+        owner, item,
+        F.explode(F.array(
+            F.struct((F.col(day) + 1).alias("lo"), F.col(part).alias("p"), F.col(whole).alias("w"), F.lit(1).alias("rows")),
+            F.struct((F.col(day) + n + 1).alias("lo"), (-F.col(part)).alias("p"), (-F.col(whole)).alias("w"), F.lit(-1).alias("rows")),
+        )).alias("s"),
+    ).select(owner, item, "s.*")
+    changes = steps.groupBy(owner, item, "lo").agg(*[F.sum(c).alias(c) for c in ("p", "w", "rows")])
+    at = Window.partitionBy(owner, item).orderBy("lo")
+    running = at.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        changes.select(owner, "lo", (F.lead("lo").over(at) - 1).alias("hi"), *[F.sum(c).over(running).alias(c) for c in ("p", "w", "rows")])
+        .where("rows > 0")
+        .select(owner, "lo", "hi", F.try_divide("p", "w").alias("ratio"))
+    )
+
+
+def interval_maximum(intervals: DataFrame, owner: str, longest: int) -> DataFrame:
+    """(owner, lo, largest): per day the largest ratio of the intervals (lo, hi) that hold it, none longer than ``longest``.
+
+    A sparse table over time: the two largest power-of-two blocks inside an
+    interval cover it, equal blocks of an owner are combined, and each level
+    hands its maximum to the two halves below, down to single days.
+    """
+    top = max(longest, 1).bit_length() - 1
+    length = F.col("hi") - F.col("lo") + 1
+    level = sum((F.when(length >= 1 << k, 1).otherwise(0) for k in range(1, top + 1)), F.lit(0))
+    block = F.call_function("shiftleft", F.lit(1), level)
+    starts = F.array_distinct(F.array("lo", (F.col("hi") - block + 1).cast("int")))
+    blocks = intervals.select(owner, level.alias("level"), F.explode(starts).alias("lo"), "ratio")
+    blocks = blocks.groupBy(owner, "level", "lo").agg(F.max("ratio").alias("ratio"))
+    found = blocks.where(F.col("level") == top).drop("level")
+    for k in range(top - 1, -1, -1):
+        halves = found.select(owner, F.explode(F.array("lo", F.col("lo") + (1 << k))).alias("lo"), "ratio")
+        own = blocks.where(F.col("level") == k).select(owner, "lo", "ratio")
+        found = halves.union(own).groupBy(owner, "lo").agg(F.max("ratio").alias("ratio"))
+    return found.withColumnRenamed("ratio", "largest")
+
+
+def interval_mean(intervals: DataFrame, owner: str) -> DataFrame:
+    """(owner, lo, mean): per day the mean ratio of the intervals that hold it.
+
+    Ratios enter and leave running sums as decimals, so that what has left
+    leaves nothing behind.
+    """
+    ratio = F.col("ratio").cast("decimal(38,18)")
+    known = F.col("ratio").isNotNull().cast("int")
+    steps = intervals.select(owner, F.explode(F.array(
+        F.struct(F.col("lo"), ratio.alias("s"), known.alias("n"), F.lit(1).alias("alive")),
+        F.struct((F.col("hi") + 1).alias("lo"), (-ratio).alias("s"), (-known).alias("n"), F.lit(-1).alias("alive")),
+    )).alias("x")).select(owner, "x.*")
+    per_day = steps.groupBy(owner, "lo").agg(*[F.sum(c).alias(c) for c in ("s", "n", "alive")])  # at most one row a day
+    at = Window.partitionBy(owner).orderBy("lo")
+    running = at.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = per_day.select(owner, "lo", (F.lead("lo").over(at) - 1).alias("hi"), *[F.sum(c).over(running).alias(c) for c in ("s", "n", "alive")])
+    mean = F.try_divide(F.col("s").cast("double"), F.col("n")).alias("mean")
+    return pieces.where("alive > 0").select(owner, F.explode(F.sequence("lo", "hi")).alias("lo"), mean)
+
+
 def trailing_best_ratio(
     table: DataFrame, owner: str, item: str, day: str, part: str, whole: str, n: int
 ) -> DataFrame:
     """Per owner and serving day: largest and mean item ratio over the window.
 
-    ``table`` is already one row per (owner, item, day), so serving a row on n
-    days multiplies the daily table, not the events; sums combine map-side.
+    ``table`` is one row per (owner, item, day).  No row is copied to the days it
+    serves: an item's ratio is constant between the days something enters or
+    leaves, and these intervals (at most two a row) are what is shuffled.
     """
-    served = table.select(
-        owner, item, part, whole, F.explode(F.sequence(F.col(day) + 1, F.col(day) + n)).alias(day)
-    )
-    per_item = served.groupBy(owner, item, day).agg(F.sum(part).alias("p"), F.sum(whole).alias("w"))
-    r = F.try_divide("p", "w")
-    return per_item.groupBy(owner, day).agg(F.max(r).alias("max_ratio"), F.avg(r).alias("avg_ratio"))
+    intervals = materialize(ratio_intervals(table, owner, item, day, part, whole, n), "ratio-intervals")
+    best = interval_maximum(intervals, owner, n)
+    mean = interval_mean(intervals, owner).withColumnRenamed(owner, "_owner").withColumnRenamed("lo", "_lo")
+    both = best.join(mean, F.col(owner).eqNullSafe(F.col("_owner")) & (F.col("lo") == F.col("_lo")))
+    return both.select(owner, F.col("lo").alias(day), F.col("largest").alias("max_ratio"), F.col("mean").alias("avg_ratio"))
 
 
 def trailing_hours(
