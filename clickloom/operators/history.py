@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.operators.hotkeys import ROWS_PER_SLOT, add_slots
+from clickloom.operators.lookups import identified
 from clickloom.operators.ranking import top_per_group
+from clickloom.storage import materialize
 
 
 def _values(steps: Column | str, item: str) -> Column:
@@ -98,6 +100,7 @@ def session_starts(
             F.when(F.col("_prev").isNull() | (F.col(epoch) - F.col("_prev") > gap), F.col(epoch)),
         )
     )
+    opened = materialize(opened, "opened")  # read twice
     own = F.last("_opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     # a hot slot may begin in the middle of a session opened in an earlier slot
     earlier = (
@@ -150,41 +153,63 @@ def session_split(
     return per_user.select(user, *arrays, F.size("_s").alias("sess_length"))
 
 
-def negatives(
-    steps: DataFrame, user: str, positives: DataFrame, catalog: DataFrame, pick: Column, out: str = "neg_item"
+#: Catalog places of a block, whose known ones are kept together.
+PLACES = 1 << 15
+
+
+def known_blocks(positives: DataFrame, user: str, places: int = PLACES) -> DataFrame:
+    """(user, block, known, before): the known catalog places of a user by block, sorted, and how many lie in earlier blocks.
+
+    A row holds at most ``places`` numbers and a user has at most a row for each
+    block of the catalog, however many events made the positives.
+    """
+    block = F.floor(F.col("idx") / places)
+    known = positives.where(F.col("idx").isNotNull()).select(user, "idx").distinct().groupBy(user, block.alias("block"))
+    known = known.agg(F.sort_array(F.collect_list("idx")).alias("known"))
+    earlier = Window.partitionBy(user).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return known.withColumn("before", F.coalesce(F.sum(F.size("known")).over(earlier), F.lit(0)))
+
+
+def negative_history(
+    df: DataFrame, key: Sequence[str], user: str, picks: Column, positives: DataFrame, catalog: DataFrame, out: str, places: int = PLACES
 ) -> DataFrame:
-    """Add one item the user never touched to every row.
+    """Add ``out``: for every number of the array ``picks`` an item the user never touched.
 
     ``catalog`` is ``(idx, item)`` with idx 0..n-1, ``positives`` is ``(user, idx)``,
-    ``pick`` any integer hash of the row.  The pick lands on a catalog place; if
-    the user knows that item, the next unknown one (cyclically) is taken.  The
-    next unknown place is computed once per run of known items, so every row is
-    settled by one equi-join; NULL only when a user knows the whole catalog.
+    ``picks`` any integer hashes.  A pick selects the f-th of the places the user
+    does not know, f being its remainder by their number.  With the known places
+    a_0 < a_1 < ... that is place f + j for the j known ones with a_i - i <= f:
+    the last block whose first known place fulfils this says how many come
+    before it, the block itself the rest.  Both are equi-joins on the user, whose
+    rows adaptive execution splits where a user is hot.  An element is NULL only
+    if the user knows the whole catalog; an array without picks gives an empty one.
     """
+    df, key = identified(df, key)
     n = catalog.agg(F.count(F.lit(1))).scalar()
-    known = positives.select(user, "idx").distinct()
-    run = known.withColumn(
-        "_run", F.col("idx") - F.row_number().over(Window.partitionBy(user).orderBy("idx"))
-    )
-    ends = run.groupBy(user, "_run").agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
-    first = F.min(F.struct("_lo", "_hi")).over(Window.partitionBy(user))
-    after = (
-        ends.withColumn("_first", first)
-        .withColumn("_n", n)
-        .withColumn(
-            "_next",
-            F.when(F.col("_hi") < F.col("_n") - 1, F.col("_hi") + 1)
-            .when(F.col("_first._lo") > 0, F.lit(0))
-            .when(F.col("_first._hi") < F.col("_n") - 1, F.col("_first._hi") + 1),
-        )
-        .select(user, "_run", "_next")
-    )
-    skip = run.join(after, [user, "_run"]).select(
-        F.col(user).alias("_u"), F.col("idx").alias("_i"), "_next"
-    )
-    placed = steps.withColumn("_pick", F.pmod(pick, n).cast("long"))
-    chosen = placed.join(skip, (F.col(user) == F.col("_u")) & (F.col("_pick") == F.col("_i")), "left").withColumn(
-        "_place", F.when(F.col("_i").isNull(), F.col("_pick")).otherwise(F.col("_next"))
+    blocks = materialize(known_blocks(positives, user, places), "known-blocks")
+    first = F.struct("block", "before", (F.element_at("known", 1) - F.col("before")).alias("least"))
+    heads = blocks.groupBy(F.col(user).alias("_u")).agg(  # at most one entry a block of the catalog
+        F.sort_array(F.collect_list(first)).alias("_heads"), F.sum(F.size("known")).alias("_known")
     )
-    names = catalog.select(F.col("idx").alias("_c"), F.col("item").alias(out))
-    return chosen.join(names, F.col("_place") == F.col("_c"), "left").select(*steps.columns, out)
+    each = df.select(*key, F.col(user).alias("_user"), F.posexplode(picks).alias("_pos", "_pick"))
+    free = n - F.coalesce("_known", F.lit(0))
+    each = each.join(heads, F.col("_user") == F.col("_u"), "left").withColumn("_f", F.when(free > 0, F.pmod("_pick", free)))
+    each = each.withColumn("_head", F.try_element_at(F.filter("_heads", lambda h: h["least"] <= F.col("_f")), F.lit(-1)))
+    each = each.select(*key, "_user", "_pos", "_f", F.col("_head.block").alias("_block"), F.col("_head.before").alias("_before"))
+    inside = blocks.select(F.col(user).alias("_u"), F.col("block").alias("_b"), "known")
+    each = each.join(inside, (F.col("_user") == F.col("_u")) & (F.col("_block") == F.col("_b")), "left")
+    passed = F.size(F.filter("known", lambda a, i: a - (F.col("_before") + i) <= F.col("_f")))
+    place = F.col("_f") + F.when(F.col("_b").isNull(), F.lit(0)).otherwise(F.col("_before") + passed)
+    names = catalog.select(F.col("idx").alias("_c"), F.col("item").alias("_item"))
+    each = each.select(*key, "_pos", place.alias("_place")).join(names, F.col("_place") == F.col("_c"), "left")
+    back = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_steps"))
+    empty = F.array().cast(f"array<{catalog.schema['item'].dataType.simpleString()}>")
+    return df.join(back, key, "left").withColumn(out, F.coalesce(_values("_steps", "_item"), empty)).drop("_steps", "_number")
+
+
+def negatives(
+    steps: DataFrame, user: str, positives: DataFrame, catalog: DataFrame, pick: Column, out: str = "neg_item", key: Sequence[str] = ()
+) -> DataFrame:
+    """Add one item the user never touched to every row: ``negative_history`` of a single pick."""
+    one = negative_history(steps, key, user, F.array(pick.cast("long")), positives, catalog, out)
+    return one.select(*steps.columns, F.get(out, F.lit(0)).alias(out))

@@ -12,6 +12,7 @@ from clickloom.plans.q_joins import word_rows
 from clickloom.plans.q_pool import WORD_CELLS, word_pool
 from clickloom.plans.registry import query
 from clickloom.plans.views import BEHAVIOUR, behaviour, fixed, ids
+from clickloom.storage import materialize
 
 ORDER = ["us", "event_id"]
 
@@ -32,19 +33,24 @@ def hist_sequence(spark, sf):
 @query(
     "neg_sequence",
     f"""WITH {BEHAVIOUR}, cat AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM behaviour)),
-    n AS (SELECT count(*) AS n FROM cat), pos AS (SELECT DISTINCT user_id, idx FROM behaviour JOIN cat USING (item_id)),
-    cand AS (SELECT event_id, user_id, o, (user_id * 104729 + event_id * 7919 + o) % n AS idx FROM behaviour, n, range(1000) r(o) WHERE o < n),
-    free AS (SELECT event_id, min(o) AS o FROM cand ANTI JOIN pos USING (user_id, idx) GROUP BY 1)
-    SELECT b.event_id, cat.item_id AS neg_item FROM behaviour b LEFT JOIN free USING (event_id)
-    LEFT JOIN cand ON cand.event_id = b.event_id AND cand.o = free.o LEFT JOIN cat ON cat.idx = cand.idx""",
+    pos AS (SELECT DISTINCT user_id, idx FROM behaviour JOIN cat USING (item_id)),
+    free AS (SELECT user_id, list(item_id ORDER BY idx) AS f FROM (SELECT DISTINCT user_id FROM behaviour) u CROSS JOIN cat ANTI JOIN pos USING (user_id, idx) GROUP BY 1),
+    h AS (SELECT event_id, user_id, CAST(count(*) OVER w AS INT) AS seq_length
+      FROM behaviour WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+    SELECT event_id, seq_length, array_to_string([f[(user_id * 104729 + event_id * 7919 + o * 1299709) % len(f) + 1] for o in range(seq_length)], ',')
+      AS neg_hist_item_id FROM h LEFT JOIN free USING (user_id)""",
 )
 def neg_sequence(spark, sf):
-    b = behaviour(spark, sf).select("event_id", "user_id", "item_id")
+    """For every step of a row's history an item its user never touched."""
+    b = behaviour(spark, sf)
     catalog = global_rank(b.select(F.col("item_id").alias("item")).distinct(), [F.col("item").asc()], out="idx", unique=True)
-    catalog = catalog.withColumn("idx", F.col("idx") - 1)
+    catalog = materialize(catalog.withColumn("idx", F.col("idx") - 1), "catalog")
     positives = b.join(catalog, b.item_id == catalog.item).select("user_id", "idx")
-    pick = F.col("user_id") * 104729 + F.col("event_id") * 7919
-    return H.negatives(b, "user_id", positives, catalog, pick).select("event_id", "neg_item")
+    rows = H.history(b, "user_id", ORDER, ["item_id"], 20).select("event_id", "user_id", "seq_length")
+    steps = F.when(F.col("seq_length") > 0, F.sequence(F.lit(0), F.col("seq_length") - 1)).otherwise(F.array().cast("array<int>"))
+    picks = F.transform(steps, lambda o: (F.col("user_id") * 104729 + F.col("event_id") * 7919 + o * 1299709).cast("long"))
+    out = H.negative_history(rows, ["event_id"], "user_id", picks, positives, catalog, "neg")
+    return out.select("event_id", "seq_length", ids("neg").alias("neg_hist_item_id"))
 
 
 GAP = 12 * 3600 * 1_000_000
