@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spark scans a map literal entry by entry, so longer vocabularies are joined.
+# Spark scans a map literal entry by entry, so ``apply_spec`` looks longer vocabularies up in another way.
 MAP_LITERAL_LIMIT = 64
 
 
@@ -30,8 +30,16 @@ def vocab_map(vocab: Sequence) -> Column:
     return F.create_map(*pairs)
 
 
+def place(c: Column, vocab: Sequence) -> Column:
+    """Index of a text in a given vocabulary of any length, 0 if it is null or unknown."""
+    if 0 < len(vocab) <= MAP_LITERAL_LIMIT:
+        return F.coalesce(F.element_at(vocab_map(vocab), c), F.lit(0))
+    words = F.array(*[F.lit(str(v)) for v in vocab]).cast("array<string>")
+    return F.coalesce(F.array_position(words, c).cast("int"), F.lit(0))
+
+
 def index_literal(c, vocab: Sequence) -> Column:
-    return F.coalesce(F.element_at(vocab_map(vocab), _col(c).cast("string")), F.lit(0))
+    return place(_col(c).cast("string"), vocab)
 
 
 def tokens(c, sep: str = ",", max_len: int | None = None) -> Column:
@@ -45,24 +53,21 @@ def pad(arr: Column, max_len: int, value: Column) -> Column:
 
 
 def split_pad_index(c, vocab: Sequence, max_len: int = 10, sep: str = ",") -> Column:
-    """Tokens -> indices, then padded with 0 or cut to ``max_len``."""
-    table = vocab_map(vocab)
-    idx = F.transform(tokens(c, sep, max_len), lambda t: F.coalesce(F.element_at(table, t), F.lit(0)))
+    """Tokens -> indices, then padded with 0 or cut to ``max_len``; a null text counts as the empty one."""
+    idx = F.transform(tokens(F.coalesce(_col(c), F.lit("")), sep, max_len), lambda t: place(t, vocab))
     return pad(idx, max_len, F.lit(0))
 
 
 def split_index_v2(c, vocab: Sequence, max_len: int, sep: str = " ") -> Column:
-    """Tokens cut and padded with '' first, then looked up."""
-    table = vocab_map(vocab)
+    """Tokens cut and padded with '' first, then looked up; a null text counts as the empty one."""
     return F.transform(
-        pad(tokens(c, sep, max_len), max_len, F.lit("")),
-        lambda t: F.coalesce(F.element_at(table, t), F.lit(0)),
+        pad(tokens(F.coalesce(_col(c), F.lit("")), sep, max_len), max_len, F.lit("")), lambda t: place(t, vocab)
     )
 
 
 def split_pad_number(c, max_len: int = 30, sep: str = ",") -> Column:
-    """Numeric tokens padded with 0; an empty string counts as '0'."""
-    text = F.when(_col(c) == "", F.lit("0")).otherwise(_col(c))
+    """Numeric tokens padded with 0; an empty or null text counts as '0'."""
+    text = F.when(F.coalesce(_col(c), F.lit("")) == "", F.lit("0")).otherwise(_col(c))
     nums = F.transform(tokens(text, sep, max_len), lambda t: t.try_cast("float"))
     return pad(nums, max_len, F.lit(0).cast("float"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from clickloom.functions import categorical as C
 from clickloom.functions import dense as D
 from clickloom.functions import vectors as V
-from clickloom.operators.lookups import index_by_vocab, index_tokens_by_vocab
+from clickloom.operators.lookups import index_features
 from clickloom.spec import CategoryField, DenseField, Field, TokensField, VectorField
 
 
@@ -43,32 +44,36 @@ def apply_spec(
 ) -> DataFrame:
     """``keep`` columns plus every feature under its own name.
 
-    Short given vocabularies become literals; fitted ones are joined from the
-    ``(feature, value, idx)`` table, per feature.  A shared vocabulary is looked
-    up under the name in ``share``.  ``key`` identifies a row where there is one;
-    without it, token features of a joined vocabulary write a row number first.
+    Short given vocabularies become literals; all other ones are looked up
+    together, in one pass (``index_features``).  A shared vocabulary is looked up
+    under the name in ``share``.  A null text of tokens counts as the empty text.
+    ``key`` identifies a row where there is one; without it, a vocabulary too
+    large for the tasks makes every row get a written number.
     """
-    spark = df.sparkSession
     columns = {f.name: feature_column(f) for f in fields}
-    out = df
-    for f in fields:
-        if columns[f.name] is not None:
-            continue
+    rest = [f for f in fields if columns[f.name] is None]
+    sides, inputs = [] if vocab is None else [vocab.select("feature", F.col("value").cast("string").alias("value"), F.col("idx").cast("int").alias("idx"))], {}
+    given = []
+    for n, f in enumerate(rest):
         if f.vocab:
-            side = spark.createDataFrame([(str(v), i) for i, v in enumerate(f.vocab, 1)], "value string, idx int")
+            feature = f"given {f.name}"
+            given += [(feature, str(v), i) for i, v in enumerate(f.vocab, 1)]
         elif vocab is not None:
-            side = vocab.where(F.col("feature") == (f.share or f.name)).select("value", "idx")
+            feature = f.share or f.name
         else:
             raise ValueError(f"{f.name}: no vocabulary given or fitted")
-        made = f"_out_{f.name}"
         if isinstance(f, CategoryField):
-            out = index_by_vocab(out, f.name, side, made, f.before_vocab)
+            inputs[f"_out{n}"] = (feature, C.cleanup(f.before_vocab, F.col(f.name)).cast("string"))
+            columns[f.name] = F.col(f"_out{n}")
         else:
-            steps = C.tokens(F.col(f.name), f.sep, f.max_len)
+            steps = C.tokens(F.coalesce(F.col(f.name), F.lit("")), f.sep, f.max_len)
             if f.pad_first:  # the empty text is looked up too, as in a short vocabulary
                 steps = C.pad(steps, f.max_len, F.lit(""))
-            out = index_tokens_by_vocab(out, key, steps, side, made, f.max_len)
-        columns[f.name] = F.col(made)
+            inputs[f"_out{n}"] = (feature, steps)
+            columns[f.name] = C.pad(F.col(f"_out{n}"), f.max_len, F.lit(0))
+    if given:
+        sides.append(df.sparkSession.createDataFrame(given, "feature string, value string, idx int"))
+    out = index_features(df, key, inputs, reduce(DataFrame.union, sides)) if inputs else df
     weights = {
         f.weight: C.split_pad_number(F.col(f.weight), f.max_len, f.sep)
         for f in fields

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import categorical as C
 from clickloom.operators.prepare import cast_spec, fill_default
+from clickloom.session import ship_package
 from clickloom.spec import ProfileField
 from clickloom.storage import materialize
 
@@ -90,6 +94,95 @@ def index_tokens_by_vocab(
     return df.join(steps, key, "left").withColumn(out, padded).drop("_ids", "_number")
 
 
+#: A vocabulary of at most this many bytes (value texts and 16 a row) is sent to every task; a larger one is joined.
+VOCABULARY_BYTES = 32 << 20
+
+
+def index_features(
+    df: DataFrame, key: Sequence[str], inputs: Mapping[str, tuple[str, Column]], vocab: DataFrame, limit: int = VOCABULARY_BYTES
+) -> DataFrame:
+    """Index any number of features against one vocabulary table, all in one pass over the rows.
+
+    ``inputs``: name of the new column -> (feature whose vocabulary it reads, text
+    or array of texts); ``vocab`` is ``(feature, value, idx)``.  A text becomes its
+    index, an array that of each element; 0 stands for what is null or unknown,
+    and a null array counts as empty.
+
+    A vocabulary that fits ``limit`` goes to the tasks, and no row moves.  Beyond,
+    every value of every feature becomes a row (feature, value), one join finds
+    the indices, and one grouping and join bring them back; ``key`` identifies a
+    row there (a stored number, where it does not).  Adaptive execution splits the
+    partitions of frequent values.
+    """
+    if not inputs:
+        return df
+    wanted = sorted({f for f, _ in inputs.values()})
+    side = vocab.where(F.col("feature").isin(wanted)).select("feature", F.col("value").cast("string").alias("value"), F.col("idx").cast("int").alias("idx"))
+    size = side.agg(F.coalesce(F.sum(F.octet_length("value") + 16), F.lit(0)).alias("n")).first().n
+    types = dict(df.select(*[c.alias(name) for name, (_, c) in inputs.items()]).dtypes)
+    arrays = {name: types[name].startswith("array") for name in inputs}
+    return (_index_in_tasks if size <= limit else _index_by_join)(df, key, inputs, side, arrays)
+
+
+def _index_in_tasks(df: DataFrame, key: Sequence[str], inputs, side: DataFrame, arrays: Mapping[str, bool]) -> DataFrame:
+    ship_package(df.sparkSession)
+    known: dict[str, tuple[list[str], list[int]]] = {}
+    for r in side.collect():  # measured before
+        values, places = known.setdefault(r.feature, ([], []))
+        values.append(r.value)
+        places.append(r.idx)
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    made = [(f"_x{n}", name, feature) for n, (name, (feature, _)) in enumerate(inputs.items())]
+
+    def found(feature: str, texts: pa.Array) -> np.ndarray:
+        values, places = shared.value.get(feature, ([], []))
+        at = pc.index_in(texts, pa.array(values, texts.type), skip_nulls=True)
+        return np.append(np.array(places, np.int32), np.int32(0))[at.fill_null(len(places)).to_numpy(zero_copy_only=False)]
+
+    def run(*columns: pa.Array) -> pa.Array:
+        out = []
+        for (_, name, feature), c in zip(made, columns):
+            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            if arrays[name]:
+                ends = np.concatenate([[0], np.cumsum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(found(feature, c.flatten()))))
+            else:
+                out.append(pa.array(found(feature, c)))
+        return pa.StructArray.from_arrays(out, names=[x for x, *_ in made])
+
+    kind = ", ".join(f"{x} {'array<int>' if arrays[name] else 'int'}" for x, name, _ in made)
+    texts = [c.cast("array<string>" if arrays[name] else "string") for name, (_, c) in inputs.items()]
+    out = df.withColumn("_indexed", F.arrow_udf(run, kind)(*texts))
+    return out.withColumns({name: F.col(f"_indexed.{x}") for x, name, _ in made}).drop("_indexed")
+
+
+def _index_by_join(df: DataFrame, key: Sequence[str], inputs, side: DataFrame, arrays: Mapping[str, bool]) -> DataFrame:
+    df, key = identified(df, key)
+
+    def values(n: int, feature: str, texts: Column) -> Column:
+        texts = F.coalesce(texts, F.array().cast("array<string>"))
+        return F.transform(texts, lambda t, i: F.struct(F.lit(n).alias("no"), i.alias("pos"), F.lit(feature).alias("feature"), t.alias("value")))
+
+    each = [
+        values(n, feature, c.cast("array<string>") if arrays[name] else F.array(c.cast("string")))
+        for n, (name, (feature, c)) in enumerate(inputs.items())
+    ]
+    rows = df.select(*key, F.explode(F.concat(*each)).alias("_e")).select(*key, "_e.*")
+    rows = rows.join(side, ["feature", "value"], "left").withColumn("idx", F.coalesce("idx", F.lit(0)))
+    made = []
+    for n, name in enumerate(inputs):
+        mine = F.col("no") == n
+        if arrays[name]:
+            steps = F.array_sort(F.collect_list(F.when(mine, F.struct("pos", "idx"))))
+            made.append(F.transform(steps, lambda s: s["idx"]).alias(f"_x{n}"))
+        else:
+            made.append(F.max(F.when(mine, F.col("idx"))).alias(f"_x{n}"))
+    back = rows.groupBy(*key).agg(*made)
+    missing = {True: F.array().cast("array<int>"), False: F.lit(0)}
+    columns = {name: F.coalesce(f"_x{n}", missing[arrays[name]]) for n, name in enumerate(inputs)}
+    return df.join(back, key, "left").withColumns(columns).drop("_number", *[f"_x{n}" for n in range(len(inputs))])
+
+
 def embedding_lookup(
     df: DataFrame, idx: str, table: DataFrame, out: str, default: Sequence[float] | None = None
 ) -> DataFrame:

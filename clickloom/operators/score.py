@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import vectors as V
+from clickloom.operators.lookups import identified
 
 
 def sigmoid(x: Column) -> Column:
@@ -33,9 +34,13 @@ def score_linear(
     """Add ``logit`` and ``pred`` from an explicit ``(feature, idx, weight)`` table.
 
     ``sparse`` are index columns, ``tokens`` index arrays (padding 0 has no
-    weight); ``key`` identifies a row and is needed for ``tokens`` only.
+    weight); ``key`` identifies a row and is needed for ``tokens`` only.  Rows
+    that share it are kept apart.
     """
     logit: Column = F.lit(float(bias))
+    names = df.columns
+    if tokens:
+        df, key = identified(df, key)
     out = df
     for f in sparse:
         side = weights.where(F.col("feature") == f).select(F.col("idx").alias("_i"), F.col("weight").alias(f"_w_{f}"))
@@ -53,8 +58,7 @@ def score_linear(
         logit = logit + F.coalesce(F.col(f"_w_{f}"), F.lit(0.0))
     for f, w in dense.items():
         logit = logit + F.col(f).cast("double") * F.lit(float(w))
-    extra = [f"_w_{f}" for f in [*sparse, *tokens]]
-    return out.withColumn("logit", logit).withColumn("pred", predict(F.col("logit"), task)).drop(*extra)
+    return out.withColumn("logit", logit).withColumn("pred", predict(F.col("logit"), task)).select(*names, "logit", "pred")
 
 
 def esmm_compose(*stages) -> list[Column]:

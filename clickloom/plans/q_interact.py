@@ -209,15 +209,14 @@ def field_bi_interaction(spark, sf):
 
 @query(
     "mix_experts",
-    f"""WITH {field_vectors_sql()}, g AS (SELECT *, [exp(f7[1]), exp(f7[2]), exp(f7[3])] AS e FROM fields)
-    SELECT vec_id, array_to_string([CAST(round((e[1] * f0[i] + e[2] * f1[i] + e[3] * f2[i]) / (e[1] + e[2] + e[3]) * 1e6) AS BIGINT)
-      for i in range(1, 9)], ',') AS v,
-    round((e[1] / (1 + exp(-f6[1])) + e[2] / (1 + exp(-f6[2])) + e[3] / (1 + exp(-f6[3]))) / (e[1] + e[2] + e[3]), 6) AS pieces FROM g""",
+    f"""WITH {field_vectors_sql()}, g AS (SELECT *, [exp(x) for x in f7] AS e, [f0, f1, f2, f3, f4, f5, f6, f7] AS v FROM fields)
+    SELECT vec_id, array_to_string([CAST(round(list_sum([e[k] * v[k][i] for k in range(1, 9)]) / list_sum(e) * 1e6) AS BIGINT) for i in range(1, 9)], ',') AS v,
+    round(list_sum([e[k] / (1 + exp(-f6[k])) for k in range(1, 9)]) / list_sum(e), 6) AS pieces FROM g""",
 )
 def mix_experts(spark, sf):
-    gate, learner = F.slice("f7", 1, 3), F.slice("f6", 1, 3)
+    """Eight experts mixed by a gate of eight numbers; eight learners, each in the share of its region."""
     return field_vectors(spark, sf).select(
         "vec_id",
-        fixed(S.mix_experts(gate, ["f0", "f1", "f2"])).alias("v"),
-        F.round(S.piecewise_linear(gate, learner), 6).alias("pieces"),
+        fixed(S.mix_experts("f7", [f"f{i}" for i in range(8)])).alias("v"),
+        F.round(S.piecewise_linear("f7", "f6"), 6).alias("pieces"),
     )

@@ -93,7 +93,8 @@ def embedding_lookup(spark, sf):
 WORD_VOCAB = """words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w,
     generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part),
   wv AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS idx FROM words GROUP BY 1),
-  steps AS (SELECT p_partkey, pos, idx, embedding AS vec FROM words JOIN wv USING (w) JOIN embeddings ON vec_id = idx)"""
+  steps AS (SELECT p_partkey, pos, idx, coalesce(embedding, [0::FLOAT for i in range((SELECT max(len(embedding)) FROM embeddings))]) AS vec
+    FROM words JOIN wv USING (w) LEFT JOIN embeddings ON vec_id = idx)"""
 
 
 def word_rows(spark, sf, max_len=2**31 - 1):

@@ -131,6 +131,33 @@ def apply_spec(spark, sf):
     )
 
 
+GIVEN_12 = ["red", "blue", "", "plate", "ring", "rod", "widget", "cold", "hot", "new", "old", "gear"]
+GIVEN_82 = [*GIVEN_12, *(f"word{i}" for i in range(70))]
+
+
+def _given_sql(words, pad):
+    found = f"list_transform(w, lambda x: coalesce(list_position({words}, x), 0))"
+    return f"array_to_string(list_resize({found}, 3, {pad}), ',')"
+
+
+@query(
+    "apply_given",
+    f"""WITH {IMPRESSIONS}, t AS (SELECT order_id, line_no, source, string_split(coalesce(CASE WHEN p_size % 10 <> 0 THEN p_name END, ''), ' ')[1:3] AS w
+      FROM impressions JOIN part ON p_partkey = item_id)
+    SELECT order_id, line_no, CAST(CASE WHEN source = '1-URGENT' THEN 100 ELSE 0 END AS INT) AS source, {_given_sql(GIVEN_12, 0)} AS few,
+    {_given_sql(GIVEN_82, 0)} AS many, {_given_sql(GIVEN_12, 3)} AS few_first, {_given_sql(GIVEN_82, 3)} AS many_first FROM t""",
+)
+def apply_given(spark, sf):
+    """Given vocabularies of 12 and 82 words over rows that share keys, with null texts and unknown words."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_size") % 10 != 0, F.col("p_name")).alias("name"))
+    rows = impressions(spark, sf).join(parts, "item_id").select("order_id", "line_no", "source", "name")
+    names = {"few": (GIVEN_12, False), "many": (GIVEN_82, False), "few_first": (GIVEN_12, True), "many_first": (GIVEN_82, True)}
+    fields = [TokensField(n, sep=" ", max_len=3, vocab=words, pad_first=first) for n, (words, first) in names.items()]
+    fields.append(CategoryField("source", vocab=[*(f"kind{i}" for i in range(99)), "1-URGENT"]))
+    out = A.apply_spec(rows.withColumns({n: F.col("name") for n in names}), fields, keep=["order_id", "line_no"], key=["order_id", "line_no"])
+    return out.withColumns({n: ids(n) for n in names})
+
+
 @query(
     "label_threshold",
     f"WITH {IMPRESSIONS} SELECT order_id, line_no, item_id, duration, CAST(duration >= 30 AS INT)::FLOAT AS has_convert FROM impressions",
