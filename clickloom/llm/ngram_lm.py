@@ -27,7 +27,7 @@ from clickloom.plans.registry import Query
 BACKOFF = 0.4
 HEAVY = 10_000
 #: Pairs that a task holds before it hands them on, and buckets of a partition.
-HELD, SPREAD = 2_000_000, 8
+HELD, SPREAD = 500_000, 8
 START = np.uint64(1)
 #: Stands for no document, in the counts of the corpus.
 COUNT_ROW = -(1 << 62)
@@ -62,7 +62,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(words)
                 ends.append(words[-1])
                 n += len(words)
-            if n > 4 * HELD:
+            if n > 8 * HELD:
                 yield done()
                 held, ends, n = [], [], 0
     if held:
@@ -125,6 +125,16 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(raw[: 8 * k].copy().view("<u8"), sizes), rest[: 8 * m].copy().view("<u8"), *(from_planes(rest[8 * m * i : 8 * m * (i + 1)]) for i in (1, 2, 3))
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of each bucket of a partition: packed they lie side by side, unpacked only one bucket does."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, payload in zip(batch["bucket"].to_pylist(), batch["payload"].to_pylist()):
+            held.setdefault(bucket, []).append(payload)
+    while held:
+        yield held.popitem()[1]
+
+
 SCORED = "row long, score double, backed long, bucket int, payload binary"
 _scored = pa.schema([("row", pa.int64()), ("score", pa.float64()), ("backed", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -139,12 +149,8 @@ def _by_row(row: np.ndarray, score: np.ndarray, backed: np.ndarray) -> Iterator[
 def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray, total: int, buckets: int):
     """Sums of log scores by document, and packed (word, document, occurrences) of the pairs that back off."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(p) for batch in batches for p in batch["payload"].to_pylist()]
-        if not parts:
-            return
-        first, word, row, n, own = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
+    def scored(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        first, word, row, n, own = (np.concatenate(x) for x in zip(*map(_unpack, payloads)))
         order, head, size = _counts(mix(first) + word)
         pair_n = np.empty(len(row), np.int64)
         pair_n[order] = np.repeat(np.add.reduceat(n[order], head), size)
@@ -170,6 +176,10 @@ def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray
         for a, b in zip(cuts, np.append(cuts[1:], len(row)).astype(int)):
             yield _block(int(bucket[a]), word[a:b], row[a:b], n[a:b])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for payloads in _by_bucket(batches):
+            yield from scored(payloads)
+
     return run
 
 
@@ -195,26 +205,28 @@ def _pack_counts(buckets: int):
 
 
 def _score_words(total: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         words, rows, ns = [], [], []
-        for batch in batches:
-            for payload in batch["payload"].to_pylist():
-                k = int.from_bytes(payload[:4], "little")
-                raw = np.frombuffer(payload, np.uint8, offset=4)
-                sizes = raw[8 * k : 12 * k].copy().view("<u4")
-                m, rest = int(sizes.sum()), raw[12 * k :]
-                words.append(np.repeat(raw[: 8 * k].copy().view("<u8"), sizes))
-                rows.append(from_planes(rest[: 8 * m]))
-                ns.append(from_planes(rest[8 * m :]))
-        if not words:
-            return
+        for payload in payloads:
+            k = int.from_bytes(payload[:4], "little")
+            raw = np.frombuffer(payload, np.uint8, offset=4)
+            sizes = raw[8 * k : 12 * k].copy().view("<u4")
+            m, rest = int(sizes.sum()), raw[12 * k :]
+            words.append(np.repeat(raw[: 8 * k].copy().view("<u8"), sizes))
+            rows.append(from_planes(rest[: 8 * m]))
+            ns.append(from_planes(rest[8 * m :]))
         word, row, n = np.concatenate(words), np.concatenate(rows), np.concatenate(ns)
         counts = row == COUNT_ROW
         order = np.argsort(word[counts])
         known, known_n = word[counts][order], n[counts][order]
         word, row, n = word[~counts], row[~counts], n[~counts]
-        share = known_n[np.searchsorted(known, word)] / total
-        yield from _by_row(row, n * np.log(BACKOFF * share), n)
+        if len(word):
+            share = known_n[np.searchsorted(known, word)] / total
+            yield from _by_row(row, n * np.log(BACKOFF * share), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for payloads in _by_bucket(batches):
+            yield from scored(payloads)
 
     return run
 

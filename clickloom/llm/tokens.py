@@ -16,8 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks kept in a worker's memory, and the longest chunk worth keeping.
-CACHED_CHUNKS = 700_000
+#: Chunks of one generation in a worker's memory (two are kept), and the longest chunk worth keeping.
+CACHED_CHUNKS = 400_000
 CACHED_LENGTH = 64
 
 # White space other than the space and the line end, in full
@@ -41,7 +41,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian unsigned 32-bit bytes; as a dict, those of the chunks met so far."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; as a dict, those of the chunks met lately.
+
+    A full dict becomes the older generation, from which chunks met again return
+    without being encoded again.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -60,12 +64,18 @@ class Encoder(dict):
         self.byte_level = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
         self.pattern = _latin_with_space if self.byte_level else _latin_without_space
         self.letters = _byte_letters()
+        self.bytes = [self.letters[b] for b in range(256)]
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, chunk: str) -> bytes:
         """A chunk that the vocabulary's pattern leaves whole goes straight to the merges of the model."""
+        rest = chunk[1:] if self.byte_level and chunk[0] == " " else chunk
+        if rest.isalpha() and (rest.isascii() or max(rest) <= "\xff"):  # the most frequent kind needs no pattern
+            chunk = chunk if self.byte_level else chunk.lower()
+            return self._merged("".join([self.bytes[b] for b in chunk.encode()]))
         if _not_latin.search(chunk):
             return self._whole(chunk)
         if not self.byte_level:
@@ -76,12 +86,18 @@ class Encoder(dict):
             chunk = chunk.replace(" ", self.letters[0x20])
         else:
             chunk = chunk.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(chunk)]).tobytes()
+        return self._merged(chunk)
+
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self._piece(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._piece(chunk)
         if len(chunk) <= CACHED_LENGTH:
             if len(self) >= CACHED_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids

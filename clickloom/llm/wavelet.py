@@ -67,7 +67,10 @@ class WaveletMatrix:
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes())
             zeros.append(len(ones) - int(blocks.sum()))
-            codes = np.concatenate([codes[~ones], codes[ones]])
+            sorted_codes = np.empty_like(codes)
+            codes.take(np.flatnonzero(~ones), out=sorted_codes[: zeros[-1]], mode="clip")
+            codes.take(np.flatnonzero(ones), out=sorted_codes[zeros[-1] :], mode="clip")
+            codes = sorted_codes
         return WaveletMatrix(len(ids), alphabet.astype("<u4"), zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -124,7 +127,7 @@ class WaveletMatrix:
         for level, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             zeros, above = self.zeros[len(self.planes) - 1 - level], np.empty_like(codes)
-            above[~ones], above[ones] = codes[:zeros], codes[zeros:] | codes.dtype.type(1 << level)
+            above[np.flatnonzero(~ones)], above[np.flatnonzero(ones)] = codes[:zeros], codes[zeros:] | codes.dtype.type(1 << level)
             codes = above
         return self.alphabet[codes]
 
