@@ -26,8 +26,8 @@ from clickloom.plans.registry import Query
 
 BACKOFF = 0.4
 HEAVY = 10_000
-#: Pairs that a task holds before it hands them on, and buckets of a partition.
-HELD, SPREAD = 500_000, 8
+#: Pairs that a task holds before it hands them on, and slices in which a partition is worked through.
+HELD, SLICES = 500_000, 8
 START = np.uint64(1)
 #: Stands for no document, in the counts of the corpus.
 COUNT_ROW = -(1 << 62)
@@ -117,22 +117,30 @@ def _pairs(heavy: np.ndarray, buckets: int):
     return run
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
+def _part(payload: bytes, columns: int, words: bool, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    """The heads from ``lo`` to below ``hi`` of a block, repeated by their sizes, and what goes with them."""
     k = int.from_bytes(payload[:4], "little")
     raw = np.frombuffer(payload, np.uint8, offset=4)
-    sizes = raw[8 * k : 12 * k].view("<u4")
-    m, rest = int(sizes.sum()), raw[12 * k :]
-    return np.repeat(raw[: 8 * k].copy().view("<u8"), sizes), rest[: 8 * m].copy().view("<u8"), *(from_planes(rest[8 * m * i : 8 * m * (i + 1)]) for i in (1, 2, 3))
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blocks of each bucket of a partition: packed they lie side by side, unpacked only one bucket does."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, payload in zip(batch["bucket"].to_pylist(), batch["payload"].to_pylist()):
-            held.setdefault(bucket, []).append(payload)
-    while held:
-        yield held.popitem()[1]
+    heads, sizes = raw[: 8 * k].copy().view("<u8"), raw[8 * k : 12 * k].copy().view("<u4").astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    i, j = np.searchsorted(heads, np.uint64(lo)), k if hi >> 64 else np.searchsorted(heads, np.uint64(hi))
+    a, b, m, at = ends[i], ends[j], int(ends[-1]), 12 * k
+    out = [np.repeat(heads[i:j], sizes[i:j])]
+    if words:
+        out.append(raw[at + 8 * a : at + 8 * b].copy().view("<u8"))
+        at += 8 * m
+    for _ in range(columns):
+        out.append(from_planes(np.ascontiguousarray(raw[at : at + 8 * m].reshape(8, m)[:, a:b]).ravel()))
+        at += 8 * m
+    return tuple(out)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], columns: int, words: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """A partition's blocks, a slice of their heads at a time: packed they lie side by side, unpacked only one slice does."""
+    payloads = [p for batch in batches for p in batch["payload"].to_pylist()]
+    for i in range(SLICES if payloads else 0):
+        lo, hi = (i << 64) // SLICES, ((i + 1) << 64) // SLICES
+        yield tuple(np.concatenate(x) for x in zip(*(_part(p, columns, words, lo, hi) for p in payloads)))
 
 
 SCORED = "row long, score double, backed long, bucket int, payload binary"
@@ -149,8 +157,7 @@ def _by_row(row: np.ndarray, score: np.ndarray, backed: np.ndarray) -> Iterator[
 def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray, total: int, buckets: int):
     """Sums of log scores by document, and packed (word, document, occurrences) of the pairs that back off."""
 
-    def scored(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        first, word, row, n, own = (np.concatenate(x) for x in zip(*map(_unpack, payloads)))
+    def scored(first, word, row, n, own) -> Iterator[pa.RecordBatch]:
         order, head, size = _counts(mix(first) + word)
         pair_n = np.empty(len(row), np.int64)
         pair_n[order] = np.repeat(np.add.reduceat(n[order], head), size)
@@ -168,7 +175,10 @@ def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray
         known = heavy[place] == word
         if known.any():
             yield from _by_row(row[known], n[known] * np.log(BACKOFF * heavy_n[place[known]] / total), n[known])
-        row, word, n = row[~known], word[~known], n[~known]
+        return row[~known], word[~known], n[~known]
+
+    def asked(held: list) -> Iterator[pa.RecordBatch]:
+        row, word, n = (np.concatenate(x) for x in zip(*held))
         bucket = _bucket(word, buckets)
         order = np.lexsort((row, word, bucket))
         row, word, n, bucket = row[order], word[order], n[order], bucket[order]
@@ -177,8 +187,15 @@ def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray
             yield _block(int(bucket[a]), word[a:b], row[a:b], n[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for payloads in _by_bucket(batches):
-            yield from scored(payloads)
+        held = []
+        for columns in _slices(batches, 3, True):
+            if len(columns[0]):
+                held.append((yield from scored(*columns)))
+            if sum(len(x[0]) for x in held) >= 2 * HELD:
+                yield from asked(held)
+                held = []
+        if held:
+            yield from asked(held)
 
     return run
 
@@ -205,28 +222,15 @@ def _pack_counts(buckets: int):
 
 
 def _score_words(total: int):
-    def scored(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words, rows, ns = [], [], []
-        for payload in payloads:
-            k = int.from_bytes(payload[:4], "little")
-            raw = np.frombuffer(payload, np.uint8, offset=4)
-            sizes = raw[8 * k : 12 * k].copy().view("<u4")
-            m, rest = int(sizes.sum()), raw[12 * k :]
-            words.append(np.repeat(raw[: 8 * k].copy().view("<u8"), sizes))
-            rows.append(from_planes(rest[: 8 * m]))
-            ns.append(from_planes(rest[8 * m :]))
-        word, row, n = np.concatenate(words), np.concatenate(rows), np.concatenate(ns)
-        counts = row == COUNT_ROW
-        order = np.argsort(word[counts])
-        known, known_n = word[counts][order], n[counts][order]
-        word, row, n = word[~counts], row[~counts], n[~counts]
-        if len(word):
-            share = known_n[np.searchsorted(known, word)] / total
-            yield from _by_row(row, n * np.log(BACKOFF * share), n)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for payloads in _by_bucket(batches):
-            yield from scored(payloads)
+        for word, row, n in _slices(batches, 2, False):
+            counts = row == COUNT_ROW
+            order = np.argsort(word[counts])
+            known, known_n = word[counts][order], n[counts][order]
+            word, row, n = word[~counts], row[~counts], n[~counts]
+            if len(word):
+                share = known_n[np.searchsorted(known, word)] / total
+                yield from _by_row(row, n * np.log(BACKOFF * share), n)
 
     return run
 
@@ -250,7 +254,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     heavy_first = np.append((often["n"] - often["last"]).to_numpy(np.int64), sums.last)
     order = np.argsort(heavy)
     heavy, heavy_n, heavy_first, total = heavy[order], heavy_n[order], heavy_first[order], sums.n
-    buckets = SPREAD * partitions(spark)
+    buckets = partitions(spark)
     pairs = exchange(docs.select("row", "text").mapInArrow(_pairs(heavy, buckets), "bucket int, payload binary"))
     scored = materialize(pairs.mapInArrow(_score_pairs(heavy, heavy_n, heavy_first, total, buckets), SCORED), "pair-scores")
     asked = scored.where("bucket IS NOT NULL").select("bucket", "payload")

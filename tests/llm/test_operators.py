@@ -256,6 +256,18 @@ def test_backoff_scores(spark, odd_docs):
     assert ngram_lm.backoff_scores(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_backoff_scores_of_repeated_rows(spark, odd_docs, monkeypatch):
+    """Rows that share or lack a doc_id are documents of their own; small hand-overs and slices change nothing."""
+    rows = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (1, "a dog"), (None, "the dog sat"), (None, "the dog sat"), (None, None)]
+    want = sorted(brute.backoff(list(enumerate(t for _, t in rows))).values(), key=str)
+    for held, slices in ((500_000, 8), (2, 1), (3, 64)):
+        monkeypatch.setattr(ngram_lm, "HELD", held)
+        monkeypatch.setattr(ngram_lm, "SLICES", slices)
+        got = ngram_lm.backoff_scores(spark.createDataFrame(rows, EMPTY)).collect()
+        mine = sorted(((r.n_words, r.n_backed_off, round(r.log_score, 9)) for r in got), key=str)
+        assert mine == sorted(((a, b, round(c, 9)) for a, b, c in want), key=str)
+
+
 # decontamination
 
 def test_closest_is_the_edit_distance():
