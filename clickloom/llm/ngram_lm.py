@@ -27,7 +27,7 @@ from clickloom.plans.registry import Query
 BACKOFF = 0.4
 HEAVY = 10_000
 #: Pairs that a task holds before it hands them on, and slices in which a partition is worked through.
-HELD, SLICES = 500_000, 8
+HELD, SLICES = 300_000, 16
 START = np.uint64(1)
 #: Stands for no document, in the counts of the corpus.
 COUNT_ROW = -(1 << 62)
@@ -147,17 +147,37 @@ SCORED = "row long, score double, backed long, bucket int, payload binary"
 _scored = pa.schema([("row", pa.int64()), ("score", pa.float64()), ("backed", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _by_row(row: np.ndarray, score: np.ndarray, backed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order, first, _ = _counts(row)
-    if len(first):
-        arrays = [pa.array(row[order][first]), pa.array(np.add.reduceat(score[order], first)), pa.array(np.add.reduceat(backed[order], first))]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())], schema=_scored)
+class Sums:
+    """Sums of scores and of pairs that backed off by document; handed on when there are many of them."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, row: np.ndarray, score: np.ndarray, backed: np.ndarray) -> None:
+        if len(row):
+            self.held.append(self._added([(row, score, backed)]))
+        if sum(len(x[0]) for x in self.held[1:]) > HELD:
+            self.held = [self._added(self.held)]
+
+    @staticmethod
+    def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        row, score, backed = (np.concatenate(x) for x in zip(*parts))
+        order, first, _ = _counts(row)
+        return row[order][first], np.add.reduceat(score[order], first), np.add.reduceat(backed[order], first)
+
+    def rows(self, most: int = 0) -> Iterator[pa.RecordBatch]:
+        """Everything, once there are more than ``most`` documents."""
+        if self.held and sum(len(x[0]) for x in self.held) > most:
+            row, score, backed = self._added(self.held)
+            nulls = [pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score), pa.array(backed), *nulls], schema=_scored)
+            self.held = []
 
 
 def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray, total: int, buckets: int):
     """Sums of log scores by document, and packed (word, document, occurrences) of the pairs that back off."""
 
-    def scored(first, word, row, n, own) -> Iterator[pa.RecordBatch]:
+    def scored(sums: Sums, first, word, row, n, own) -> tuple[np.ndarray, ...]:
         order, head, size = _counts(mix(first) + word)
         pair_n = np.empty(len(row), np.int64)
         pair_n[order] = np.repeat(np.add.reduceat(n[order], head), size)
@@ -169,12 +189,12 @@ def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray
         seen = pair_n > n
         with np.errstate(divide="ignore"):
             score = n * np.log((pair_n - n) / np.maximum(1, first_n - own))
-        yield from _by_row(row[seen], score[seen], np.zeros(int(seen.sum()), np.int64))
+        sums.add(row[seen], score[seen], np.zeros(int(seen.sum()), np.int64))
         row, word, n = row[~seen], word[~seen], n[~seen]
         place = np.minimum(np.searchsorted(heavy, word), len(heavy) - 1)
         known = heavy[place] == word
         if known.any():
-            yield from _by_row(row[known], n[known] * np.log(BACKOFF * heavy_n[place[known]] / total), n[known])
+            sums.add(row[known], n[known] * np.log(BACKOFF * heavy_n[place[known]] / total), n[known])
         return row[~known], word[~known], n[~known]
 
     def asked(held: list) -> Iterator[pa.RecordBatch]:
@@ -187,13 +207,15 @@ def _score_pairs(heavy: np.ndarray, heavy_n: np.ndarray, heavy_first: np.ndarray
             yield _block(int(bucket[a]), word[a:b], row[a:b], n[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, sums = [], Sums()
         for columns in _slices(batches, 3, True):
             if len(columns[0]):
-                held.append((yield from scored(*columns)))
+                held.append(scored(sums, *columns))
+                yield from sums.rows(4 * HELD)
             if sum(len(x[0]) for x in held) >= 2 * HELD:
                 yield from asked(held)
                 held = []
+        yield from sums.rows()
         if held:
             yield from asked(held)
 
@@ -223,6 +245,7 @@ def _pack_counts(buckets: int):
 
 def _score_words(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
         for word, row, n in _slices(batches, 2, False):
             counts = row == COUNT_ROW
             order = np.argsort(word[counts])
@@ -230,7 +253,9 @@ def _score_words(total: int):
             word, row, n = word[~counts], row[~counts], n[~counts]
             if len(word):
                 share = known_n[np.searchsorted(known, word)] / total
-                yield from _by_row(row, n * np.log(BACKOFF * share), n)
+                sums.add(row, n * np.log(BACKOFF * share), n)
+                yield from sums.rows(4 * HELD)
+        yield from sums.rows()
 
     return run
 

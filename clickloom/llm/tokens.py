@@ -17,7 +17,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks of one generation in a worker's memory (two are kept), and the longest chunk worth keeping.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 600_000
 CACHED_LENGTH = 64
 
 # White space other than the space and the line end, in full
@@ -30,6 +30,7 @@ _ends = "'s|'t|'re|'ve|'m|'ll|'d"
 _latin_with_space = re.compile(f" ?[{_letter}]+|{_ends}| ?[{_digit}]+| ?[^ \\n{_letter}{_digit}]+|[ \\n]+(?![^ \\n])|[ \\n]+")
 _latin_without_space = re.compile(f"[{_letter}]+|{_ends}|[{_digit}]|[^ \\n{_letter}{_digit}]+")
 _not_latin = re.compile("[^\x00-\xff]")
+_special = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0100-\U0010ffff]")  # odd spaces and what is not Latin, found in one search
 _open: dict[str, "Encoder"] = {}
 
 
@@ -103,9 +104,10 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if _odd_space.search(text) or self.added.search(text):
+        special = _special.search(text)
+        if special and _odd_space.search(text) or self.added.search(text):
             return self._whole(text)
-        if _not_latin.search(text):
+        if special and _not_latin.search(text):
             chunks = (_with_space if self.byte_level else _without_space).findall(text)
         else:
             chunks = self.pattern.findall(text if self.byte_level else text.lower())
