@@ -27,7 +27,9 @@ from clickloom.plans.registry import Query
 BACKOFF = 0.4
 HEAVY = 10_000
 #: Pairs that a task holds before it hands them on, and slices in which a partition is worked through.
-HELD, SLICES = 300_000, 16
+HELD, SLICES = 150_000, 16
+#: Texts taken out of an Arrow batch at once.
+TEXTS = 256
 START = np.uint64(1)
 #: Stands for no document, in the counts of the corpus.
 COUNT_ROW = -(1 << 62)
@@ -45,6 +47,16 @@ def _counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(v)))
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(row, text), a few texts of a batch as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            yield from zip(part["row"].to_pylist(), binary(part["text"]))
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word, and how many of them end a text."""
     held, ends, n = [], [], 0
@@ -55,16 +67,15 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(last, np.searchsorted(words, np.array(ends, np.uint64)), 1)
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(last)], ["word", "n", "last"])
 
-    for batch in batches:
-        for text in binary(batch["text"]):
-            words = word_hashes(text)
-            if len(words):
-                held.append(words)
-                ends.append(words[-1])
-                n += len(words)
-            if n > 8 * HELD:
-                yield done()
-                held, ends, n = [], [], 0
+    for _, text in _texts(batches):
+        words = word_hashes(text)
+        if len(words):
+            held.append(words)
+            ends.append(words[-1])
+            n += len(words)
+        if n > 8 * HELD:
+            yield done()
+            held, ends, n = [], [], 0
     if held:
         yield done()
 
@@ -102,15 +113,14 @@ def _pairs(heavy: np.ndarray, buckets: int):
                 payload.append(len(heads).to_bytes(4, "little") + b"".join(parts))
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(payload, pa.binary())], ["bucket", "payload"])
 
-        for batch in batches:
-            for row, text in zip(batch["row"].to_pylist(), binary(batch["text"])):
-                first, word, n, own = document_pairs(text)
-                if len(first):
-                    held.append((np.full(len(first), row, np.int64), first, word, n, own))
-                    n_held += len(first)
-                if n_held >= HELD:
-                    yield flush()
-                    held, n_held = [], 0
+        for row, text in _texts(batches):
+            first, word, n, own = document_pairs(text)
+            if len(first):
+                held.append((np.full(len(first), row, np.int64), first, word, n, own))
+                n_held += len(first)
+            if n_held >= HELD:
+                yield flush()
+                held, n_held = [], 0
         if held:
             yield flush()
 
@@ -269,7 +279,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = keyed(docs)
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long, last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
+    counts = docs.select("row", "text").mapInArrow(_word_counts, "word long, n long, last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
     counts = materialize(counts, "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("last"), F.lit(0)).alias("last")).first()
     often = counts.where(F.col("n") * HEAVY >= sums.n).toPandas()  # at most HEAVY words
