@@ -75,16 +75,17 @@ def split_pad_number(c, max_len: int = 30, sep: str = ",") -> Column:
 def hash_bucket(c, n: int, mask_zero: bool = False) -> Column:
     """Hash of the text form into ``[0, n)``; with ``mask_zero`` '0' -> 0 and the rest ``1..n-1``.
 
-    Same range, determinism and mask as the definition; the hash itself is
-    Spark's, so the numbers are not those of another framework.
+    Same range, determinism and mask as the definition; the hash itself is the
+    head of the text's md5, so the numbers are not those of another framework,
+    but any engine can work them out.
     """
     if n < (2 if mask_zero else 1):
         raise ValueError("too few buckets")
     text = _col(c).cast("string")
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     if not mask_zero:
-        return F.pmod(F.xxhash64(text), F.lit(n)).cast("int")
-    bucket = (F.pmod(F.xxhash64(text), F.lit(n - 1)) + 1).cast("int")
-    return F.when(text.isin("0", "0.0"), F.lit(0)).otherwise(bucket)
+        return F.pmod(number, F.lit(n)).cast("int")
+    return F.when(text.isin("0", "0.0"), F.lit(0)).otherwise((F.pmod(number, F.lit(n - 1)) + 1).cast("int"))
 
 
 def seq_mask(idx) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.ranking import global_rank
+from clickloom.storage import materialize
 
 DATE_FORMAT = "%Y%m%d"
 
@@ -46,9 +47,54 @@ def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
     return df.orderBy(hash_order(key, seed), *key)
 
 
+#: Bits of a sampling number, and of them decided by one pass.
+HASH_BITS, PASS_BITS = 60, 12
+
+
+def hash_number(key: Sequence[str], seed: int = 0) -> Column:
+    """A number of 60 bits for a row's key: the head of the md5 of seed and key, so any engine can check it."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def cut_off(numbers: DataFrame, column: str, n: int) -> tuple[int, int]:
+    """(cut, rest): n rows are those below ``cut`` and ``rest`` of those equal to it.
+
+    Histogram passes: each counts the next bits of the numbers that share the
+    bits found so far, at most 4096 counts, until the n-th smallest is known.
+    """
+    low, rest = 0, n
+    for shift in range(HASH_BITS - PASS_BITS, -1, -PASS_BITS):
+        inside = numbers.where((F.col(column) >= low) & (F.col(column) < low + (1 << shift + PASS_BITS)))
+        counts = inside.groupBy(F.shiftright(F.col(column) - low, shift).alias("cell")).count().collect()
+        for cell, count in sorted((r["cell"], r["count"]) for r in counts):
+            if rest <= count:
+                break
+            rest -= count
+        else:  # fewer than n rows
+            return 1 << HASH_BITS, 0
+        low += cell << shift
+    return low, rest
+
+
 def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """``n`` random rows (each task keeps its own best n)."""
-    return shuffle_rows(df, key, seed).limit(n)
+    """Exactly ``n`` random rows (all, if there are fewer), in as many tasks as the table has.
+
+    The rows with the smallest ``hash_number``; only rows whose number equals the
+    cut-off, copies of one key, are ranked to reach n exactly.
+    """
+    if n <= 0:
+        return df.limit(0)
+    numbers = materialize(df.select(hash_number(key, seed).alias("_h")), "sample-numbers")
+    cut, rest = cut_off(numbers, "_h", n)
+    named = df.withColumn("_h", hash_number(key, seed))
+    below = named.where(F.col("_h") < cut).drop("_h")
+    if not rest:
+        return below
+    ties = named.where(F.col("_h") == cut).drop("_h")
+    if numbers.where(F.col("_h") == cut).count() > rest:
+        ties = global_rank(ties, [F.col(k).asc() for k in key], out="_rn").where(F.col("_rn") <= rest).drop("_rn")
+    return below.unionByName(ties)
 
 
 def sort_counts(counts: DataFrame, value: str = "value", count: str = "count") -> DataFrame:
@@ -98,7 +144,7 @@ def split_timeline(
         sided = split_prefix(recent, ratio, order, by=["dt"], out="_side")
         is_left = F.col("_side") == "left"
     else:
-        sided = recent.withColumn("_side", F.pmod(hash_order(key), F.lit(10_000)) < F.lit(int(ratio * 10_000)))
+        sided = recent.withColumn("_side", F.pmod(hash_order(key), F.lit(1 << 52)) < F.lit(int(ratio * (1 << 52))))
         is_left = F.col("_side")
     name = F.when(is_left, "train").when(F.col("dt") == before, "dev").otherwise("test")
     return past.unionByName(sided.withColumn(out, name).drop("_side"))

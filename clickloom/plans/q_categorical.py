@@ -31,7 +31,11 @@ def index_sparse(spark, sf):
     return out.withColumn("source_idx", C.index_literal("source", ("1-URGENT", "2-HIGH"))).drop("owner_id", "source")
 
 
-@query("hash_bucket")
+@query(
+    "hash_bucket",
+    f"""WITH {IMPRESSIONS} SELECT user_id, item_id, CAST(('0x' || substr(md5(user_id::VARCHAR), 1, 15))::BIGINT % 1000 AS INT) AS user_bucket,
+    CAST(CASE WHEN item_id = 0 THEN 0 ELSE ('0x' || substr(md5(item_id::VARCHAR), 1, 15))::BIGINT % 999 + 1 END AS INT) AS item_bucket FROM impressions""",
+)
 def hash_bucket(spark, sf):
     return impressions(spark, sf).select(
         "user_id", "item_id",

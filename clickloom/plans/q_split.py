@@ -21,7 +21,7 @@ def shuffle_rows(spark, sf):
     return S.shuffle_rows(behaviour(spark, sf).select("event_id", "user_id", "value"), ["event_id"], seed=42)
 
 
-@query("sample_n")
+@query("sample_n", "SELECT event_id, user_id, value FROM events ORDER BY substr(md5('42:' || event_id), 1, 15), event_id LIMIT 500")
 def sample_n(spark, sf):
     return S.sample_n(behaviour(spark, sf).select("event_id", "user_id", "value"), ["event_id"], 500, seed=42)
 
