@@ -100,7 +100,6 @@ def session_starts(
             F.when(F.col("_prev").isNull() | (F.col(epoch) - F.col("_prev") > gap), F.col(epoch)),
         )
     )
-    opened = materialize(opened, "opened")  # read twice
     own = F.last("_opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     # a hot slot may begin in the middle of a session opened in an earlier slot
     earlier = (
