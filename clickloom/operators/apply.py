@@ -20,6 +20,8 @@ def feature_column(f: Field) -> Column | None:
     if isinstance(f, DenseField):
         if f.transform is not None:
             return f.transform(F.col(f.name))
+        if f.op == "bucketize":
+            return D.bucketize(F.col(f.name), list(f.bounds))
         return D.by_name(f.op, F.col(f.name), f.p, f.q, f.generation) if f.op else F.col(f.name).cast("double")
     if isinstance(f, VectorField):
         return V.str_to_vec(F.col(f.name), f.dim, f.sep)

@@ -47,15 +47,11 @@ def add_bands(df: DataFrame, edges: Mapping[str, Sequence[float]], suffix: str =
     ).transform(df)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int | None = None) -> DataFrame:
-    """``(feature, quantile)``: linear-interpolated exact quantile of each column.
-
-    Values are counted per (feature, band, value) first; only the one or two
-    bands that hold the wanted ranks are then put in order.
-    """
+def _counted(df: DataFrame, cols: Sequence[str], bands: int | None) -> DataFrame:
+    """``(feature, band, value, n)`` of every value that is not null."""
     values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     banded = add_bands(values, cut_points(values, cols, bands))
-    counts = (
+    return (
         banded.select(
             F.explode(
                 F.array(
@@ -71,14 +67,52 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int | N
         .groupBy("feature", "band", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # one row per feature and band from here on
+
+
+def _starts(counts: DataFrame) -> DataFrame:
+    """``(feature, band, n, start, total)``: one row per feature and band."""
     per_band = counts.groupBy("feature", "band").agg(F.sum("n").alias("n"))
     in_order = Window.partitionBy("feature").orderBy("band")
+    return per_band.withColumn("start", F.sum("n").over(in_order) - F.col("n")).withColumn(
+        "total", F.sum("n").over(Window.partitionBy("feature"))
+    )
+
+
+def exact_boundaries(df: DataFrame, cols: Sequence[str], buckets: int, bands: int | None = None) -> DataFrame:
+    """``(feature, bounds)``: the distinct values at the ranks ``ceil(i * n / buckets)``, ascending.
+
+    Ranks are exact, whatever the sketch said.  Nulls and NaN do not count; a
+    column without any other value has no row.  Equal values share a bucket, so
+    a frequent value makes fewer buckets, never a boundary twice.
+    """
+    if buckets < 2:
+        raise ValueError("at least 2 buckets are needed")
+    counts = _counted(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]), cols, bands)
+
+    def rank(i):  # in whole numbers
+        up = i * F.col("total") + (buckets - 1)
+        return ((up - up % buckets) / buckets).cast("long")
+
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), rank)
+    held = F.filter(ranks, lambda r: (r > F.col("start")) & (r <= F.col("start") + F.col("n")))
+    wanted = _starts(counts).withColumn("ranks", held).where(F.size("ranks") > 0).drop("n", "total")
+    ends = F.col("start") + F.sum("n").over(Window.partitionBy("feature", "band").orderBy("value"))
+    at = counts.join(F.broadcast(wanted), ["feature", "band"]).withColumn("end", ends)  # one row per feature and band
+    hit = F.exists("ranks", lambda r: (r > F.col("end") - F.col("n")) & (r <= F.col("end")))
+    return at.where(hit).groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("bounds"))  # < buckets
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, bands: int | None = None) -> DataFrame:
+    """``(feature, quantile)``: linear-interpolated exact quantile of each column.
+
+    Values are counted per (feature, band, value) first; only the one or two
+    bands that hold the wanted ranks are then put in order.
+    """
+    counts = _counted(df, cols, bands)
+    per_band = _starts(counts)
     rank = F.lit(q) * (F.col("total") - 1)
     wanted = (
-        per_band.withColumn("start", F.sum("n").over(in_order) - F.col("n"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("feature")))
-        .withColumn("lo", F.floor(rank))
+        per_band.withColumn("lo", F.floor(rank))
         .withColumn("hi", F.ceil(rank))
         .withColumn("part", rank - F.floor(rank))
         .where((F.col("start") <= F.col("hi")) & (F.col("start") + F.col("n") > F.col("lo")))

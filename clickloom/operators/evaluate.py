@@ -206,3 +206,63 @@ def calibration(df: DataFrame, label: str, pred: str, deciles: int = 10) -> Data
         F.round(F.avg(p), 6).alias("mean_pred"),
         F.round(F.avg(F.col(label).cast("double")), 6).alias("mean_label"),
     )
+
+
+def _monotone(cells: Column) -> Column:
+    """Least-squares rising fit of ``cells`` (n_rows, n_pos in order): the greatest over starts of the least mean over ends.
+
+    The same numbers as by pooling adjacent violators, without their order of merging.
+    """
+
+    def mean(i, j):
+        part = F.slice(cells, i, j - i + 1)
+        total = lambda name: F.aggregate(part, F.lit(0).cast("long"), lambda a, c: a + c[name])
+        return total("n_pos").cast("double") / total("n_rows")
+
+    size = F.size(cells)
+    return F.transform(
+        F.sequence(F.lit(1), size),
+        lambda k: F.array_max(
+            F.transform(
+                F.sequence(F.lit(1), k),
+                lambda i: F.array_min(F.transform(F.sequence(k, size), lambda j: mean(i, j))),
+            )
+        ),
+    )
+
+
+def calibration_deciles(
+    df: DataFrame, label: str, pred: str, cells: int = 10, by: Sequence[str] = (), bands: int | None = None
+) -> DataFrame:
+    """``(by..., cell, n_rows, mean_pred, mean_label, monotone)`` in cells of equal mass by score rank.
+
+    A row's cell is ``floor(cells * rows with a lower score / all rows)``: equal
+    scores stay together, so a frequent score can leave cells empty (no row).
+    ``monotone`` is the rising fit of the labels over the cells, which corrects
+    a score without changing the order.
+    """
+    levels = _levels(df, label, pred, by, bands).withColumn("n", F.col("pos") + F.col("neg"))
+    per_band = levels.groupBy(*by, "_s_band").agg(F.sum("n").alias("_n"))
+    groups = Window.partitionBy(*by)  # one row per group and band
+    starts = per_band.select(
+        *by,
+        "_s_band",
+        (F.sum("_n").over(groups.orderBy("_s_band")) - F.col("_n")).alias("_start"),
+        F.sum("_n").over(groups).alias("_total"),
+    )
+    inside = Window.partitionBy(*by, "_s_band").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _join_same(levels.withColumn("_below", F.coalesce(F.sum("n").over(inside), F.lit(0))), starts, [*by, "_s_band"])
+    cell = F.floor((F.col("_start") + F.col("_below")) * cells / F.col("_total")).cast("int")
+    sums = placed.groupBy(*by, cell.alias("cell")).agg(
+        F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), F.sum(F.col("_s") * F.col("n")).alias("s")
+    )
+    rows = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cell", "n_rows", "n_pos", "s"))).alias("c"))  # `cells` at most
+    rows = rows.where(F.size("c") > 0)
+    return rows.select(*by, F.explode(F.arrays_zip("c", _monotone(F.col("c")).alias("m"))).alias("r")).select(
+        *by,
+        F.col("r.c.cell").alias("cell"),
+        F.col("r.c.n_rows").alias("n_rows"),
+        F.round(F.col("r.c.s") / F.col("r.c.n_rows"), 6).alias("mean_pred"),
+        F.round(F.col("r.c.n_pos") / F.col("r.c.n_rows"), 6).alias("mean_label"),
+        F.round("r.m", 6).alias("monotone"),
+    )

@@ -5,12 +5,18 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import categorical as C
+from clickloom.functions import dense as D
+from clickloom.operators.bands import exact_boundaries
 from clickloom.operators.ranking import global_rank, top_per_group
+from clickloom.session import ship_package
 from clickloom.spec import CategoryField, DenseField, Field, TokensField
 from clickloom.storage import materialize
 
@@ -28,8 +34,8 @@ def _drops_default(f: CategoryField | TokensField) -> bool:
     return isinstance(f, CategoryField) and f.oov_equals_default
 
 
-def value_counts(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -> DataFrame:
-    """``(feature, value, count)`` of every field from a single pass.
+def value_counts(df: DataFrame, fields: Sequence[CategoryField | TokensField], by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., feature, value, count)`` of every field from a single pass.
 
     Rows are unpivoted in the map task and counted there first, so a hot value
     leaves each task as one row.
@@ -40,10 +46,10 @@ def value_counts(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -
         return F.coalesce(made, F.array().cast("array<struct<feature:string,value:string>>"))
 
     return (
-        df.select(F.explode(F.concat(*[pairs(f) for f in fields])).alias("r"))
-        .select("r.*")
+        df.select(*by, F.explode(F.concat(*[pairs(f) for f in fields])).alias("r"))
+        .select(*by, "r.*")
         .where(F.col("value").isNotNull())
-        .groupBy("feature", "value")
+        .groupBy(*by, "feature", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )
 
@@ -65,7 +71,12 @@ def fit_vocab(df: DataFrame, fields: Sequence[CategoryField | TokensField]) -> D
     The counted values are stored, so the table is passed once, and numbered by
     range partitioning: a vocabulary of any size is spread over all tasks.
     """
-    kept = materialize(kept_values(value_counts(df, fields), fields), "counts")
+    return number_vocab(value_counts(df, fields), fields)
+
+
+def number_vocab(counts: DataFrame, fields: Sequence[CategoryField | TokensField]) -> DataFrame:
+    """The vocabulary of counted values ``(feature, value, count)``."""
+    kept = materialize(kept_values(counts, fields), "counts")
     order = [F.col("count").desc(), F.col("value").asc()]
     ranked = global_rank(kept, order, by=["feature"], out="idx", unique=True)
     return materialize(ranked, "vocab")  # lookups then see a plain table of known size
@@ -129,6 +140,93 @@ def fit_all(df: DataFrame, fields: Sequence[Field]) -> tuple[DataFrame | None, D
     )
 
 
+def fit_boundaries(df: DataFrame, fields: Sequence[Field]) -> DataFrame | None:
+    """``(feature, bounds)`` of every ``bucketize`` field without bounds: equal-mass buckets by exact rank.
+
+    Values equal to the default count as missing, as in the other statistics.
+    """
+    wanted = [f for f in fields if isinstance(f, DenseField) and f.op == "bucketize" and not f.bounds]
+    tables = []
+    for k in sorted({f.buckets for f in wanted}):
+        some = [f for f in wanted if f.buckets == k]
+        known = [F.when(F.col(f.name) != F.lit(f.default), F.col(f.name)).alias(f.name) for f in some]
+        tables.append(exact_boundaries(df.select(*known), [f.name for f in some], k))
+    return reduce(DataFrame.union, tables) if tables else None
+
+
+def _entropy_cuts(cells: pd.DataFrame, buckets: int) -> list[float]:
+    """The cuts between cells that, one after the other, gain the most information on the label."""
+    n, pos = (np.concatenate([[0], cells[c].to_numpy(dtype=float).cumsum()]) for c in ("n", "pos"))
+
+    def loss(a, b):
+        size, ones = n[b] - n[a], pos[b] - pos[a]
+        out = np.zeros(np.shape(size))
+        for part in (ones, size - ones):
+            some = part > 0
+            out[some] -= part[some] * np.log(part[some] / size[some])
+        return out
+
+    parts, cuts = [(0, len(cells))], []
+    while len(cuts) < buckets - 1:
+        found = []
+        for a, b in parts:
+            at = np.arange(a + 1, b)
+            if len(at):
+                gain = loss(np.full(1, a), np.full(1, b)) - loss(np.full(len(at), a), at) - loss(at, np.full(len(at), b))
+                best = int(gain.argmax())
+                found.append((gain[best], -at[best], a, b))
+        gain, at, a, b = max(found, default=(0.0, 0, 0, 0))
+        if not gain > 1e-9 * n[-1]:
+            break
+        parts.remove((a, b))
+        parts += [(a, -at), (-at, b)]
+        cuts.append(float(cells["low"].iloc[-at]))
+    return sorted(cuts)
+
+
+def fit_boundaries_by_label(df: DataFrame, cols: Sequence[str], label: str, buckets: int, cells: int = 256) -> DataFrame:
+    """``(feature, bounds)``: cuts that tell most about a 0/1 label, chosen among ``cells`` equal-mass cells.
+
+    The table is counted per feature and cell in one aggregation; the choice
+    sees at most ``cells`` rows per feature.  Rows without a label or value do
+    not count.  Fewer buckets come back where no further cut gains anything.
+    """
+    known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_y"), *cols)
+    bounds = {r["feature"]: r["bounds"] for r in exact_boundaries(known, cols, cells).collect()}  # < cells numbers a feature
+
+    def cell(c: str) -> Column:
+        edges = F.array(*[F.lit(b) for b in bounds[c]])
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        at = D.bucketize(x, bounds[c])
+        low = F.when(at > 0, F.element_at(edges, F.greatest(at, F.lit(1)))).otherwise(F.lit(float("-inf")))
+        return F.struct(F.lit(c).alias("feature"), F.when(x.isNotNull(), low).alias("low"))
+
+    found = [cell(c) for c in cols if c in bounds]
+    out = "feature string, bounds array<double>"
+    if not found:
+        return df.sparkSession.createDataFrame([], out)
+    counted = (
+        known.select("_y", F.explode(F.array(*found)).alias("r"))
+        .select("_y", "r.*")
+        .where(F.col("low").isNotNull())
+        .groupBy("feature", "low")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+    )
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("low")
+        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "bounds": [_entropy_cuts(ordered, buckets)]})
+
+    ship_package(df.sparkSession)
+    return counted.groupBy("feature").applyInPandas(choose, out)
+
+
+def with_boundaries(fields: Sequence[Field], bounds: DataFrame | None) -> list[Field]:
+    """Specification with fitted bounds filled in (one short row per feature is read)."""
+    fitted = {r["feature"]: tuple(r["bounds"]) for r in bounds.collect()} if bounds is not None else {}
+    return [replace(f, bounds=fitted[f.name]) if isinstance(f, DenseField) and f.op == "bucketize" and not f.bounds and f.name in fitted else f for f in fields]
+
+
 def with_parameters(fields: Sequence[Field], stats: DataFrame | None) -> list[Field]:
     """Specification with fitted numbers filled in (one short row per feature is read)."""
     fitted = {r["feature"]: r for r in stats.collect()} if stats is not None else {}
@@ -144,16 +242,22 @@ def with_parameters(fields: Sequence[Field], stats: DataFrame | None) -> list[Fi
     return out
 
 
-def save_fitted(path: str, vocab: DataFrame, stats: DataFrame) -> None:
-    """Vocabulary and statistics as tables next to the dataset."""
+def save_fitted(path: str, vocab: DataFrame, stats: DataFrame, bounds: DataFrame | None = None) -> None:
+    """Vocabulary, statistics and, where there are any, bucket bounds as tables next to the dataset."""
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
+    if bounds is not None:
+        bounds.write.mode("overwrite").parquet(f"{path}/bounds")
 
 
 def load_fitted(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats")
 
 
+def load_bounds(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/bounds")
+
+
 def save_document(spark, path: str, document: dict) -> None:
     """A specification document (bounded by the number of features) as one JSON text."""
     spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -137,6 +137,35 @@ def calibration(spark, sf):
     return E.calibration(impressions(spark, sf), "label_enter", "score")
 
 
+def deciles_sql(source: str, label: str, score: str, group: str = "") -> str:
+    """Cells by rank, and their rising fit from the means of all runs of cells."""
+    part = f"PARTITION BY {group}" if group else ""
+    g, of = (f"{group}, ", lambda t: f"{t}.{group}, ") if group else ("", lambda t: "")
+    same = lambda t, u: f"{t}.{group} = {u}.{group} AND " if group else ""
+    return f"""placed AS (SELECT {g}{label} AS y, {score} AS s,
+      CAST(floor((rank() OVER ({part} ORDER BY {score}) - 1) * 10 / count(*) OVER ({part})) AS INT) AS cell FROM {source}),
+    cells AS (SELECT {g}cell, count(*) AS n_rows, sum(y) AS n_pos, avg(s) AS mean_pred FROM placed GROUP BY {g}cell),
+    runs AS (SELECT {of('a')}a.cell AS i, b.cell AS j, sum(c.n_pos)::DOUBLE / sum(c.n_rows) AS m
+      FROM cells a JOIN cells b ON {same('a', 'b')}a.cell <= b.cell
+      JOIN cells c ON {same('a', 'c')}c.cell BETWEEN a.cell AND b.cell GROUP BY {of('a')}a.cell, b.cell),
+    least AS (SELECT {of('k')}k.cell, r.i, min(r.m) AS m FROM cells k JOIN runs r
+      ON {same('k', 'r')}r.i <= k.cell AND r.j >= k.cell GROUP BY {of('k')}k.cell, r.i),
+    fitted AS (SELECT {g}cell, max(m) AS m FROM least GROUP BY {g}cell)
+    SELECT {g}cell, n_rows, round(mean_pred, 6) AS mean_pred, round(n_pos / n_rows, 6) AS mean_label, round(m, 6) AS monotone
+    FROM cells JOIN fitted USING ({g}cell)"""
+
+
+@query("calibration_deciles", f"WITH {IMPRESSIONS}, {deciles_sql('impressions', 'label_enter', 'score')}")
+def calibration_deciles(spark, sf):
+    return E.calibration_deciles(impressions(spark, sf), "label_enter", "score")
+
+
+@query("calibration_deciles_by", f"WITH {IMPRESSIONS}, {deciles_sql('impressions', 'label_enter', 'pred', 'source')}")
+def calibration_deciles_by(spark, sf):
+    """Deciles of a score with eleven values, per source: ties leave cells empty."""
+    return E.calibration_deciles(impressions(spark, sf), "label_enter", "pred", by=["source"])
+
+
 @query(
     "esmm_compose",
     f"WITH {IMPRESSIONS} SELECT order_id, line_no, item_id, score AS p1, round(score * pred, 9) AS p2, round(score * pred * tax, 9) AS p3 FROM impressions",

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import categorical as C
 from clickloom.operators import bands, evaluate, fit
+from clickloom.operators.apply import apply_spec
 from clickloom.operators.sampling import count_values
 from clickloom.plans.registry import query
 from clickloom.plans.views import BEHAVIOUR, IMPRESSIONS, behaviour, impressions, table
 from clickloom.spec import CategoryField, DenseField, TokensField
+from clickloom.storage import new_path
 
 
 def vocab_sql(feature: str, counts: str, where: str = "true") -> str:
@@ -144,3 +146,60 @@ def label_mean(spark, sf):
 @query("pred_mean", WEIGHTED + "round(sum(score * duration) / sum(duration), 6) AS pred_mean FROM impressions GROUP BY dt")
 def pred_mean(spark, sf):
     return evaluate.losses(impressions(spark, sf), "label_enter", "score", ["dt"], "duration").select("dt", "pred_mean")
+
+
+def _bounds_sql(col: str, buckets: int) -> str:
+    """The values at the ranks ``ceil(i * n / buckets)``."""
+    return f"""SELECT DISTINCT '{col}' AS feature, {col}::DOUBLE AS v FROM (SELECT {col}, row_number() OVER (ORDER BY {col}) AS r, count(*) OVER () AS n
+      FROM impressions WHERE {col} <> 0) JOIN (SELECT unnest(range(1, {buckets})) AS i) ON r = (i * n + {buckets} - 1) // {buckets}"""
+
+
+BOUNDS = "bounds AS (" + " UNION ALL ".join(_bounds_sql(c, k) for c, k in (("amount", 16), ("tax", 16), ("duration", 7))) + ")"
+BUCKETED = [
+    DenseField("amount", op="bucketize", buckets=16),
+    DenseField("tax", op="bucketize", buckets=16),
+    DenseField("duration", op="bucketize", buckets=7),
+]
+
+
+@query(
+    "fit_boundaries",
+    f"""WITH {IMPRESSIONS}, {BOUNDS} SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY v) AS INT) AS number, v AS bound
+    FROM bounds""",
+)
+def fit_boundaries(spark, sf):
+    """Equal-mass boundaries by exact rank; ``tax`` has fewer values than buckets."""
+    out = fit.fit_boundaries(impressions(spark, sf), BUCKETED).select("feature", F.posexplode("bounds").alias("number", "bound"))
+    return out.withColumn("number", F.col("number") + 1)
+
+
+@query(
+    "bucketize_fitted",
+    f"""WITH {IMPRESSIONS}, {BOUNDS} SELECT order_id, line_no, item_id, """
+    + ", ".join(
+        f"(SELECT CAST(count(*) AS INT) FROM bounds WHERE feature = '{f.name}' AND v <= {f.name}) AS {f.name}" for f in BUCKETED
+    )
+    + " FROM impressions",
+)
+def bucketize_fitted(spark, sf):
+    """Boundaries fitted, saved, loaded and applied with the specification."""
+    rows = impressions(spark, sf)
+    path = new_path(spark, "bounds")
+    fit.fit_boundaries(rows, BUCKETED).write.parquet(f"{path}/bounds")
+    ready = fit.with_boundaries(BUCKETED, fit.load_bounds(spark, path))
+    return apply_spec(rows, ready, keep=["order_id", "line_no", "item_id"])
+
+
+@query(
+    "fit_boundaries_label",
+    f"""WITH {IMPRESSIONS}, edges AS (SELECT DISTINCT v FROM ({_bounds_sql('amount', 32).replace('WHERE amount <> 0', '')})),
+    sides AS (SELECT v, amount >= v AS above, count(*)::DOUBLE AS n, sum(label_enter)::DOUBLE AS pos
+      FROM impressions JOIN edges ON true WHERE label_enter IS NOT NULL GROUP BY 1, 2),
+    loss AS (SELECT v, sum(CASE WHEN pos > 0 THEN -pos * ln(pos / n) ELSE 0 END + CASE WHEN pos < n THEN -(n - pos) * ln((n - pos) / n) ELSE 0 END) AS l
+      FROM sides GROUP BY v)
+    SELECT 'amount' AS feature, v AS bound FROM loss ORDER BY l, v LIMIT 1""",
+)
+def fit_boundaries_label(spark, sf):
+    """The one cut of the price that tells most about the label."""
+    found = fit.fit_boundaries_by_label(impressions(spark, sf), ["amount"], "label_enter", 2, cells=32)
+    return found.select("feature", F.explode("bounds").alias("bound"))

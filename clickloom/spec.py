@@ -66,7 +66,11 @@ def const_type(value: Any) -> str:
 
 @dataclass(frozen=True)
 class DenseField:
-    """A number, or a vector of ``size`` numbers, with an optional transform."""
+    """A number, or a vector of ``size`` numbers, with an optional transform.
+
+    ``bucketize`` counts the ``bounds`` up to the number; without any, equal-mass
+    ``buckets`` are fitted.
+    """
 
     name: str
     default: float = 0.0
@@ -76,6 +80,8 @@ class DenseField:
     size: int = 1
     generation: int = 2
     transform: Callable[[Column], Column] | None = None
+    buckets: int = 10
+    bounds: tuple[float, ...] = ()
 
 
 @dataclass(frozen=True)
