@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clickloom.functions import categorical as C
-from clickloom.operators import bands, evaluate, fit
+from clickloom.operators import bands, evaluate, fit, refit
 from clickloom.operators.apply import apply_spec
-from clickloom.operators.sampling import count_values
+from clickloom.operators.sampling import count_values, date_list, get_date
 from clickloom.plans.registry import query
 from clickloom.plans.views import BEHAVIOUR, IMPRESSIONS, behaviour, impressions, table
 from clickloom.spec import CategoryField, DenseField, TokensField
@@ -203,3 +203,42 @@ def fit_boundaries_label(spark, sf):
     """The one cut of the price that tells most about the label."""
     found = fit.fit_boundaries_by_label(impressions(spark, sf), ["amount"], "label_enter", 2, cells=32)
     return found.select("feature", F.explode("bounds").alias("bound"))
+
+
+LAST, DAYS = "19970604", 60
+FIRST = get_date(1 - DAYS, LAST)
+REFIT = [CategoryField("source"), CategoryField("item_id", default="0", min_cnt=2), CategoryField("tag")]
+REFIT_DENSE = {"amount": 0.0, "duration": 1.0}
+WINDOW = f"(SELECT * FROM impressions WHERE dt BETWEEN '{FIRST}' AND '{LAST}')"
+
+
+def _counted(col: str) -> str:
+    return f"SELECT CAST({col} AS VARCHAR) AS value, count(*) AS count FROM {WINDOW} GROUP BY 1"
+
+
+def _refitted(spark, sf):
+    """The window of the day before, stored; then one day comes and one goes."""
+    path, early, eve = new_path(spark, "refit"), get_date(-1, FIRST), get_date(-1, LAST)
+    refit.add_days(impressions(spark, sf, early, eve), path, REFIT, REFIT_DENSE, date_list(early, eve, True))
+    refit.window_counts(spark, path, eve, DAYS)
+    refit.add_days(impressions(spark, sf, LAST, LAST), path, REFIT, REFIT_DENSE, [LAST])
+    return path
+
+
+@query(
+    "refit_vocab",
+    f"WITH {IMPRESSIONS} "
+    + " UNION ALL ".join(
+        vocab_sql(c, _counted(c), w) for c, w in (("source", "true"), ("item_id", "count >= 2 AND value <> '0'"), ("tag", "true"))
+    ),
+)
+def refit_vocab(spark, sf):
+    return refit.window_vocab(spark, _refitted(spark, sf), REFIT, LAST, DAYS)
+
+
+@query(
+    "refit_stats",
+    f"WITH {IMPRESSIONS} " + " UNION ALL ".join(stats_sql(c, c, str(d), WINDOW) for c, d in REFIT_DENSE.items()),
+)
+def refit_stats(spark, sf):
+    return refit.window_stats(spark, _refitted(spark, sf), LAST, DAYS)

@@ -220,3 +220,20 @@ def mix_experts(spark, sf):
         fixed(S.mix_experts("f7", [f"f{i}" for i in range(8)])).alias("v"),
         F.round(S.piecewise_linear("f7", "f6"), 6).alias("pieces"),
     )
+
+
+def _alternating(x, w):
+    """A cross of the caller's own: neighbouring fields' products with signs that alternate."""
+    return ((x[:, :-1] * x[:, 1:]).sum(2) * w["signs"]).sum(1, keepdims=True)
+
+
+@query(
+    "hook_cross",
+    f"WITH {field_vectors_sql()} SELECT vec_id, round("
+    + " ".join(f"{'-' if i % 2 else '+'} list_dot_product(f{i}, f{i + 1})" for i in range(K - 1))
+    + ", 6) AS cross FROM fields",
+)
+def hook_cross(spark, sf):
+    signs = np.array([(-1.0) ** i for i in range(K - 1)])
+    out = interact(field_vectors(spark, sf), FIELDS, _alternating, {"signs": signs}, scalar=True)
+    return out.select("vec_id", F.round("cross", 6).alias("cross"))

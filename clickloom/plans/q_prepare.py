@@ -301,3 +301,58 @@ def expr_same(spark, sf):
 
 
 _expr("expr_abs_diff", "abs(item_id - CAST(user_id AS INT)) AS diff", lambda: {"diff": X.abs_diff("item_id", F.col("user_id").cast("int"))})
+
+
+@query(
+    "hook_transform",
+    """SELECT p_partkey, round(sqrt(p_retailprice) / 2, 6) AS p_retailprice, p_size % 10 AS p_size FROM part""",
+)
+def hook_transform(spark, sf):
+    """Features made by functions of the specification."""
+    fields = [
+        DenseField("p_retailprice", transform=lambda c: F.sqrt(c) / 2),
+        DenseField("p_size", transform=lambda c: c % 10),
+    ]
+    out = A.apply_spec(table(spark, sf, "part"), fields, keep=["p_partkey"])
+    return out.withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
+@query(
+    "hook_before_vocab",
+    f"""WITH {BEHAVIOUR}, t AS (SELECT event_id, CAST(item_id % 17 AS VARCHAR) AS v FROM behaviour),
+    vocab AS (SELECT v, row_number() OVER (ORDER BY count(*) DESC, v) AS idx FROM t WHERE v IS NOT NULL AND v <> '3' GROUP BY 1)
+    SELECT event_id, CAST(coalesce(idx, 0) AS INT) AS path FROM t LEFT JOIN vocab USING (v)""",
+)
+def hook_before_vocab(spark, sf):
+    """A named clean-up before fitting and before the lookup: the last part of a dotted path."""
+    path = F.concat_ws(".", "event_type", (F.col("item_id") % 17).cast("string"))
+    rows = behaviour(spark, sf).select("event_id", F.when(F.col("item_id").isNotNull(), path).alias("path"))
+    fields = [CategoryField("path", default="3", before_vocab="split_dot_get_last")]
+    return A.apply_spec(rows, fields, fit.fit_vocab(rows, fields), keep=["event_id"], key=["event_id"])
+
+
+@query(
+    "prepare_training",
+    f"""WITH {IMPRESSIONS} SELECT order_id, line_no, item_id, CAST(user_id AS VARCHAR) AS user_id, CAST(trunc(duration) AS INT) AS duration,
+    CAST(coalesce(c_nationkey, -1) AS INT) AS nation, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, 'none') AS segment,
+    label_enter, CAST(duration >= 20 AS INT) AS label_long
+    FROM impressions LEFT JOIN customer ON user_id = c_custkey WHERE dt BETWEEN '19950101' AND '19950630'""",
+)
+def prepare_training(spark, sf):
+    """The preparation job of one period: profile join, types, defaults and the user's own step."""
+    rows = impressions(spark, sf, "19950101", "19950630").select(
+        "order_id", "line_no", "item_id", "user_id", "duration", "label_enter"
+    )
+    profile = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"),
+        F.col("c_nationkey").alias("nation"),
+        F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("segment"),
+    )
+    return P.build_training_table(
+        rows,
+        {"user_id": "string", "duration": "int32", "nation": "int32", "segment": "string"},
+        {"nation": -1, "segment": "none"},
+        lambda df: df.withColumn("label_long", (F.col("duration") >= 20).cast("int")),
+        profile,
+        ["user_id"],
+    )

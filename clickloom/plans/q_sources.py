@@ -242,6 +242,25 @@ def cache_dataset(spark, sf):
     return tables.cached_dataset(spark, task, 1024, "20240130", build)
 
 
+@query(
+    "cache_by_content",
+    f"""WITH {BEHAVIOUR}, cut AS (SELECT 'before' AS version, * FROM behaviour WHERE dt < '20240124' UNION ALL SELECT 'after', * FROM behaviour)
+    SELECT version, user_id, day, count(*) AS n FROM cut GROUP BY version, user_id, day""",
+)
+def cache_by_content(spark, sf):
+    """One name, two states of the input: the second is built anew, and each is found again."""
+    events = behaviour(spark, sf).select("event_id", "user_id", "day", "dt")
+    parts = []
+    for version, rows in (("before", events.where(F.col("dt") < "20240124")), ("after", events)):
+        for _ in range(2):
+            made = tables.cached_dataset(
+                spark, "by-content", 1024, "20240130",
+                lambda: rows.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")), [rows],
+            )
+        parts.append(made.select(F.lit(version).alias("version"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "retention",
     "SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS dt FROM orders WHERE strftime(o_orderdate, '%Y%m%d') <= '19971207'",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,9 +110,47 @@ def read_vocab_txt(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value string, idx int").option("sep", " ").csv(path)
 
 
-def cached_dataset(spark: SparkSession, task: str, batch: int, date: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Prepared dataset, written once under ``task_batch_date`` and then reused."""
-    path = f"{shared_dir(spark)}/datasets/{task}_{batch}_{date}"
+def content_key(spark: SparkSession, inputs: Sequence[DataFrame | str]) -> str:
+    """One short text for the content of tables and of folders of files, whatever the order of rows and files.
+
+    A table counts by its schema, its rows and two sums of their hashes (which
+    see nulls and repeated rows); a folder by the paths, lengths and times of
+    its files, which are not read.  Either is one aggregation to one row.
+    """
+    found = []
+    for given in inputs:
+        if isinstance(given, str):
+            reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            rows = reader.load(given).select("path", "length", "modificationTime")
+        else:
+            rows = given
+        # maps have no hash: their entries in order have
+        cells = [
+            F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+            for f in rows.schema.fields
+        ]
+        holes = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+        total = lambda seed: F.sum(F.xxhash64(F.lit(seed), holes, *cells).cast("decimal(38,0)"))
+        sums = rows.agg(F.count(F.lit(1)), total(1), total(2)).first()
+        found.append([rows.schema.json(), *map(str, sums)])
+    return hashlib.md5(json.dumps(found).encode()).hexdigest()
+
+
+def cached_dataset(
+    spark: SparkSession,
+    task: str,
+    batch: int,
+    date: str,
+    build: Callable[[], DataFrame],
+    inputs: Sequence[DataFrame | str] = (),
+) -> DataFrame:
+    """Prepared dataset, written once under ``task_batch_date`` and then reused.
+
+    With ``inputs`` (tables or folders) the name carries their ``content_key``:
+    changed input is built anew, equal input is not.
+    """
+    key = f"_{content_key(spark, inputs)}" if inputs else ""
+    path = f"{shared_dir(spark)}/datasets/{task}_{batch}_{date}{key}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         build().write.mode("overwrite").parquet(path)
