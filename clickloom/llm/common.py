@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.session import ship_package
 from clickloom.storage import materialize
 
-__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "planes", "prepared", "ship_package", "table", "uint64", "whole_text"]
+__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "pieces", "planes", "prepared", "ship_package", "table", "uint64", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: texts leave Arrow's memory a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def uint64(raw: Iterator[bytes] | list[bytes], dtype: str = "<u8") -> np.ndarray:
     """Packed numbers of many blocks as one array."""
     return np.frombuffer(b"".join(raw), dtype)

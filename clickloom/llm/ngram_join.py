@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import binary, checked_broadcast, components, exchange, from_planes, keyed, materialize, partitions, planes, table
+from clickloom.llm.common import binary, checked_broadcast, components, exchange, from_planes, keyed, materialize, partitions, pieces, planes, table
 from clickloom.llm.shingles import mix, shingle_set
 from clickloom.plans.registry import Query
 
@@ -45,9 +45,9 @@ SMALL = 32
 #: Segments per shingle of the largest set that a space serves.
 DENSITY = 0.42
 #: Packed segments a task holds before it hands them on.
-HELD = 1_500_000
-#: Buckets of a partition.
-SPREAD = 8
+HELD = 500_000
+#: Parts of a bucket, by signature, that are sorted one after the other (a power of two).
+SLICES = 8
 #: Rounds of one partner each before all pairs still apart are compared.
 ROUNDS = 3
 
@@ -81,13 +81,28 @@ def _signature(sums: np.ndarray, segment: np.ndarray, k: int) -> np.ndarray:
     return mix(mix(sums) + segment.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
 
 
-def _places(shingles: np.ndarray, k: int) -> np.ndarray:
-    return ((mix(shingles + np.uint64(1)) >> np.uint64(32)) * np.uint64(segments(k))) >> np.uint64(32)
+def _spread(shingles: np.ndarray) -> np.ndarray:
+    return mix(shingles + np.uint64(1)) >> np.uint64(32)
+
+
+def _places(spread: np.ndarray, k: int) -> np.ndarray:
+    return ((spread * np.uint64(segments(k))) >> np.uint64(32)).view(np.int64)
+
+
+def signatures(shingles: np.ndarray, ks: list[int]) -> Iterator[np.ndarray]:
+    """The signatures of ``cut`` in several spaces, without a sort: sums by halves of 32 bits, exact as doubles."""
+    spread, weight = _spread(shingles), mix(shingles)
+    low, high = (weight & np.uint64(0xFFFFFFFF)).astype(float), (weight >> np.uint64(32)).astype(float)
+    for k in ks:
+        at = _places(spread, k)
+        used = np.flatnonzero(np.bincount(at))
+        sums = np.bincount(at, low)[used].astype(np.uint64) + (np.bincount(at, high)[used].astype(np.uint64) << np.uint64(32))
+        yield _signature(sums, used, k)
 
 
 def cut(shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of a set in space k: (number, signature, size) each, and the sums behind them by shingle."""
-    at = _places(shingles, k)
+    at = _places(_spread(shingles), k)
     order = np.argsort(at, kind="stable")
     at, weight = at[order], mix(shingles[order])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -99,14 +114,14 @@ def cut(shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and identity of each set, the units it could rely on per space, and prefixes where these are too few."""
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for row, doc_id, text in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), binary(batch["text"])):
             s = shingle_set(text)
             n, raw = len(s), s.tobytes()
-            units, prefix = [], None
+            units, prefix, spread = [], None, _spread(s)
             for k in spaces(n) if n else []:
-                size = np.bincount(_places(s, k).astype(np.int64), minlength=1)
+                size = np.bincount(_places(spread, k))
                 units.append(int((size > 0).sum()) + (int((size > 1).sum()) if BANDS[k] < SMALL else 0))
                 if units[-1] < need(n):
                     prefix = s[: n - -(-3 * n // 4) + 1].view(np.int64).tolist()
@@ -120,7 +135,6 @@ def _packed(buckets: int):
     """Signatures of large bands as blocks: (space, bucket) with low 40 bits and rows, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # a set that the task has met adds nothing new
         rows, counts, ks, held, n_held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -136,15 +150,11 @@ def _packed(buckets: int):
             arrays = [pa.array(bucket[first].astype(np.int32)), pa.array(k[first].astype(np.int32)), pa.array(payload, pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "space", "payload"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for row, text in zip(batch["row"].to_pylist(), binary(batch["text"])):
                 s = shingle_set(text)
                 large = [k for k in spaces(len(s)) if BANDS[k] >= SMALL] if len(s) else []
-                if not large or (key := xxhash.xxh3_128_digest(s.tobytes())) in seen:
-                    continue
-                seen.add(key)
-                for k in large:
-                    sig = cut(s, k)[1]
+                for k, sig in zip(large, signatures(s, large)):
                     rows.append(row), counts.append(len(sig)), ks.append(k), held.append(sig)
                     n_held += len(sig)
                 if n_held >= HELD:
@@ -174,28 +184,31 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, row, space = np.concatenate(sigs), np.concatenate(rows), np.concatenate(keys)
     del sigs, rows, keys
-    order = np.argsort(sig, kind="stable")
-    sig, row, space = sig[order], row[order], space[order]
-    order = np.lexsort((row, space, sig)) if len(sig) else order  # nearly sorted by now
-    sig, row, space = sig[order], row[order], space[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (space[1:] != space[:-1])])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(sig)))
-    many = np.repeat(size, size)
-    keep = np.flatnonzero(many > 1)
-    for at in range(0, len(keep), 200_000):
-        x = keep[at : at + 200_000]
-        s = sig[x].view(np.int64)
-        zero = np.zeros(len(x), np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (row[x], space[x].astype(np.int32), s, zero, zero, zero, s, many[x].astype(np.int64) - 1)],
-            ["row", "space", "unit", "kind", "form", "wide", "sig", "cost"],
-        )
+    for part in range(SLICES):
+        at = np.flatnonzero(sig & np.uint64(SLICES - 1) == np.uint64(part))
+        at = at[np.argsort(sig[at])]
+        again = sig[at[1:]] == sig[at[:-1]]
+        at = at[np.append(again, False) | np.append(False, again)] if len(at) else at  # the rest meets nobody
+        if not len(at):
+            continue
+        at = at[np.lexsort((row[at], space[at], sig[at]))]
+        first = np.flatnonzero(np.append(True, (sig[at[1:]] != sig[at[:-1]]) | (space[at[1:]] != space[at[:-1]])))
+        size = np.diff(np.append(first, len(at)))
+        many = np.repeat(size, size)
+        at, many = at[many > 1], many[many > 1]
+        for start in range(0, len(at), 200_000):
+            x, cost = at[start : start + 200_000], many[start : start + 200_000].astype(np.int64) - 1
+            s = sig[x].view(np.int64)
+            zero = np.zeros(len(x), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (row[x], space[x].astype(np.int32), s, zero, zero, zero, s, cost)],
+                ["row", "space", "unit", "kind", "form", "wide", "sig", "cost"],
+            )
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures of small bands: each segment's own (form 0) and those of it without one shingle (form 1)."""
-    for batch in batches:
+    for batch in pieces(batches):
         out = [[], [], [], [], [], []]
         for row, text in zip(batch["row"].to_pylist(), binary(batch["text"])):
             s = shingle_set(text)
@@ -289,7 +302,7 @@ SETS = "node long, set binary, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         sets = [shingle_set(t) for t in binary(batch["text"])]
         bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 8)
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(bits[:, i]) for i in range(8))], ["node", "set", *SKETCH])
@@ -319,7 +332,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     same = sets.where("n > 0").groupBy("identity").agg(F.min("row").alias("node"), F.count("*").alias("rows")).where("rows > 1")
     nodes = materialize(sets.join(same.drop("rows"), "identity", "left").withColumn("node", F.coalesce("node", "row")).drop("identity"), "nodes")
 
-    buckets = SPREAD * partitions(spark)
+    buckets = partitions(spark)
     copies = checked_broadcast(materialize(nodes.where("row <> node").select("row"), "copies"))
     single = docs.select("row", "text").join(copies, "row", "left_anti")
     small = nodes.where((F.col("n") > 0) & (F.col("n") <= LARGEST_SMALL) & (F.col("row") == F.col("node"))).select("row")

@@ -6,6 +6,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
+#: An odd factor for each place of a word in its shingle.
+_AT = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -30,5 +32,9 @@ def shingle_set(text: bytes) -> np.ndarray:
     n = max(1, len(words) - WORDS + 1)
     out = np.full(n, len(words) if len(words) < WORDS else 0, np.uint64)
     for i in range(min(WORDS, len(words))):
-        out = mix(out + words[i : i + n] + np.uint64(i + 1))
-    return np.unique(out)
+        out += words[i : i + n] * _AT[i]
+    out = mix(out)
+    out.sort()
+    new = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
