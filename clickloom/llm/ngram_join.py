@@ -45,7 +45,7 @@ SMALL = 32
 #: Segments per shingle of the largest set that a space serves.
 DENSITY = 0.42
 #: Packed segments a task holds before it hands them on.
-HELD = 500_000
+HELD = 250_000
 #: Parts of a bucket, by signature, that are sorted one after the other (a power of two).
 SLICES = 8
 #: Rounds of one partner each before all pairs still apart are compared.
@@ -173,9 +173,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures of one partition's buckets that more than one row has, with the number of other rows."""
     keys, sigs, rows = [], [], []
     for batch in batches:
-        for bucket, space, payload in zip(batch["bucket"].to_pylist(), batch["space"].to_pylist(), batch["payload"].to_pylist()):
-            n = len(payload) // 13
-            raw = np.frombuffer(payload, np.uint8)
+        for bucket, space, payload in zip(batch["bucket"].to_pylist(), batch["space"].to_pylist(), batch["payload"]):
+            raw = np.frombuffer(payload.as_buffer(), np.uint8)  # read where it lies
+            n = len(raw) // 13
             sig = raw[: 4 * n].view("<u4").astype(np.uint64) | (raw[4 * n : 5 * n].astype(np.uint64) << np.uint64(32))
             sigs.append(sig | (np.uint64(bucket) << np.uint64(40)))
             rows.append(from_planes(raw[5 * n :]))
@@ -183,7 +183,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not sigs:
         return
     sig, row, space = np.concatenate(sigs), np.concatenate(rows), np.concatenate(keys)
-    del sigs, rows, keys
+    del sigs, rows, keys, raw, payload, batch
+    pa.default_memory_pool().release_unused()
     for part in range(SLICES):
         at = np.flatnonzero(sig & np.uint64(SLICES - 1) == np.uint64(part))
         at = at[np.argsort(sig[at])]
