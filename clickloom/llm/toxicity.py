@@ -43,13 +43,38 @@ _code = {c: i + 1 for i, c in enumerate(LETTERS)}
 _size = len(LETTERS) + 1  # 0 is the edge of a word, and any other letter
 _words = re.compile(r"[^\W\d_]+")
 _token = re.compile(r"\S+")
-_edges = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
-_runs_of_signs = re.compile(r"^([^\w])\1+|([^\w])\2+$")
-_odd = re.compile(r"[^\W\d_].*(?:[\W\d_].*[^\W\d_]|[@$!|+(€£\d])|[@$!|+(€£\d].*[^\W\d_]|([^\W\d_])\1\1", re.S)
+_inner = re.compile(r"[\w@$!|+(€£]")
+_letter = re.compile(r"[^\W\d_]")
+_no_letter = re.compile(r"[\W\d_]")
+_sign = re.compile(r"[@$!|+(€£\d]")
 _thrice = re.compile(r"(.)\1\1")
 _single = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")  # letters, what is meant as one, and separators
 
 
+def core(token: str) -> str:
+    """A token without signs that stand twice or more at an edge and without edges that mean no letter, in one pass."""
+    for strip, at in ((str.lstrip, 0), (str.rstrip, -1)):
+        if token and not (token[at].isalnum() or token[at] == "_"):
+            left = strip(token, token[at])
+            token = left if len(token) - len(left) > 1 else token
+    return trimmed(token)
+
+
+def trimmed(token: str) -> str:
+    """A token without the characters at its edges that mean no letter."""
+    first = _inner.search(token)
+    return token[first.start() : len(token) - _inner.search(token[::-1]).start()] if first else ""
+
+
+def odd(word: str) -> bool:
+    """Whether letters stand together with signs, digits or gaps, or one letter thrice, in one pass."""
+    first = _letter.search(word)
+    if first is None:
+        return False
+    end = len(word) - _letter.search(word[::-1]).start()
+    return _sign.search(word) is not None or _no_letter.search(word, first.start(), end) is not None or any(_letter.match(m[1]) for m in _thrice.finditer(word))
+
+
 def _gram(a: int, b: int, c: int) -> int:
     return (a * _size + b) * _size + c
 
@@ -122,15 +147,15 @@ class Decoder:
         if found is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            core = _edges.sub("", _runs_of_signs.sub("", token))
-            found = self.cache[token] = self.best(core) if _odd.search(core) else core
+            word = core(token)
+            found = self.cache[token] = self.best(word) if odd(word) else word
         return found
 
     def restore(self, text: str) -> set[str]:
         """Distinct words of a text, disguised ones as decoded."""
         text, words = text.lower(), set()
         for run in _single.findall(text):
-            chars = _edges.sub("", "".join(run.split()))
+            chars = trimmed("".join(run.split()))
             if sum(c in MEANT or c.isalnum() for c in chars) > 2 and any(map(str.isalpha, chars)):
                 words.update(self.best(chars, spaced=True).split())
         for token in set(_token.findall(text)):
