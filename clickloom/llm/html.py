@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: in an article, a part of a class does not make them noise, however short they are.
+PROSE = frozenset("p section li blockquote pre dt dd td figcaption".split()) | HEADINGS
 #: Elements that pages are laid out with; the id of another need not name its place in the page.
 LAYOUT = frozenset("div ul ol dl table tr td".split())
 #: An element of so many characters is short.
@@ -49,7 +52,7 @@ NOISE = re.compile(
     r"signup|login|search|toolbar|pagination|pager|tags|copyright|legal|disclaimer|skip-?link)(?=$|[\s_-])|(?:^|\s)header(?=$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
+_markup = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)  # a quote never closed ends with its tag
 _tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _attribute = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?=[\s=/>]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _raw_end = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
@@ -76,18 +79,38 @@ def named_noise(tag: str, classes: list[str], name: str, in_article: bool, page:
         return "noise"
     if by_id and not in_article and (NOISE.fullmatch(name.strip()) or tag in LAYOUT and not heading_id(name, page, at)):
         return "noise"
-    return "class" if by_class else "id" if by_id else ""
+    return "class" if by_class and not (in_article and tag in PROSE) else "id" if by_class or by_id else ""
 
 
 class Node:
     """An element that may hold the main text."""
 
-    __slots__ = ("path", "parent", "good", "linked", "first", "last")
+    __slots__ = ("label", "depth", "parent", "good", "linked", "first", "last")
 
-    def __init__(self, path: str, parent: "Node | None", first: int):
-        self.path, self.parent, self.first = path, parent, first
+    def __init__(self, label: str, parent: "Node | None", first: int):
+        self.label, self.parent, self.first = label, parent, first
+        self.depth = parent.depth + 1 if parent else 1
         self.good, self.linked, self.last = 0, 0, None
 
+    @property
+    def path(self) -> str:
+        labels, node = [], self
+        while node is not None:
+            labels.append(node.label)
+            node = node.parent
+        return ">".join(reversed(labels))
+
+    def is_at(self, labels: list[str]) -> bool:
+        """Whether these are the labels of the element's path; most differ in number or in the last one."""
+        if self.depth != len(labels):
+            return False
+        node = self
+        for label in reversed(labels):
+            if node.label != label:
+                return False
+            node = node.parent
+        return True
+
 
 def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int, bool]]]:
     """(blocks of text that are no noise, containers with the blocks they span, (container, linked, heading) of every block), in page order."""
@@ -98,6 +121,7 @@ def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int,
     text: list[str] = []
     linked, links = 0, 0
     heading, headings = False, 0
+    standing: Counter[str] = Counter()  # open elements by tag
     inside: Node | None = None
     out = False
 
@@ -132,6 +156,7 @@ def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int,
     def pop() -> None:
         nonlocal inside, out, links, headings
         tag, _, node, doubt = stack.pop()
+        standing[tag] -= 1
         if tag in BLOCKS:
             close_block()
         if doubt:
@@ -168,7 +193,7 @@ def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int,
             continue
         tag = found[2].lower()
         if found[1]:
-            if any(s[0] == tag for s in reversed(stack)):
+            if standing[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -195,7 +220,7 @@ def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int,
             continue
         names = {k.lower(): next((v for v in vs if v), "") for k, *vs in _attribute.findall(m[0][found.end() :])}
         marks = f"{names.get('class', '')} {names.get('id', '')}"
-        in_article = any(s[0] in ("article", "main") for s in stack)
+        in_article = standing["article"] + standing["main"] > 0
         named = named_noise(tag, names.get("class", "").split(), names.get("id", ""), in_article, page, at)
         noise = (
             tag in LEFT_OUT
@@ -212,9 +237,10 @@ def read(page: str) -> tuple[list[str], list[Node], list[tuple[Node | None, int,
         doubt = (named, len(blocks), len(text), linked, len(nodes)) if named and not out and not noise else None
         if tag in CONTAINERS and not out and not noise:
             label = tag + "".join(sorted({"." + re.sub(r"\d+", "#", x).lower() for x in marks.split()}))
-            node = Node(f"{inside.path}>{label}" if inside else label, inside, len(blocks))
+            node = Node(label.replace(">", ""), inside, len(blocks))
             nodes.append(node)
         stack.append((tag, out or noise, node, doubt))
+        standing[tag] += 1
         inside, out = node, out or noise
         if tag == "a":
             links += 1
@@ -235,15 +261,11 @@ def score(nodes: list[Node]) -> list[tuple[float, Node]]:
         if n.parent is not None:
             total[id(n.parent)] += 0.75 * total[id(n)]
     bonus = {"article": 3.0, "main": 1.5}
-    return [(total[id(n)] * bonus.get(n.path.rpartition(">")[2].split(".")[0], 1.0), n) for n in nodes if total[id(n)] > 0]
+    return [(total[id(n)] * bonus.get(_tag_of(n), 1.0), n) for n in nodes if total[id(n)] > 0]
 
 
 def _tag_of(node: Node) -> str:
-    return _label(node).split(".")[0]
-
-
-def _label(node: Node) -> str:
-    return node.path.rpartition(">")[2]
+    return node.label.split(".")[0]
 
 
 def _belongs(inner: Node, outer: Node, blocks: list[str], facts: list[tuple[Node | None, int, bool]]) -> bool:
@@ -264,7 +286,7 @@ def _belongs(inner: Node, outer: Node, blocks: list[str], facts: list[tuple[Node
             at = at.parent
         if heading or at is None or at is outer or _tag_of(at) == "section":
             continue
-        if _label(at) != _label(inner) or page and "." not in _label(at):
+        if at.label != inner.label or page and "." not in at.label:
             return False
     return True
 
@@ -299,8 +321,9 @@ def extract(page: str, paths: list[str]) -> tuple[str, str]:
     blocks, nodes, facts = read(page)
     for path in paths:
         found: list[Node] = []
+        labels = path.split(">")
         for n in nodes:
-            if n.path == path and n.last > n.first and not (found and found[-1].first <= n.first and n.last <= found[-1].last):
+            if n.is_at(labels) and n.last > n.first and not (found and found[-1].first <= n.first and n.last <= found[-1].last):
                 found.append(climb(n, blocks, facts))
         if found:
             return _joined(blocks, sorted((n.first, n.last) for n in found)), found[0].path
