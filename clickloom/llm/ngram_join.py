@@ -269,7 +269,8 @@ def _partners(equal: DataFrame, tried: DataFrame | None) -> DataFrame:
     stars = equal.join(hubs, ["space", "sig"]).where((F.col("component") != F.col("hub_component")) & _fits("m", "n"))
     shared = stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     if tried is not None:
-        shared = shared.join(tried, ["a", "b"], "left_anti")
+        # written first: Spark would otherwise look up every shared segment instead of every pair
+        shared = materialize(shared, "shared").join(tried, ["a", "b"], "left_anti")
     best = shared.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
     return materialize(best.select((-F.col("best.a")).alias("a"), "b"), "partners")
 
@@ -381,6 +382,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     )
     pairs = pairs.select(F.least("node", "right_node").alias("a"), F.greatest("node", "right_node").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs, "pairs")  # as in _partners
     more = _verify(pairs.join(done, ["a", "b"], "left_anti"), tokens)
     label = label if more.isEmpty() else components(links.union(more))
 

@@ -421,3 +421,19 @@ def test_hosts_agree_on_a_path(spark):
 
 def test_catalog_lists_ten():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_tried_pairs_are_looked_up_once_a_pair(spark, monkeypatch):
+    """Two sets that share many segments are one row of the anti join."""
+    asked, plain = [], ngram_join.materialize
+
+    def written(df, label):
+        asked.append((label, plain(df, label)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(ngram_join, "materialize", written)
+    rows = [(0, s, node, 300, True, 9 - node, node) for s in range(100) for node in (1, 2, 3)]
+    equal = spark.createDataFrame(rows, "space int, sig long, node long, n long, probe boolean, weight long, component long")
+    tried = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert [tuple(r) for r in ngram_join._partners(equal, tried).collect()] == [(1, 3)]
+    assert {label: df.count() for label, df in asked}["shared"] == 2
