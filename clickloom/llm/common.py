@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from clickloom.session import ship_package
 from clickloom.storage import materialize
 
-__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "pieces", "planes", "prepared", "ship_package", "table", "uint64", "whole_text"]
+__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "pieces", "planes", "prepared", "ship_package", "small_batches", "table", "uint64", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,28 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 500
+
+
+def small_batches(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """What ``plan(docs, ...)`` writes goes to Python in batches of ``TEXT_ROWS`` rows: an executor holds a batch twice beside its heap."""
+
+    @wraps(plan)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        if 0 < int(before) <= TEXT_ROWS:
+            return plan(docs, *args, **kwargs)
+        conf.set(key, str(TEXT_ROWS))
+        try:
+            return plan(docs, *args, **kwargs)
+        finally:
+            conf.set(key, before)
+
+    return run
+
+
 def uint64(raw: Iterator[bytes] | list[bytes], dtype: str = "<u8") -> np.ndarray:
     """Packed numbers of many blocks as one array."""
     return np.frombuffer(b"".join(raw), dtype)

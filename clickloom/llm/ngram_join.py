@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import binary, checked_broadcast, components, exchange, from_planes, keyed, materialize, partitions, pieces, planes, table
+from clickloom.llm.common import binary, checked_broadcast, components, exchange, from_planes, keyed, materialize, partitions, pieces, planes, small_batches, table
 from clickloom.llm.shingles import mix, shingle_set
 from clickloom.plans.registry import Query
 
@@ -320,6 +320,7 @@ def _fits(left: str, right: str):
     return 4 * F.least(left, right) >= 3 * F.greatest(left, right)
 
 
+@small_batches
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), one row per input row.
 

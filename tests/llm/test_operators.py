@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, exact_dedup, html, ngram_join, ngram_lm, packing, secrets, substrings, tokens, toxicity, wavelet
+from clickloom.llm import common, decontaminate, exact_dedup, html, ngram_join, ngram_lm, packing, secrets, substrings, tokens, toxicity, wavelet
 from clickloom.llm.catalog import ORACLES, QUERIES
 from clickloom.llm.common import components, table
 from tests.compare import check, duck
@@ -437,3 +437,19 @@ def test_tried_pairs_are_looked_up_once_a_pair(spark, monkeypatch):
     tried = spark.createDataFrame([(1, 2)], "a long, b long")
     assert [tuple(r) for r in ngram_join._partners(equal, tried).collect()] == [(1, 3)]
     assert {label: df.count() for label, df in asked}["shared"] == 2
+
+
+def test_texts_travel_in_small_batches(spark, odd_docs):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+
+    @common.small_batches
+    def plan(docs, fail=False):
+        seen.append(int(spark.conf.get(key)))
+        return 1 / 0 if fail else docs
+
+    assert plan(odd_docs) is odd_docs
+    with pytest.raises(ZeroDivisionError):
+        plan(odd_docs, fail=True)
+    assert seen == [common.TEXT_ROWS] * 2 and spark.conf.get(key) == before
+    assert all(hasattr(f, "__wrapped__") for f in (ngram_join.similarity_classes,))
