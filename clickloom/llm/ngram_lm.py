@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import binary, exchange, from_planes, keyed, materialize, partitions, planes, table
+from clickloom.llm.common import binary, exchange, from_planes, keyed, materialize, partitions, planes, small_batches, table
 from clickloom.llm.shingles import mix, word_hashes
 from clickloom.plans.registry import Query
 
@@ -270,6 +270,7 @@ def _score_words(total: int):
     return run
 
 
+@small_batches
 def backoff_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_backed_off, log_score (natural, summed) and mean_log_score, one row per input row.
 

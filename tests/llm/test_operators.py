@@ -452,4 +452,4 @@ def test_texts_travel_in_small_batches(spark, odd_docs):
     with pytest.raises(ZeroDivisionError):
         plan(odd_docs, fail=True)
     assert seen == [common.TEXT_ROWS] * 2 and spark.conf.get(key) == before
-    assert all(hasattr(f, "__wrapped__") for f in (ngram_join.similarity_classes,))
+    assert all(hasattr(f, "__wrapped__") for f in (ngram_join.similarity_classes, ngram_lm.backoff_scores))
