@@ -12,8 +12,8 @@ rows (``SAMPLE``); nothing but the text enters a score.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clickloom.llm.common import materialize, prepared, table
+from clickloom.llm.common import materialize, pieces, prepared, table
 from clickloom.plans.registry import Query
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -42,7 +42,6 @@ SIGN, EXTRA, SPACE = 1.0, 0.7, 0.3
 _code = {c: i + 1 for i, c in enumerate(LETTERS)}
 _size = len(LETTERS) + 1  # 0 is the edge of a word, and any other letter
 _words = re.compile(r"[^\W\d_]+")
-_token = re.compile(r"\S+")
 _inner = re.compile(r"[\w@$!|+(€£]")
 _letter = re.compile(r"[^\W\d_]")
 _no_letter = re.compile(r"[\W\d_]")
@@ -75,28 +74,48 @@ def odd(word: str) -> bool:
     return _sign.search(word) is not None or _no_letter.search(word, first.start(), end) is not None or any(_letter.match(m[1]) for m in _thrice.finditer(word))
 
 
-def _gram(a: int, b: int, c: int) -> int:
+def _gram(a, b, c):
     return (a * _size + b) * _size + c
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter[str] = Counter()
-    grams: Counter[int] = Counter()
+#: Characters of texts that are counted together, at least.
+PART = 500_000
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is in a word, and its number in the model."""
+    inside, number = np.zeros(0x110000, bool), np.zeros(0x110000, np.int32)
+    for m in _words.finditer("".join(map(chr, range(0x110000)))):
+        inside[m.start() : m.end()] = True
+    number[list(map(ord, _code))] = list(_code.values())
+    return inside, number
 
-    def add() -> None:
-        for word, n in words.items():
-            codes = [0, 0, *(_code.get(c, 0) for c in word), 0]
-            for x in zip(codes, codes[1:], codes[2:]):
-                grams[_gram(*x)] += n
-        words.clear()
 
-    for batch in batches:
+def text_grams(texts: list[str]) -> np.ndarray:
+    """How often each trigram stands in the words of some texts, with two edges before a word and one behind it."""
+    inside, number = _letters()
+    points = np.frombuffer(f"  {' '.join(texts)} ".lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    word = inside[points]
+    code = np.where(word, number[points], 0)  # nothing but edges between words
+    # the letter two places before counts where the one in between is of the word
+    first = np.where(word[1:-1], code[:-2], 0)
+    of_word = word[2:] | word[1:-1]  # a letter, or the edge behind one
+    return np.bincount(_gram(first, code[1:-1], code[2:])[of_word], minlength=_size**3)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams, held, size = np.zeros(_size**3, np.int64), [], 0
+    for batch in pieces(batches):
         for text in batch["text"].to_pylist():
-            words.update(_words.findall(text.lower()))
-            if len(words) > 500_000:
-                add()
-    add()
-    yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.int32()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
+            held.append(text)
+            size += len(text)
+            if size >= PART:
+                grams += text_grams(held)
+                held, size = [], 0
+    grams += text_grams(held)
+    seen = np.flatnonzero(grams)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(grams[seen])], ["gram", "n"])
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -158,7 +177,7 @@ class Decoder:
             chars = trimmed("".join(run.split()))
             if sum(c in MEANT or c.isalnum() for c in chars) > 2 and any(map(str.isalpha, chars)):
                 words.update(self.best(chars, spaced=True).split())
-        for token in set(_token.findall(text)):
+        for token in set(text.split()):
             if token.isalpha() and not _thrice.search(token):
                 words.add(token)
             else:

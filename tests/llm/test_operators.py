@@ -453,3 +453,14 @@ def test_texts_travel_in_small_batches(spark, odd_docs):
         plan(odd_docs, fail=True)
     assert seen == [common.TEXT_ROWS] * 2 and spark.conf.get(key) == before
     assert all(hasattr(f, "__wrapped__") for f in (ngram_join.similarity_classes, ngram_lm.backoff_scores))
+
+
+def test_trigrams_of_texts_are_those_of_their_words():
+    texts = ["", "I", "ab  c_d e9f \u00b2x \u00bd", "ÄÖ\u0130Σ ß日本 don't\n\ttwo", "\ud800 a\x00b", "x" * 9]
+    n = np.zeros(toxicity._size**3, int)
+    for text in texts:
+        for word in toxicity._words.findall(text.lower()):
+            codes = [0, 0, *(toxicity._code.get(c, 0) for c in word), 0]
+            for x in zip(codes, codes[1:], codes[2:]):
+                n[toxicity._gram(*x)] += 1
+    assert (toxicity.text_grams(texts) == n).all() and not toxicity.text_grams([]).any()
