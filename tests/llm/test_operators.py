@@ -464,3 +464,11 @@ def test_trigrams_of_texts_are_those_of_their_words():
             for x in zip(codes, codes[1:], codes[2:]):
                 n[toxicity._gram(*x)] += 1
     assert (toxicity.text_grams(texts) == n).all() and not toxicity.text_grams([]).any()
+
+
+def test_ascii_letters_need_no_bytes():
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(file)
+        e.bytes = None
+        for chunk in ("Word", " word") if e.byte_level else ("word",):
+            assert e._piece(chunk) == e._whole(chunk)
