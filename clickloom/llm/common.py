@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from clickloom.session import ship_package
 from clickloom.storage import materialize
 
-__all__ = ["binary", "exchange", "components", "keyed", "materialize", "partitions", "pieces", "planes", "prepared", "ship_package", "small_batches", "table", "uint64", "whole_text"]
+__all__ = ["binary", "exchange", "components", "freed", "keyed", "materialize", "partitions", "pieces", "planes", "prepared", "ship_package", "small_batches", "table", "uint64", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,24 +54,38 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-#: Rows of an Arrow batch of whole texts.
-TEXT_ROWS = 500
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker, which stays for later tasks, hands memory back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what lies below the last block in use
+            trim(0)
+
+    return whole
+
+
+#: Rows of an Arrow batch of whole texts, and bytes from which a batch of texts or packed blocks is closed.
+TEXT_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def small_batches(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """What ``plan(docs, ...)`` writes goes to Python in batches of ``TEXT_ROWS`` rows: an executor holds a batch twice beside its heap."""
+    """What ``plan(docs, ...)`` writes goes to Python in batches of ``TEXT_ROWS`` rows or about ``BATCH_BYTES``: an executor holds a batch twice beside its heap."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": TEXT_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
     @wraps(plan)
     def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
-        conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        if 0 < int(before) <= TEXT_ROWS:
-            return plan(docs, *args, **kwargs)
-        conf.set(key, str(TEXT_ROWS))
+        conf, number = docs.sparkSession.conf, docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        before = {key: conf.get(key) for key in limits}
+        for key, most in limits.items():
+            if before[key].startswith("-") or not 0 < number(before[key]) <= most:
+                conf.set(key, str(most))
         try:
             return plan(docs, *args, **kwargs)
         finally:
-            conf.set(key, before)
+            for key, value in before.items():
+                conf.set(key, value)
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import binary, exchange, from_planes, keyed, materialize, partitions, planes, small_batches, table
+from clickloom.llm.common import binary, exchange, freed, from_planes, keyed, materialize, partitions, planes, small_batches, table
 from clickloom.llm.shingles import mix, word_hashes
 from clickloom.plans.registry import Query
 
@@ -127,10 +127,10 @@ def _pairs(heavy: np.ndarray, buckets: int):
     return run
 
 
-def _part(payload: bytes, columns: int, words: bool, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+def _part(payload: pa.Buffer, columns: int, words: bool, lo: int, hi: int) -> tuple[np.ndarray, ...]:
     """The heads from ``lo`` to below ``hi`` of a block, repeated by their sizes, and what goes with them."""
-    k = int.from_bytes(payload[:4], "little")
-    raw = np.frombuffer(payload, np.uint8, offset=4)
+    raw = np.frombuffer(payload, np.uint8)  # read where it lies
+    k, raw = int(raw[:4].copy().view("<u4")[0]), raw[4:]
     heads, sizes = raw[: 8 * k].copy().view("<u8"), raw[8 * k : 12 * k].copy().view("<u4").astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     i, j = np.searchsorted(heads, np.uint64(lo)), k if hi >> 64 else np.searchsorted(heads, np.uint64(hi))
@@ -146,8 +146,8 @@ def _part(payload: bytes, columns: int, words: bool, lo: int, hi: int) -> tuple[
 
 
 def _slices(batches: Iterator[pa.RecordBatch], columns: int, words: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """A partition's blocks, a slice of their heads at a time: packed they lie side by side, unpacked only one slice does."""
-    payloads = [p for batch in batches for p in batch["payload"].to_pylist()]
+    """A partition's blocks, a slice of their heads at a time: packed they stay as they came, unpacked only one slice does."""
+    payloads = [p.as_buffer() for batch in batches for p in batch["payload"]]
     for i in range(SLICES if payloads else 0):
         lo, hi = (i << 64) // SLICES, ((i + 1) << 64) // SLICES
         yield tuple(np.concatenate(x) for x in zip(*(_part(p, columns, words, lo, hi) for p in payloads)))
@@ -240,15 +240,26 @@ def _block(bucket: int, word: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.
 
 
 def _pack_counts(buckets: int):
+    """The corpus's counts by bucket, packed: as many words together as the batches hold, whatever their size."""
+
+    def packed(held: list) -> Iterator[pa.RecordBatch]:
+        word, n = (np.concatenate(x) for x in zip(*held))
+        bucket = _bucket(word, buckets)
+        order = np.lexsort((word, bucket))
+        word, n, bucket = word[order], n[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(word) else []
+        for a, b in zip(cuts, np.append(cuts[1:], len(word)).astype(int)):
+            yield _block(int(bucket[a]), word[a:b], np.full(b - a, COUNT_ROW, np.int64), n[a:b])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
-            word, n = batch["word"].to_numpy().view(np.uint64), batch["n"].to_numpy()
-            bucket = _bucket(word, buckets)
-            order = np.lexsort((word, bucket))
-            word, n, bucket = word[order], n[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(word) else []
-            for a, b in zip(cuts, np.append(cuts[1:], len(word)).astype(int)):
-                yield _block(int(bucket[a]), word[a:b], np.full(b - a, COUNT_ROW, np.int64), n[a:b])
+            held.append((batch["word"].to_numpy().view(np.uint64), batch["n"].to_numpy()))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
 
     return run
 
@@ -280,7 +291,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = keyed(docs)
-    counts = docs.select("row", "text").mapInArrow(_word_counts, "word long, n long, last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
+    counts = docs.select("row", "text").mapInArrow(freed(_word_counts), "word long, n long, last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
     counts = materialize(counts, "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("last"), F.lit(0)).alias("last")).first()
     often = counts.where(F.col("n") * HEAVY >= sums.n).toPandas()  # at most HEAVY words
@@ -291,13 +302,14 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     order = np.argsort(heavy)
     heavy, heavy_n, heavy_first, total = heavy[order], heavy_n[order], heavy_first[order], sums.n
     buckets = partitions(spark)
-    pairs = exchange(docs.select("row", "text").mapInArrow(_pairs(heavy, buckets), "bucket int, payload binary"))
-    scored = materialize(pairs.mapInArrow(_score_pairs(heavy, heavy_n, heavy_first, total, buckets), SCORED), "pair-scores")
+    pairs = exchange(docs.select("row", "text").mapInArrow(freed(_pairs(heavy, buckets)), "bucket int, payload binary"))
+    scored = materialize(pairs.mapInArrow(freed(_score_pairs(heavy, heavy_n, heavy_first, total, buckets)), SCORED), "pair-scores")
     asked = scored.where("bucket IS NOT NULL").select("bucket", "payload")
-    tables = counts.mapInArrow(_pack_counts(buckets), SCORED).select("bucket", "payload")
-    backed = exchange(asked.union(tables)).mapInArrow(_score_words(total), SCORED)
+    tables = counts.mapInArrow(freed(_pack_counts(buckets)), SCORED).select("bucket", "payload")
+    backed = exchange(asked.union(tables)).mapInArrow(freed(_score_words(total)), SCORED)
     answers = scored.where("bucket IS NULL").select("row", "score", "backed").union(backed.select("row", "score", "backed"))
-    summed = answers.groupBy("row").agg(F.sum("score").alias("score"), F.sum("backed").alias("backed"))
+    # written here, as what is returned runs with the session's own batches
+    summed = materialize(answers.groupBy("row").agg(F.sum("score").alias("score"), F.sum("backed").alias("backed")), "summed")
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     return docs.select("row", "doc_id", n_words.alias("n_words")).join(summed, "row", "left").select(
         "doc_id", "n_words", F.coalesce("backed", F.lit(0)).alias("n_backed_off"), F.coalesce("score", F.lit(0.0)).alias("log_score"),

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,3 +473,23 @@ def test_ascii_letters_need_no_bytes():
         e.bytes = None
         for chunk in ("Word", " word") if e.byte_level else ("word",):
             assert e._piece(chunk) == e._whole(chunk)
+
+
+def test_batches_are_limited_in_bytes(spark, odd_docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sizes = spark.conf.get(key), common.small_batches(lambda docs: spark.conf.get(key))
+    assert int(sizes(odd_docs)) == common.BATCH_BYTES and spark.conf.get(key) == before
+    try:
+        spark.conf.set(key, "64k")  # a smaller limit stays
+        assert sizes(odd_docs) == spark.conf.get(key) != str(common.BATCH_BYTES)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_counts_are_packed_over_small_batches():
+    words = np.arange(5000, dtype=np.int64)
+    batches = (pa.RecordBatch.from_arrays([pa.array(words[i : i + 500]), pa.array(words[i : i + 500])], ["word", "n"]) for i in range(0, 5000, 500))
+    blocks = list(common.freed(ngram_lm._pack_counts(4))(batches))
+    assert len(blocks) == 4
+    word, row, n = (np.concatenate(x) for x in zip(*ngram_lm._slices(iter(blocks), 2, False)))
+    assert sorted(zip(word.tolist(), n.tolist())) == [(i, i) for i in range(5000)] and set(row) == {ngram_lm.COUNT_ROW}
