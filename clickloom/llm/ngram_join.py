@@ -18,7 +18,9 @@ shuffle.  Equal sets are one node.  Candidates are verified on the sets: some
 rounds of one partner per node, the hub of those it shares segments with, then
 all pairs that still lie in different components, so a large group of copies
 costs links in proportion to its size, not pairs.  Parity sketches turn away
-most of these pairs where they meet, before their sets are moved.
+most of these pairs where they meet, before their sets are moved.  Segments
+have one order, and each brings those its set has shortly before it: two sets
+that share one of these have met there and need not meet again.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import binary, checked_broadcast, components, exchange, from_planes, keyed, materialize, partitions, pieces, planes, small_batches, table
+from clickloom.llm.common import binary, checked_broadcast, components, exchange, freed, from_planes, keyed, materialize, partitions, pieces, planes, small_batches, table
 from clickloom.llm.shingles import mix, shingle_set
 from clickloom.plans.registry import Query
 
@@ -50,6 +52,8 @@ HELD = 250_000
 SLICES = 8
 #: Rounds of one partner each before all pairs still apart are compared.
 ROUNDS = 3
+#: Segments of a set ahead of one of its own that go along with it, to tell pairs that have met there.
+RECENT = 8
 
 _low = np.uint64((1 << 40) - 1)
 
@@ -226,7 +230,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _small_units(docs: DataFrame) -> DataFrame:
     """Units of small bands that meet others: kind 0 an equal segment, kind 1 one that differs in one shingle."""
-    sigs = materialize(docs.select("row", "text").mapInArrow(_small, "row long, space int, unit long, form int, wide int, sig long"), "small-segments")
+    sigs = materialize(docs.select("row", "text").mapInArrow(freed(_small), "row long, space int, unit long, form int, wide int, sig long"), "small-segments")
     met = sigs.groupBy("space", "sig").agg(F.sum(F.when(F.col("form") == 0, 1).otherwise(0)).alias("own"), F.sum("form").alias("less"))
     met = met.where("own > 0 AND own + less > 1")
     found = sigs.join(met, ["space", "sig"])
@@ -313,13 +317,44 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("left_set"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("right_set"))
-    return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_similar, "a long, b long"), "links")
+    return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(freed(_similar), "a long, b long"), "links")
 
 
 def _fits(left: str, right: str):
     return 4 * F.least(left, right) >= 3 * F.greatest(left, right)
 
 
+def _ahead(rows: DataFrame) -> DataFrame:
+    """Adds ``ahead``: the last RECENT segments of the set before this one, and ``ahead_probe``: those it relies on.
+
+    Segments of many sets come first: two sets that share this one then mostly share one of the last.
+    """
+    last = Window.partitionBy("node").orderBy("kind", "space", F.desc("size"), "sig", "form").rowsBetween(-RECENT, -1)
+    return rows.withColumns({"ahead": F.collect_list("sig").over(last), "ahead_probe": F.collect_list(F.when(F.col("probe"), F.col("sig"))).over(last)})
+
+
+def _meetings(named: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): sets of different components that a common segment, relied on by one of them, leaves possible; a few rows a pair.
+
+    ``named``: space, sig, kind, node, n, form, probe, component.  A pair comes
+    from the first such segment at the latest: nothing ahead of it turns it away.
+    """
+    apart = named.groupBy("space", "sig", "kind").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("probe").alias("any"), F.count("*").alias("size"))
+    apart = apart.where("any AND least < most").select("space", "sig", "kind", "size")
+    left = _ahead(named.join(apart, ["space", "sig", "kind"])).join(sketches, "node").select("space", "sig", "kind", "node", "n", "form", "probe", "component", "ahead", "ahead_probe", *SKETCH)
+    right = left.select("space", "sig", "kind", *(F.col(c).alias(f"right_{c}") for c in ("node", "n", "form", "probe", "component", "ahead", "ahead_probe", *SKETCH)))
+    apart_bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"right_{c}"))) for c in SKETCH), F.lit(0))
+    met = left.join(right, ["space", "sig", "kind"]).where(
+        (F.col("component") != F.col("right_component"))
+        & (F.col("probe") | F.col("right_probe"))
+        & ((F.col("kind") == 0) & (F.col("node") < F.col("right_node")) | (F.col("kind") == 1) & (F.col("form") < F.col("right_form")))
+        & _fits("n", "right_n")
+        & (7 * apart_bits <= F.col("n") + F.col("right_n"))  # more differing bits: too many differing shingles
+        & ((F.col("kind") == 1) | ~(F.arrays_overlap("ahead_probe", "right_ahead") | F.arrays_overlap("ahead", "right_ahead_probe")))
+    )
+    return met.select(F.least("node", "right_node").alias("a"), F.greatest("node", "right_node").alias("b"))
+
+
 @small_batches
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), one row per input row.
@@ -331,7 +366,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = keyed(docs)
-    sets = materialize(docs.select("row", "doc_id", "text").mapInArrow(_sets, "row long, doc_id long, n long, identity binary, units array<int>, prefix array<long>"), "sets")
+    sets = materialize(docs.select("row", "doc_id", "text").mapInArrow(freed(_sets), "row long, doc_id long, n long, identity binary, units array<int>, prefix array<long>"), "sets")
     same = sets.where("n > 0").groupBy("identity").agg(F.min("row").alias("node"), F.count("*").alias("rows")).where("rows > 1")
     nodes = materialize(sets.join(same.drop("rows"), "identity", "left").withColumn("node", F.coalesce("node", "row")).drop("identity"), "nodes")
 
@@ -340,8 +375,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     single = docs.select("row", "text").join(copies, "row", "left_anti")
     small = nodes.where((F.col("n") > 0) & (F.col("n") <= LARGEST_SMALL) & (F.col("row") == F.col("node"))).select("row")
     few = docs.select("row", "text").join(checked_broadcast(materialize(small, "small")), "row", "left_semi")
-    blocks = single.mapInArrow(_packed(buckets), "bucket int, space int, payload binary")
-    units = materialize(exchange(blocks).mapInArrow(_met, UNITS).union(_small_units(few)), "units")
+    blocks = single.mapInArrow(freed(_packed(buckets)), "bucket int, space int, payload binary")
+    units = materialize(exchange(blocks).mapInArrow(freed(_met), UNITS).union(_small_units(few)), "units")
     relied = materialize(_allocate(units, nodes), "relied")
     equal = relied.where("kind = 0").select("space", "sig", "node", "n", "probe", "cost")
     weight = relied.where("kind = 0").groupBy("node").agg(F.sum("cost").alias("weight"))
@@ -352,7 +387,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     crowded = prefixes.join(other, "token").where((F.col("node") < F.col("b")) & _fits("n", "m")).select(F.col("node").alias("a"), "b").distinct()
     needed = relied.select(F.col("node").alias("row")).union(prefixes.select(F.col("node").alias("row"))).distinct()
     needed = checked_broadcast(materialize(needed, "needed"))
-    tokens = materialize(docs.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_set_rows, SETS), "token-sets")
+    tokens = materialize(docs.select("row", "text").join(needed, "row", "left_semi").mapInArrow(freed(_set_rows), SETS), "token-sets")
 
     # one partner each, again while that links most of those still apart
     best = _partners(equal.withColumn("component", F.col("node")), None)
@@ -369,19 +404,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         label = components(links)
 
     # every pair that relies on a common segment and is still apart
-    named = materialize(relied.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).join(tokens.drop("set"), "node"), "named")
-    apart = named.groupBy("space", "sig", "kind").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("space", "sig", "kind")
-    left = named.join(apart, ["space", "sig", "kind"]).select("space", "sig", "kind", "node", "n", "form", "probe", "component", *SKETCH)
-    right = left.select("space", "sig", "kind", *(F.col(c).alias(f"right_{c}") for c in ("node", "n", "form", "probe", "component", *SKETCH)))
-    apart_bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"right_{c}"))) for c in SKETCH), F.lit(0))
-    pairs = left.join(right, ["space", "sig", "kind"]).where(
-        (F.col("component") != F.col("right_component"))
-        & (F.col("probe") | F.col("right_probe"))
-        & ((F.col("kind") == 0) & (F.col("node") < F.col("right_node")) | (F.col("kind") == 1) & (F.col("form") < F.col("right_form")))
-        & _fits("n", "right_n")
-        & (7 * apart_bits <= F.col("n") + F.col("right_n"))  # more differing bits: too many differing shingles
-    )
-    pairs = pairs.select(F.least("node", "right_node").alias("a"), F.greatest("node", "right_node").alias("b")).distinct()
+    named = materialize(relied.drop("cost").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    pairs = _meetings(named, tokens.drop("set")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs, "pairs")  # as in _partners
     more = _verify(pairs.join(done, ["a", "b"], "left_anti"), tokens)

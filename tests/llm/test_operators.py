@@ -475,6 +475,20 @@ def test_ascii_letters_need_no_bytes():
             assert e._piece(chunk) == e._whole(chunk)
 
 
+def test_pairs_meet_a_few_times_however_much_they_share(spark):
+    """Sets of different components that share many segments are a few rows of the join, and no pair is lost."""
+    sketches = spark.range(1, 13).selectExpr("id node", *(f"0L {c}" for c in ngram_join.SKETCH))
+    kinds = "space int, sig long, kind int, node long, n long, form int, probe boolean, component long"
+    same = [(7, s, 0, node, 900, 0, node == 1 or s % 3 == 0, node) for s in range(300) for node in (1, 2, 3)]
+    met = ngram_join._meetings(spark.createDataFrame(same, kinds), sketches)
+    assert {tuple(r) for r in met.collect()} == {(1, 2), (1, 3), (2, 3)} and met.count() <= 12
+    rng = np.random.default_rng(3)
+    for share in (0.02, 0.3, 0.8):
+        rows = [(7 + s % 2, s, 0, node, 900, 0, bool(rng.random() < 0.2), node // 2) for s in range(200) for node in range(1, 13) if rng.random() < share]
+        want = {(x[3], y[3]) for x in rows for y in rows if x[1] == y[1] and x[3] < y[3] and x[7] != y[7] and (x[6] or y[6])}
+        assert {tuple(r) for r in ngram_join._meetings(spark.createDataFrame(rows, kinds), sketches).collect()} == want
+
+
 def test_batches_are_limited_in_bytes(spark, odd_docs):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before, sizes = spark.conf.get(key), common.small_batches(lambda docs: spark.conf.get(key))
