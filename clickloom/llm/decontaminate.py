@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import keyed, materialize, table
+from clickloom.llm.common import freed, keyed, materialize, table
 from clickloom.plans.registry import Query
 
 ERRORS = 0.05
@@ -131,7 +131,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
     """
     found = docs.sparkSession.createDataFrame([], FOUND)
     for block in _blocks(benchmark, chars):
-        found = found.union(docs.select("row", "text").mapInArrow(_search(block, errors), FOUND))
+        found = found.union(docs.select("row", "text").mapInArrow(freed(_search(block, errors)), FOUND))
     return materialize(found, "passages")
 
 

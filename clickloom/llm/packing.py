@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import materialize, prepared, table
+from clickloom.llm.common import freed, materialize, pieces, prepared, table
 from clickloom.llm.tokens import encoder
 from clickloom.plans.registry import Query
 
@@ -106,7 +106,7 @@ def _cut(file: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(file), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = encode(text) + end
@@ -128,7 +128,7 @@ def cut_documents(docs: DataFrame, file: str = VOCABULARY, end_id: int = END_ID,
 
     ``rank`` numbers the pieces of one length in one task (``part``).
     """
-    return prepared(docs).mapInArrow(_cut(file, end_id, capacity), PIECES)
+    return prepared(docs).mapInArrow(freed(_cut(file, end_id, capacity)), PIECES)
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clickloom.llm.common import materialize, pieces, prepared, table
+from clickloom.llm.common import freed, materialize, pieces, prepared, table
 from clickloom.plans.registry import Query
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -123,7 +123,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
     The table has as many rows as there are triples of the fixed letters, whatever the documents hold.
     """
-    counted = docs.select("text").mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(freed(_count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     n = np.full(_size**3, 0.05)
     for row in counted.collect():  # at most (letters + 1)^3
         n[row.gram] += row.n
@@ -195,7 +195,7 @@ def features(word: str) -> list[int]:
 def _sample_counts(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, n = Decoder(model), np.zeros((2, FEATURES), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 found = {f for word in decoder.restore(text) for f in features(word)}
                 n[toxic, list(found)] += 1
@@ -208,7 +208,7 @@ def _sample_counts(model: np.ndarray):
 def _sample_rows(model: np.ndarray, chosen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, number = Decoder(model), {f: i for i, f in enumerate(chosen.tolist())}
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [sorted({number[f] for w in decoder.restore(t) for f in features(w) if f in number}) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(rows, pa.list_(pa.int32()))], ["toxic", "found"])
 
@@ -236,7 +236,7 @@ def _scores(model: np.ndarray, weights: np.ndarray, intercept: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, known = Decoder(model), {}
         weight = dict(zip(np.flatnonzero(weights).tolist(), weights[np.flatnonzero(weights)].tolist()))
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in batch["text"].to_pylist():
                 found: set[int] = set()
@@ -275,7 +275,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kee
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = materialize(one.select("text", "toxic"), "labelled")  # at most ``sample``
-    counts = rows.mapInArrow(_sample_counts(model), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(freed(_sample_counts(model)), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counts.toPandas().sort_values("feature")  # at most FEATURES rows
     picked, w = np.zeros(0, np.int64), np.zeros(1)
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -284,11 +284,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kee
         n = counted["toxic"] + counted["clean"]
         z = (counted["toxic"] - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
         picked = counted["feature"][(n >= 4) & (abs(z) >= LEAST_Z)].to_numpy()
-        found = sorted((r.toxic, list(r.found)) for r in rows.mapInArrow(_sample_rows(model, picked), "toxic int, found array<int>").collect())  # at most ``sample``
+        found = sorted((r.toxic, list(r.found)) for r in rows.mapInArrow(freed(_sample_rows(model, picked)), "toxic int, found array<int>").collect())  # at most ``sample``
         w = logistic([f for _, f in found], np.array([t for t, _ in found], float), len(picked))
     weights = np.zeros(FEATURES, np.float64)
     weights[picked] = w[:-1]
-    scored = docs.mapInArrow(_scores(model, weights, float(w[-1])), StructType([*docs.schema, StructField("score", DoubleType())]))
+    scored = docs.mapInArrow(freed(_scores(model, weights, float(w[-1]))), StructType([*docs.schema, StructField("score", DoubleType())]))
     return scored.select("doc_id", "text", *keep, is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
