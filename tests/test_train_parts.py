@@ -1,6 +1,7 @@
 """Training in runs and parts: the whole job with the same results, and nothing left on disk but what is still read."""
 
 import os
+import time
 from functools import partial
 
 import numpy as np
@@ -87,10 +88,18 @@ def test_parts_leave_neither_tables_nor_shuffles(spark, shared):
         inner = storage.materialize(spark.range(50).withColumn("part", F.lit(c)), "inner")
         return inner.groupBy("part", (F.col("id") % 10).alias("k")).count()
 
-    before = storage.materialize(spark.range(3), "before")
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(blocks.apply(i).getName()) for i in range(blocks.size()) if blocks.apply(i).getName().startswith("shuffle_")}
+
+    before, there = storage.materialize(spark.range(3), "before"), shuffled()
     parts = storage.in_parts(spark, [partial(part, c) for c in range(3)], "made")
     assert names(shared) == ["before", "made", "made", "made"] and spark.conf.get(key) == "false"
     spark.conf.unset(key)
+    until = time.time() + 20  # they are deleted in the background
+    while shuffled() - there and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - there
     every = storage.whole(parts)
     assert every.count() == 30 and every.agg(F.sum("count")).first()[0] == 150 and storage.whole(parts[:1]) is parts[0]
     storage.discard(every)
